@@ -15,14 +15,11 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it on a cluster. Where that is unset (tests, a
     single machine) a temporary folder is made once for the session.
     """
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        path = context_dir or "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return (path or context.getCheckpointDir()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
