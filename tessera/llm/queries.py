@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.token_counts import count_tokens
 from tessera.session import table
@@ -32,6 +33,11 @@ def _(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+@query("op5_near_duplicates")
+def _(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query("op6_token_counts")
 def _(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
