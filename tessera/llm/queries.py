@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import sql
+from tessera.llm.decontaminate import contamination
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.token_counts import count_tokens
@@ -16,13 +19,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     """Register a query and, where there is one, its SQL."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
+        if oracle:
+            ORACLE[name] = oracle
         return f
 
     return add
@@ -41,3 +44,10 @@ def _(spark, sf_dir):
 @query("op6_token_counts")
 def _(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontamination", sql.DECONTAMINATION)
+def _(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
