@@ -11,6 +11,7 @@ from tessera.llm import sql
 from tessera.llm.decontaminate import contamination
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.rules import judge
 from tessera.llm.token_counts import count_tokens
 from tessera.session import table
 
@@ -51,3 +52,8 @@ def _(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_quality_rules", sql.RULES)
+def _(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")

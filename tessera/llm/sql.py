@@ -12,3 +12,33 @@ its AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS s FROM (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (r) LEFT JOIN its USING (r)
 """
+
+_EN = "the of and to in is that it was for on with as be by at this from are an"
+_DE = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als"
+_FR = "de la le et les des en un du une que est pour qui dans par sur au plus pas"
+_ES = "de la que el en y a los se del las un por con no una su para es al"
+
+RULES = rf"""
+WITH known AS (SELECT 'en' AS lang, string_split('{_EN}', ' ') AS cw UNION ALL SELECT 'de', string_split('{_DE}', ' ') UNION ALL SELECT 'fr', string_split('{_FR}', ' ') UNION ALL SELECT 'es', string_split('{_ES}', ' ')),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(documents.lang, '') AS lang, coalesce(text, '') AS t, cw, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents LEFT JOIN known ON known.lang = documents.lang),
+win AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS x(i) WHERE len(w) >= 5),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win SEMI JOIN (SELECT r, s FROM win GROUP BY r, s HAVING count(*) > 1) USING (r, s)) GROUP BY r),
+ln AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+f AS (SELECT d.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  length(regexp_replace(t, '[^a-z]', '', 'g')) AS c0, length(t) - length(array_to_string(w, '')) AS c1, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS c2, length(regexp_replace(t, '[^0-9]', '', 'g')) AS c3,
+  length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS c6, length(t) AS chars
+  FROM d LEFT JOIN ln USING (r) LEFT JOIN rep USING (r)),
+g AS (SELECT *, [c0, c1, c2, c3, n_symbols, chars - c0 - c1 - c2 - c3 - n_symbols - c6, c6] AS cls,
+  CASE WHEN cw IS NOT NULL THEN list_append(list_transform(cw, lambda k: len(list_filter(w, lambda v: v = k))), len(list_filter(w, lambda v: NOT list_contains(cw, v)))) END AS com FROM f),
+rc AS (SELECT lang, list(s ORDER BY k) AS rcls, sum(s) AS rsum FROM (SELECT lang, k, sum(cls[k]) AS s FROM g, range(1, 8) AS x(k) GROUP BY ALL) GROUP BY lang),
+rw AS (SELECT lang, list(s ORDER BY k) AS rcom, sum(s) AS rn FROM (SELECT lang, k, sum(com[k]) AS s FROM g, range(1, 22) AS x(k) WHERE com IS NOT NULL GROUP BY ALL) GROUP BY lang),
+sh AS (SELECT r, 'c' AS kind, cls[k]::DOUBLE / chars AS a, rcls[k]::DOUBLE / rsum AS b FROM g JOIN rc USING (lang), range(1, 8) AS x(k) WHERE chars > 0 AND rsum > 0
+  UNION ALL SELECT r, 'w', com[k]::DOUBLE / n_words, rcom[k]::DOUBLE / rn FROM g JOIN rw USING (lang), range(1, 22) AS x(k) WHERE com IS NOT NULL AND n_words > 0 AND rn > 0),
+js AS (SELECT r, kind, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2))) AS dist FROM sh GROUP BY r, kind),
+v AS (SELECT g.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(x.dist, 0) AS dc, coalesce(y.dist, 0) AS dw
+  FROM g LEFT JOIN js x ON x.r = g.r AND x.kind = 'c' LEFT JOIN js y ON y.r = g.r AND y.kind = 'w')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (chars >= 400 AND dc > 0.33 OR n_words >= 150 AND dw > 0.28) AS kept FROM v
+"""
