@@ -13,6 +13,7 @@ from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.rules import judge
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.warc import read_archives, write_archives
 from tessera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +58,10 @@ def _(spark, sf_dir):
 @query("op10_quality_rules", sql.RULES)
 def _(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+@query("op3_warc")
+def _(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = read_archives(write_archives(pages), pages.schema["page_id"].dataType)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
