@@ -11,8 +11,10 @@ from tessera.llm import sql
 from tessera.llm.decontaminate import contamination
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quotes import link_quotes
 from tessera.llm.rules import judge
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.urls import filter_urls
 from tessera.llm.warc import read_archives, write_archives
 from tessera.session import table
 
@@ -65,3 +67,13 @@ def _(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = read_archives(write_archives(pages), pages.schema["page_id"].dataType)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_url_filter")
+def _(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_quote_links")
+def _(spark, sf_dir):
+    return link_quotes(table(spark, sf_dir, "conversations"))
