@@ -23,8 +23,8 @@ from tessera.session import materialize
 BANDS, ROWS = 40, 5
 #: Hashes that one step of the sequential comparison looks at.
 STEP = 20
-#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of this size.
-BLOCK = 64
+#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of about so many shingles.
+BLOCK, BLOCK_SHINGLES = 64, 400_000
 
 
 @cache
@@ -149,35 +149,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b")
 
 
-def _within_large(members: DataFrame, sketches: DataFrame, threshold: float, miss: float, num: int, den: int) -> DataFrame:
-    """Pairs of large buckets between a member outside its leader's class and any member of another class.
+def _linked(q: pd.DataFrame, r: pd.DataFrame, threshold: float, miss: float, num: int, den: int) -> list[tuple]:
+    """For each row of ``q``, a link to each other class of ``r`` that has one.
 
-    ``members``: (key, node, comp, home, size), home the leader's class. A bucket's rows are dealt to blocks of
-    about ``16 * BLOCK``; those outside the home class go to every block, in blocks of their own, so that no task
-    holds more than two blocks; each task compares matrices of signatures and gives the pairs that stay.
+    Members are tried in the order of their signatures' agreement, those that posterior bounds leave; the whole
+    sets decide, and a class once linked isn't tried again.
     """
-    wide = 16 * BLOCK
-    blocks = F.ceil(F.col("size") / wide).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    at = members.join(sketches.select("node", "n", "sig"), "node").withColumns({"blocks": blocks, "own": own, "away": F.col("comp") != F.col("home")})
-    outer = members.where("comp <> home").select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part")).distinct()
+    found: list[tuple] = []
+    sig = np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1)
+    nodes, comps, sizes, sets = r["node"].to_numpy(), r["comp"].to_numpy(), r["n"].to_numpy(), r["shingles"].to_numpy()
+    for x, comp, n, s, own in zip(q["node"], q["comp"], q["n"], q["sig"], q["shingles"], strict=True):
+        rows = np.flatnonzero((comps != comp) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num))
+        one = np.broadcast_to(np.frombuffer(s, "<u2"), (len(rows), sig.shape[1]))
+        rows = rows[survivors(sig[rows], one, threshold, miss)]
+        agree = (sig[rows] == one[: len(rows)]).sum(axis=1)
+        met: set = set()
+        for y in rows[np.argsort(-agree, kind="stable")]:
+            if comps[y] in met:
+                continue
+            shared = int((own[np.minimum(np.searchsorted(own, sets[y]), len(own) - 1)] == sets[y]).sum())
+            if shared * den >= (len(own) + len(sets[y]) - shared) * num:
+                met.add(comps[y])
+                found.append((x, nodes[y]))
+    return found
+
+
+def _within_large(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, miss: float, num: int, den: int) -> DataFrame:
+    """Links of large buckets between a member outside its leader's class and members of other classes.
+
+    ``members``: (key, node, comp, home), home the leader's class. A bucket's rows are dealt to blocks of about
+    ``BLOCK_SHINGLES`` shingles; those outside the home class go to every block, in parts of their own, so that
+    no task holds more than a block and a part. A task gives links between classes, not pairs.
+    """
+    rows = members.join(sketches.select("node", "n", "sig"), "node").join(sets, "node")
+    weight = members.join(sketches.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    at = rows.join(weight, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    outer = members.where("comp <> home").join(weight, "key").select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part")).distinct()
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = at.where("away").select("key", F.col("own").alias("part"), every.alias("block"), "node", "comp", "n", "sig", F.lit(True).alias("query"))
-    right = at.join(outer, "key").select("key", "part", F.col("own").alias("block"), "node", "comp", "n", "sig", F.lit(False).alias("query"))
+    shown = ("node", "comp", "n", "sig", "shingles")
+    left = at.where("comp <> home").select("key", F.col("own").alias("part"), every.alias("block"), *shown, F.lit(True).alias("query"))
+    right = at.join(outer, "key").select("key", "part", F.col("own").alias("block"), *shown, F.lit(False).alias("query"))
     node = sketches.schema["node"].dataType
     schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         q, r = group[group["query"]], group[~group["query"]]
-        found: list[tuple] = []
-        if len(q) and len(r):
-            sig = np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1)
-            nodes, comps, sizes = r["node"].to_numpy(), r["comp"].to_numpy(), r["n"].to_numpy()
-            for x, comp, n, s in zip(q["node"], q["comp"], q["n"], q["sig"], strict=True):
-                rows = np.flatnonzero((comps != comp) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num))
-                one = np.broadcast_to(np.frombuffer(s, "<u2"), (len(rows), sig.shape[1]))
-                found += [(min(x, y), max(x, y)) for y in nodes[rows[survivors(sig[rows], one, threshold, miss)]]]
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pd.DataFrame(_linked(q, r, threshold, miss, num, den) if len(q) and len(r) else [], columns=["a", "b"])
 
     return left.unionByName(right).groupBy("key", "part", "block").applyInPandas(run, schema)
 
@@ -230,8 +247,8 @@ def near_duplicates(
     v = small.select("key", F.col("node").alias("q"), F.col("comp").alias("cq"))
     near = u.join(v, "key").where("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     near = _pruned(near, sketches, threshold, miss, num, den)
-    far = _within_large(open_.where(F.col("size") > BLOCK), sketches, threshold, miss, num, den).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_verified(near.union(far).distinct(), sets, num, den), "more-links")
+    far = _within_large(open_.where(F.col("size") > BLOCK), sketches, sets, threshold, miss, num, den)
+    more = materialize(_verified(near, sets, num, den).union(far), "more-links")
     classes = connected_components(links.union(more)).withColumnRenamed("component", "component_id")
 
     named = heads.join(classes, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
