@@ -13,6 +13,7 @@ from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quotes import link_quotes
 from tessera.llm.rules import judge
+from tessera.llm.substring import repeat_report
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.urls import filter_urls
 from tessera.llm.warc import read_archives, write_archives
@@ -77,3 +78,8 @@ def _(spark, sf_dir):
 @query("op2_quote_links")
 def _(spark, sf_dir):
     return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query("op8_substring_dedup")
+def _(spark, sf_dir):
+    return repeat_report(table(spark, sf_dir, "documents"))
