@@ -255,3 +255,14 @@ def near_duplicates(
     result = sketched.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, all columns, with one row of each class: that of its least id (one of them, should rows repeat it).
+
+    Rows without an id, and those without words, all stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("gone_"))
+    return packed.join(gone, "gone_", "left_anti").select("doc_.*")

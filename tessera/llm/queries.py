@@ -11,6 +11,7 @@ from tessera.llm import sql
 from tessera.llm.decontaminate import contamination
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quality import classify
 from tessera.llm.quotes import link_quotes
 from tessera.llm.rules import judge
 from tessera.llm.substring import repeat_report
@@ -83,3 +84,8 @@ def _(spark, sf_dir):
 @query("op8_substring_dedup")
 def _(spark, sf_dir):
     return repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def _(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
