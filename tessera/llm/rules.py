@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +23,10 @@ def _length_without(text: Column, pattern: str) -> Column:
     return F.char_length(F.regexp_replace(text, pattern, ""))
 
 
+def _met(listed: list[str]) -> Column:
+    return F.filter("words", lambda w: w.isin(listed))
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
     """Counts of each text: those of the base rules, ``classes`` and ``common``."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
@@ -53,11 +55,14 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None)
     spaces = F.char_length("text") - word_chars
     classes = [F.char_length("text") - odd - spaces, spaces, upper, digits, symbols, ascii_ - upper - digits - symbols, odd - ascii_]
 
-    def common(known: list[str]) -> Column:
-        met = F.filter("words", lambda w: w.isin(known))
-        each = [F.size(met) - F.size(F.array_remove(met, w)) for w in known]
-        return F.array(*(c.cast("long") for c in each), (n - F.size(met)).cast("long"))
-
+    # Branches share no subexpressions, so the words that are met stand in a column of their own.
+    known, met = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")
+    for lang_, listed in COMMON.items():
+        known = F.when(F.col("lang") == lang_, F.array(*map(F.lit, listed))).otherwise(known)
+        met = F.when(F.col("lang") == lang_, _met(listed)).otherwise(met)
+    rows = rows.withColumns({"known": known, "met": met})
+    width = len(next(iter(COMMON.values())))
+    each = [(F.size("met") - F.size(F.array_remove("met", F.get("known", F.lit(k))))).cast("long") for k in range(width)]
     return rows.select(
         "doc_id",
         "lang",
@@ -67,7 +72,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None)
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.array(*(c.cast("long") for c in classes)).alias("classes"),
-        reduce(lambda c, k: c.when(F.col("lang") == k, common(COMMON[k])), COMMON, F.when(F.lit(False), F.array().cast("array<bigint>"))).alias("common"),
+        F.when(F.col("known").isNotNull(), F.array(*each, (n - F.size("met")).cast("long"))).alias("common"),
     )
 
 
@@ -75,22 +80,25 @@ def _sums(name: str, n: int) -> Column:
     return F.array(*(F.sum(F.get(name, F.lit(k))) for k in range(n)))
 
 
-def distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance, to base 2, of two histograms of counts; null where either is empty."""
+def total(x: Column) -> Column:
+    """The sum of a histogram of counts."""
+    return F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+
 
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v).cast("double")
+def distance(p: str, sum_p: str, q: str, sum_q: str) -> Column:
+    """The Jensen-Shannon distance, to base 2, of two columns of counts whose sums are columns too; null where a sum is 0."""
 
     def part(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
-    def term(x: Column, y: Column) -> Column:
+    def add(state: Column, pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
         m = (x + y) / 2
-        return (part(x, m) + part(y, m)) / 2
+        return state + (part(x, m) + part(y, m)) / 2
 
-    each = F.zip_with(p, q, lambda x, y: term(x / total(p), y / total(q)))
-    found = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0).cast("double"), lambda s, v: s + v)))
-    return F.when((total(p) > 0) & (total(q) > 0), found)
+    shares = F.zip_with(p, q, lambda x, y: F.struct((x / F.col(sum_p)).alias("x"), (y / F.col(sum_q)).alias("y")))
+    found = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0).cast("double"), add)))
+    return F.when((F.col(sum_p) > 0) & (F.col(sum_q) > 0), found)
 
 
 def judge(
@@ -121,10 +129,12 @@ def judge(
     made = materialize(features(docs, id_col, text_col, lang_col).withColumn("lang", F.coalesce("lang", F.lit(""))), "rules")
     width = len(next(iter(COMMON.values()))) + 1
     reference = made.groupBy("lang").agg(_sums("classes", 7).alias("ref_classes"), F.when(F.max(F.size("common")) > 0, _sums("common", width)).alias("ref_common"))
-    both = made.join(reference, "lang", "left")
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda s, v: s + v)
+    sums = {"n_classes": total(F.col("classes")), "n_common": total(F.col("common"))}
+    both = made.withColumns(sums).join(reference.withColumns({f"ref_{k}": total(F.col("ref_" + k[2:])) for k in sums}), "lang", "left")
+    chars = F.col("n_classes")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    both = both.withColumns({"base_failed": failed, "class_distance": distance(F.col("classes"), F.col("ref_classes")), "word_distance": distance(F.col("common"), F.col("ref_common"))})
+    apart = {f"{x}_distance": distance(c, f"n_{c}", f"ref_{c}", f"ref_n_{c}") for x, c in (("class", "classes"), ("word", "common"))}
+    both = both.withColumns({"base_failed": failed, **apart})
     far = (chars >= min_chars) & (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance)
     far = far | (F.col("n_words") >= min_words) & (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~failed & ~far).alias("kept"))
