@@ -24,7 +24,10 @@ BANDS, ROWS = 40, 5
 #: Hashes that one step of the sequential comparison looks at.
 STEP = 20
 #: Buckets up to this size are joined with themselves; larger ones are compared in blocks of about so many shingles.
-BLOCK, BLOCK_SHINGLES = 64, 400_000
+BLOCK, BLOCK_SHINGLES = 32, 400_000
+#: A bucket's leader is its node of the least hash, by one of so many hash functions: with few of them the buckets of
+#: a large group mostly share their leaders, and a node is compared with few.
+LEADERS = 4
 
 
 @cache
@@ -157,8 +160,10 @@ def _linked(q: pd.DataFrame, r: pd.DataFrame, threshold: float, miss: float, num
     """
     found: list[tuple] = []
     sig = np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1)
-    nodes, comps, sizes, sets = r["node"].to_numpy(), r["comp"].to_numpy(), r["n"].to_numpy(), r["shingles"].to_numpy()
-    for x, comp, n, s, own in zip(q["node"], q["comp"], q["n"], q["sig"], q["shingles"], strict=True):
+    nodes, comps, sizes = r["node"].to_numpy(), r["comp"].to_numpy(), r["n"].to_numpy()
+    # Sets are sorted as unsigned numbers, which Spark's longs aren't.
+    sets, asked = ([np.asarray(x, np.int64).view(np.uint64) for x in side["shingles"]] for side in (r, q))
+    for x, comp, n, s, own in zip(q["node"], q["comp"], q["n"], q["sig"], asked, strict=True):
         rows = np.flatnonzero((comps != comp) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num))
         one = np.broadcast_to(np.frombuffer(s, "<u2"), (len(rows), sig.shape[1]))
         rows = rows[survivors(sig[rows], one, threshold, miss)]
@@ -223,7 +228,7 @@ def near_duplicates(
     heads = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = sketched.withColumnRenamed("doc_id", "node").join(heads, ["digest", "node"]).select("node", "digest", "n", "sig", "keys")
     slots = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
-    tie = F.struct(F.xxhash64("node", "key").alias("order"), F.col("node").alias("leader"))
+    tie = F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("order"), F.col("node").alias("leader"))
     buckets = slots.groupBy("key").agg(F.count("*").alias("size"), F.min(tie).alias("least")).where("size > 1").select("key", "size", F.col("least.leader").alias("leader"))
     members = materialize(slots.join(buckets, "key"), "members")
 
