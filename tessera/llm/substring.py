@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.text import text_batches
-from tessera.session import materialize
 
 #: Bytes of a chunk at least and at most; a cut after white space has a hash below SPACE_CUT, any other one below OTHER_CUT.
-LEAST, MOST, SPACE_CUT, OTHER_CUT = 16, 256, 1 << 30, 1 << 24
+LEAST, MOST, SPACE_CUT, OTHER_CUT = 24, 256, 1 << 30, 1 << 24
 #: Words that a run of repeated chunks must hold to be removed. A repeated passage loses up to a chunk at either
-#: end, about 12 words together, so this finds passages of 50 words and leaves repeated lines of up to 20.
+#: end, about 15 words together, so this finds passages of 50 words and leaves repeated lines of up to 20.
 MIN_WORDS = 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -119,17 +118,18 @@ def _chunked(rows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_`` (the whole row), ``text_`` (without repeats), ``spans_`` (bytes removed) and ``bytes_`` of each row.
 
-    Among the chunks of equal digest those of the first document stay; of the others, runs that hold ``min_words``
+    Among the chunks of equal digest those of the document of the least id stay; of the others, runs that hold ``min_words``
     words or more are repeated passages. What repeats only inside a document is left. Digests, ids and places are all that is shuffled to find them; a common
     chunk's rows are reduced to a minimum before the shuffle, and the join that marks the others can be split.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("id_"), F.hash(text).alias("mark_"), text.alias("text_"))
-    told = materialize(_chunked(rows.where("id_ IS NOT NULL AND text_ <> ''")), "chunks")
+    # Chunked twice rather than written: the digests of all chunks take half as much room as the texts.
+    told = _chunked(rows.where("id_ IS NOT NULL AND text_ <> ''"))
+    chunks = told.select("id_", "mark_", F.posexplode("digests").alias("pos", "digest"))
+    first = chunks.groupBy("digest").agg(F.min("id_").alias("first"), F.max("id_").alias("last")).where("first < last").select("digest", "first")
     place = F.shiftleft(F.col("mark_").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    chunks = told.select("id_", "mark_", F.posexplode("digests").alias("pos", "digest")).select("digest", "id_", place.alias("place"))
-    first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id_", "place")).alias("first")).where("n > 1").select("digest", "first")
-    again = chunks.join(first, "digest").where("id_ <> first.id_ OR shiftright(place, 32) <> shiftright(first.place, 32)")
+    again = chunks.select("digest", "id_", place.alias("place")).join(first, "digest").where("id_ > first")
     mark, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     marked = again.select("id_", mark.alias("mark_"), pos.alias("pos")).groupBy("id_", "mark_").agg(F.collect_set("pos").alias("again_"))
     kind = "struct<text: string, spans: array<struct<start: int, stop: int>>>"
@@ -153,9 +153,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def repeat_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, repeated, spans, text)`` for each row: what repeats, and the text without it.
 
-    Null and empty texts have no chunks and stay as they are, null as null; rows without an id are kept whole and
-    aren't the first of anything; rows of equal id and text are one document, and get one result; rows of equal id
-    but other texts are told apart by their texts; other columns are left out; an empty table gives an empty one.
+    Rows of one id are one document, and nothing that only repeats inside it goes. Null and empty texts have no chunks and stay as they are, null as null; rows without an id are kept whole and
+    aren't the first of anything; rows of equal id and text get one result, each text of an id its own; other columns are left out; an empty table gives an empty one.
     """
     found = repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     removed = F.aggregate("spans_", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
