@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm.rules import features
 from tessera.session import materialize
 
-#: Labelled rows that the classifier is fitted to, at most: those of the least hashes of their ids.
+#: Labelled rows that the classifier is fitted to, at most, chosen by hashes of their ids.
 MAX_LABELLED = 20_000
 #: The classifier's features, as shares of counts from :func:`tessera.llm.rules.features`.
 NAMES = ("log_words", "word_length", "symbols", "spaces", "upper", "digits", "other_ascii", "other", "dup_lines", "repeat_words", "common")
@@ -72,10 +72,14 @@ class Classifier:
 
 
 def fit_classifier(counts: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Classifier:
-    """The classifier fitted to ``max_labelled`` labelled rows at most, those of the least hashes of their ids."""
+    """The classifier fitted to about ``max_labelled`` labelled rows, and no more, chosen by hashes of their ids."""
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    rows = counts.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = materialize(known, "labels")
+    share = 0.95 * max_labelled / max(1, known.count())
+    # Hashes choose about the share that is allowed, so that no task sends more than its part of it.
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
+    rows = counts.join(chosen, "doc_id").limit(max_labelled)
     got = rows.select((F.col("y") >= 0.5).cast("double").alias("y"), *(v.alias(n) for n, v in vector().items())).toPandas()
     return Classifier.fit(got[list(NAMES)].to_numpy(float), got["y"].to_numpy(float))
 
