@@ -6,6 +6,7 @@ Each stage works on all that its predecessor kept, and all but the last return t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.neardup import keep_one_of_each
@@ -15,6 +16,11 @@ from tessera.llm.substring import dedup_substrings
 from tessera.session import fresh_path, table
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """With ``n_chars`` of the texts as they are now."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
@@ -27,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document has."""
-    return dedup_substrings(docs)
+    return _counted(dedup_substrings(docs))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that a window of a benchmark item covers."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

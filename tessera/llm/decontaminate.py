@@ -91,15 +91,18 @@ class _Index:
         self.windows = F.broadcast(grouped) if count <= MAX_WINDOWS and (size or 0) <= MAX_BYTES else grouped
 
     def scored(self, docs: DataFrame, text: Column) -> DataFrame:
-        """``docs`` with n_words_ and cand_, the candidate windows."""
+        """``docs`` with n_words_, cand_ (the candidate windows) and row_.
+
+        ``row_`` isn't deterministic to Spark, so a filter that names it stays above this projection; pushed below,
+        it would work out the hashes of all words again for each position.
+        """
         split = docs.withColumn("words_", words_of(text))
         hashed = split.withColumn("hashes_", F.transform("words_", lambda w: F.xxhash64(w)))
-        return hashed.withColumns({"n_words_": F.size("words_").cast("long"), "cand_": _candidates("words_", "hashes_", self.bits)}).drop("words_", "hashes_")
+        return hashed.withColumns({"n_words_": F.size("words_").cast("long"), "cand_": _candidates("words_", "hashes_", self.bits), "row_": F.monotonically_increasing_id()}).drop("words_", "hashes_")
 
     def looked_up(self, scored: DataFrame, keep: list[str]) -> DataFrame:
         """A row of ``keep``, spans_ (sorted, of windows that do occur) and items_ for each scored row."""
-        row = scored.withColumn("row_", F.monotonically_increasing_id())
-        one = row.select("row_", *keep, F.explode_outer("cand_").alias("c_"))
+        one = scored.select("row_", *keep, F.explode_outer("cand_").alias("c_"))
         # A row without a candidate gets a key of its own, so that no task gathers them all.
         one = one.withColumn("window", F.coalesce(F.col("c_.window"), F.concat(F.lit("\0"), F.col("row_").cast("string"))))
         met = one.join(self.windows, "window", "left")
@@ -143,8 +146,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, action: str = "spans", n
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc_"))
     text = F.col(f"doc_.`{text_col}`").cast("string")
     scored = index.scored(packed, text)
-    clean = scored.where("size(cand_) = 0").select("doc_.*")
-    found = index.looked_up(scored.where("size(cand_) > 0").drop("n_words_"), ["doc_"])
+    clean = scored.where("size(cand_) = 0 AND row_ >= 0").select("doc_.*")
+    found = index.looked_up(scored.where("size(cand_) > 0 AND row_ >= 0").drop("n_words_"), ["doc_"])
     if action == "documents":
         return clean.unionByName(found.where("size(spans_) = 0").select("doc_.*"))
     # Spans that touch become one, so that a word's test looks at few.
