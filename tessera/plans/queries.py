@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import align, contacts, motif, pairing, segments, split
 from tessera.operators import edges as E
-from tessera.session import table
+from tessera.operators import graph as G
+from tessera.operators.components import connected_components
+from tessera.operators.partition import partition
+from tessera.session import materialize, table
+from tessera.sources.text import allele_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +70,344 @@ def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("edge_weights", f'WITH {EDGE_SQL} SELECT "start", "end", weight FROM edge')
 def _(spark, sf_dir):
     return edge_table(spark, sf_dir)
+
+
+def by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.quality_filter(pairs(spark, sf_dir), 10)
+
+
+@query("mapq_filter", f"WITH {PAIR_SQL} SELECT * FROM pair WHERE mapq >= 10 AND mapq <> 255")
+def _(spark, sf_dir):
+    return by_quality(spark, sf_dir)
+
+
+@query("invalid_contigs", "SELECT l_suppkey::INT AS contig_id FROM lineitem GROUP BY 1 HAVING count(*) < 600")
+def _(spark, sf_dir):
+    return motif.invalid_contigs(supplier_sites(spark, sf_dir), 600)
+
+
+@query("inter_contig_pairs", f"WITH {PAIR_SQL} SELECT ref_id, pos, next_ref_id, next_pos FROM pair WHERE ref_id <> next_ref_id")
+def _(spark, sf_dir):
+    return E.inter_contig(pairs(spark, sf_dir)).drop("mapq")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as contigs (id, name, seq, length)."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("text").alias("seq"), F.char_length("text").alias("length"))
+
+
+MOTIF = "the"
+
+
+@query("motif_counts", f"SELECT doc_id AS contig_id, ((length(text) - length(replace(text, '{MOTIF}', ''))) // {len(MOTIF)})::BIGINT AS n_sites FROM documents")
+def _(spark, sf_dir):
+    return motif.contig_sites(texts(spark, sf_dir), MOTIF)
+
+
+SITE_SQL = f"""part AS (SELECT doc_id AS contig_id, length(text) AS length, unnest(string_split(text, '{MOTIF}')) AS p, generate_subscripts(string_split(text, '{MOTIF}'), 1) AS k FROM documents),
+placed AS (SELECT contig_id, length, k, sum(length(p)) OVER (PARTITION BY contig_id ORDER BY k) + (k - 1) * {len(MOTIF)} AS pos, max(k) OVER (PARTITION BY contig_id) AS last FROM part),
+site AS (SELECT contig_id, pos::INT AS pos, length::INT AS length FROM placed WHERE k < last)"""
+WINDOW_SQL = (
+    SITE_SQL
+    + """, clamp AS (SELECT contig_id, greatest(0, pos - 20) AS s, least(pos + 20, length) AS e FROM site),
+flag AS (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY contig_id ORDER BY s, e) THEN 0 ELSE 1 END AS new FROM clamp),
+island AS (SELECT *, sum(new) OVER (PARTITION BY contig_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM flag),
+win AS (SELECT contig_id, min(s)::INT AS "start", max(e)::INT AS "end" FROM island GROUP BY contig_id, i)"""
+)
+
+
+def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.site_windows(motif.sites(texts(spark, sf_dir), MOTIF), 20)
+
+
+@query("motif_windows", f'WITH {WINDOW_SQL} SELECT contig_id, "start", "end" FROM win')
+def _(spark, sf_dir):
+    return text_windows(spark, sf_dir)
+
+
+# Positions to probe: each text's places 0, 97, 194, ...
+@query("positions_in_windows", f'WITH {WINDOW_SQL}, probe AS (SELECT doc_id AS ref_id, unnest(range(0, n_chars, 97))::INT AS pos FROM documents) SELECT ref_id, pos FROM probe p WHERE EXISTS (FROM win WHERE contig_id = p.ref_id AND p.pos BETWEEN "start" AND "end")')
+def _(spark, sf_dir):
+    probes = table(spark, sf_dir, "documents").where("n_chars > 0").select(F.col("doc_id").alias("ref_id"), F.explode(F.sequence(F.lit(0), F.col("n_chars").cast("int") - 1, F.lit(97))).alias("pos"))
+    return align.positions_in_windows(probes, text_windows(spark, sf_dir))
+
+
+def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as reads of one file: each order's lines by number, mates of the line after, and back for even orders.
+
+    Positions are (order, line number), so graphs of positions are small; repeated line numbers make some of them complex.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("int").alias("o"), F.col("l_linenumber").cast("int").alias("n")).where("n <= 4").distinct()
+    there = lines.where("n % 2 = 1").select("o", "n", (F.col("n") + 1).alias("m"))
+    there = there.join(lines.select("o", F.col("n").alias("m")), ["o", "m"])
+    record = lambda df, s, d, order: df.select(F.lit("f").alias("file"), order.cast("bigint").alias("rec_no"), F.col("o").alias("ref_id"), F.col(s).alias("pos"), F.col("o").alias("next_ref_id"), F.col(d).alias("next_pos"))
+    first = record(there, "n", "m", F.col("o") * 16 + F.col("n"))
+    back = record(there.where("o % 2 = 0"), "m", "n", F.col("o") * 16 + 8 + F.col("n") * F.when(F.col("o") % 3 == 0, -2).otherwise(1))
+    return first.union(back)
+
+
+MATE_SQL = """line AS (SELECT DISTINCT l_orderkey::INT AS o, l_linenumber::INT AS n FROM lineitem WHERE l_linenumber <= 4),
+there AS (SELECT a.o, a.n, a.n + 1 AS m FROM line a JOIN line b ON a.o = b.o AND b.n = a.n + 1 WHERE a.n % 2 = 1),
+rec AS (SELECT o, n AS s, m AS d, o * 16 + n AS r FROM there UNION ALL SELECT o, m, n, o * 16 + 8 + n * CASE WHEN o % 3 = 0 THEN -2 ELSE 1 END FROM there WHERE o % 2 = 0)"""
+
+
+@query("mate_pairs_simple", f"WITH {MATE_SQL} SELECT x.o AS ref_id, x.s AS pos, x.o AS next_ref_id, x.d AS next_pos FROM rec x JOIN rec y ON x.o = y.o AND x.s = y.d AND x.d = y.s AND x.r > y.r")
+def _(spark, sf_dir):
+    return pairing.simple_pairs(pairing.single_mate(mates(spark, sf_dir))[0])
+
+
+@query("mate_pairs_exact")
+def _(spark, sf_dir):
+    # Three lines of an order in a ring, so that positions have several mates.
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("int").alias("o"), F.col("l_linenumber").cast("int").alias("n")).where("n <= 3").distinct()
+    ring = lines.join(lines.select("o", F.col("n").alias("m")), "o").where("n <> m")
+    return pairing.mate_pairs(ring.select(F.lit("f").alias("file"), F.xxhash64("o", "n", "m").alias("rec_no"), F.col("o").alias("ref_id"), F.col("n").alias("pos"), F.col("o").alias("next_ref_id"), F.col("m").alias("next_pos")))
+
+
+# The contact view: mates within a line's return flag, positions the parts, from quality 10 on.
+WIDE, NARROW, DEPTH, PERCENT, SENSITIVITY = 100, 20, 400, 0.95, 0.8
+CONTACT_SQL = f"""contact AS (SELECT a.l_returnflag AS contig_id, a.l_partkey AS pos, b.l_partkey AS next_pos FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_quantity >= 10),
+hist AS (SELECT contig_id, res, (pos - pos % res)::BIGINT AS a, (next_pos - next_pos % res)::BIGINT AS b, count(*) AS cnt FROM contact, (VALUES ({WIDE}), ({NARROW})) AS r(res) GROUP BY ALL)"""
+SAT_SQL = (
+    CONTACT_SQL
+    + f""", ranked AS (SELECT contig_id, res, cnt, row_number() OVER (PARTITION BY contig_id, res ORDER BY cnt) AS k, count(*) OVER (PARTITION BY contig_id, res) AS n FROM hist WHERE a <> b),
+at_rank AS (SELECT *, greatest(1.0::DOUBLE, least((n + 1) * {PERCENT}::DOUBLE, n::DOUBLE)) AS pos FROM ranked),
+sat AS (SELECT contig_id, res, max(CASE WHEN k = floor(pos) THEN cnt END) + coalesce(max(pos - floor(pos)) * (max(CASE WHEN k = floor(pos) + 1 THEN cnt END) - max(CASE WHEN k = floor(pos) THEN cnt END)), 0) AS sat FROM at_rank GROUP BY contig_id, res)"""
+)
+
+
+def _score_sql(name: str, res: int, depth: int, sat: str) -> str:
+    return f"""{name} AS (SELECT contig_id, pos, sum(v)::DOUBLE AS score FROM (SELECT h.contig_id, unnest(range(a + {res}, b, {res})) AS pos, least(cnt, trunc({sat})::BIGINT) AS v
+  FROM hist h JOIN sat s ON s.contig_id = h.contig_id AND s.res = h.res WHERE h.res = {res} AND a < b AND b - a <= {depth}) GROUP BY ALL),
+{name}_end AS (SELECT contig_id, min(pos) + {depth} - 2 * {res} AS lo, max(pos) - {depth} + 3 * {res} AS hi FROM {name} GROUP BY contig_id),
+{name}_grid AS (SELECT e.contig_id, e.pos, coalesce(s.score, 0) AS score FROM (SELECT contig_id, unnest(range(lo, hi, {res})) AS pos FROM {name}_end) e LEFT JOIN {name} s USING (contig_id, pos))"""
+
+
+SCORE_SQL = f"{SAT_SQL}, {_score_sql('wide', WIDE, DEPTH, 'trunc(sat * 100000) / 100000')}"
+REGION_SQL = f"""{SCORE_SQL}, marked AS (SELECT g.*, score < {SENSITIVITY}::DOUBLE * (trunc(sat * 100000) / 100000) * 0.5::DOUBLE * {DEPTH} / {WIDE} * ({DEPTH}::DOUBLE / {WIDE} - 1) AS below FROM wide_grid g JOIN sat s ON s.contig_id = g.contig_id AND s.res = {WIDE}),
+edge_of AS (SELECT *, coalesce(lag(below) OVER w, false) AS before, lead(pos) OVER w AS nxt FROM marked WINDOW w AS (PARTITION BY contig_id ORDER BY pos)),
+numbered AS (SELECT *, sum(CASE WHEN below AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY contig_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS i FROM edge_of),
+region AS (SELECT contig_id, min(pos) AS a, max(coalesce(nxt, pos + {WIDE})) AS b FROM numbered WHERE below GROUP BY contig_id, i)"""
+NARROW_SQL = f"""{REGION_SQL}, {_score_sql('narrow', NARROW, WIDE, 'sat')},
+near AS (SELECT r.contig_id, a, b, pos, score FROM region r JOIN narrow_grid g ON g.contig_id = r.contig_id AND pos > a - {NARROW} AND pos < b + {NARROW}),
+cell AS (SELECT contig_id, pos AS a, pos + {NARROW} AS b FROM (SELECT *, min(score) OVER (PARTITION BY contig_id, a, b) AS least FROM near) WHERE pos >= a AND pos < b AND (pos - a) % {NARROW} = 0 AND score = least),
+cut AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY contig_id ORDER BY a) = a THEN 0 ELSE 1 END AS new FROM cell),
+cut2 AS (SELECT *, sum(new) OVER (PARTITION BY contig_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS i FROM cut),
+refined AS (SELECT contig_id, min(a) AS a, max(b) AS b FROM cut2 GROUP BY contig_id, i)"""
+
+
+def contact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    a, b = lines.alias("a"), lines.alias("b")
+    mate = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber"))
+    return a.where("l_quantity >= 10").join(b, mate).select(F.col("a.l_returnflag").alias("contig_id"), F.col("a.l_partkey").alias("pos"), F.col("b.l_partkey").alias("next_pos"))
+
+
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(contacts.contact_histogram(contact(spark, sf_dir), [WIDE, NARROW]), "contacts")
+
+
+def scored(hist: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saturation, the wide score and its grid."""
+    sat = contacts.saturation(hist, PERCENT)
+    score = contacts.spanning_score(hist, contacts.wide_saturation(sat, WIDE), WIDE, DEPTH)
+    return sat, score, contacts.score_grid(score, WIDE, DEPTH)
+
+
+def regions(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saturation and wide regions."""
+    sat, _, grid = scored(hist)
+    return sat, segments.wide_regions(grid, contacts.wide_saturation(sat, WIDE), SENSITIVITY, WIDE, DEPTH)
+
+
+@query("contact_hist", f"WITH {CONTACT_SQL} SELECT contig_id, res, a, b, cnt FROM hist")
+def _(spark, sf_dir):
+    return contacts.contact_histogram(contact(spark, sf_dir), [WIDE, NARROW])
+
+
+@query("saturation", f"WITH {SAT_SQL} SELECT contig_id, res, sat FROM sat")
+def _(spark, sf_dir):
+    return contacts.saturation(histogram(spark, sf_dir), PERCENT)
+
+
+@query("depletion_score", f"WITH {SCORE_SQL} SELECT contig_id, pos, score FROM wide")
+def _(spark, sf_dir):
+    return scored(histogram(spark, sf_dir))[1]
+
+
+@query("score_grid", f"WITH {SCORE_SQL} SELECT contig_id, pos, score FROM wide_grid")
+def _(spark, sf_dir):
+    return scored(histogram(spark, sf_dir))[2]
+
+
+@query("wide_regions", f"WITH {REGION_SQL} SELECT contig_id, a, b FROM region")
+def _(spark, sf_dir):
+    return regions(histogram(spark, sf_dir))[1]
+
+
+@query("narrow_regions", f"WITH {NARROW_SQL} SELECT contig_id, a, b FROM refined UNION ALL SELECT contig_id, a, b FROM region WHERE contig_id NOT IN (SELECT contig_id FROM refined)")
+def _(spark, sf_dir):
+    hist = histogram(spark, sf_dir)
+    sat, wide = regions(hist)
+    grid = contacts.score_grid(contacts.spanning_score(hist, sat, NARROW, WIDE), NARROW, WIDE)
+    return segments.narrow_regions(wide, grid, NARROW)
+
+
+# Every third text is cut at characters 41-60, and every sixth at 101-150 as well.
+@query(
+    "split_sequences",
+    """WITH cut AS (SELECT doc_id AS id, 41 AS a, 61 AS b, 0 AS base FROM documents WHERE doc_id % 3 = 0 AND n_chars > 200 UNION ALL SELECT doc_id, 101, 151, 60 FROM documents WHERE doc_id % 6 = 0 AND n_chars > 200),
+piece AS (SELECT id, base AS s, a - 1 AS e, '_' || (base + 1) || '_' || (a - 1) AS label FROM cut UNION ALL SELECT id, a - 1, b - 1, '_' || a || '_' || (b - 1) FROM cut
+  UNION ALL SELECT id, max(b) - 1, n_chars, '_' || (max(b) - 1) || '_' || n_chars FROM cut JOIN documents ON doc_id = id GROUP BY id, n_chars HAVING max(b) - 1 < n_chars
+  UNION ALL SELECT doc_id, 0, length(text), '' FROM documents WHERE doc_id NOT IN (SELECT id FROM cut))
+SELECT id, 'doc' || id || label AS name, md5(substr(text, s + 1, e - s)) AS seq FROM piece JOIN documents ON doc_id = id""",
+)
+def _(spark, sf_dir):
+    long = table(spark, sf_dir, "documents").where("n_chars > 200").select(F.col("doc_id").alias("contig_id"))
+    cuts = long.where("contig_id % 3 = 0").select("contig_id", F.lit(41).alias("a"), F.lit(61).alias("b")).union(long.where("contig_id % 6 = 0").select("contig_id", F.lit(101), F.lit(151)))
+    return split.split_sequences(texts(spark, sf_dir), cuts).select("id", "name", F.md5("seq").alias("seq"))
+
+
+# The graph view: suppliers as contigs, edges as above.
+N_SQL = "(SELECT count(DISTINCT l_suppkey) FROM lineitem)"
+ADJ_SQL = (
+    EDGE_SQL
+    + """, directed AS (SELECT "start" AS src, "end" AS dst, weight FROM edge UNION ALL SELECT "end", "start", weight FROM edge),
+adj AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst)::INT AS rnk FROM directed)"""
+)
+TRUST_SQL = ADJ_SQL + f""", trusted AS (SELECT src, dst, weight FROM directed ORDER BY weight DESC, src, dst LIMIT (SELECT {N_SQL} * {N_SQL} // 4))"""
+SEED_SQL = TRUST_SQL + f""", walk AS (SELECT *, row_number() OVER (ORDER BY weight, src, dst) AS k FROM trusted),
+ends AS (SELECT c AS contig_id, min(k) AS k FROM (SELECT src AS c, k FROM walk UNION ALL SELECT dst, k FROM walk) GROUP BY c),
+seed AS (SELECT contig_id FROM ends WHERE k <= (SELECT max(k) FROM (SELECT k FROM ends ORDER BY k LIMIT (SELECT {N_SQL} // 2))))"""
+VOTES = 12
+VOTE_SQL = SEED_SQL + f""", near AS (SELECT src AS host, dst, rnk FROM adj WHERE rnk <= {VOTES} AND src IN (FROM seed) AND dst IN (FROM seed)),
+vote AS (SELECT least(host, dst) AS "start", greatest(host, dst) AS "end", host FROM near UNION ALL SELECT least(x.dst, y.dst), greatest(x.dst, y.dst), x.host FROM near x JOIN near y ON x.host = y.host AND x.rnk < y.rnk),
+votes AS (SELECT "start", "end", list_sort(list(DISTINCT host)) AS supporters FROM vote GROUP BY ALL)"""
+KERNEL_SQL = VOTE_SQL + """, sets AS (SELECT supporters AS ids, count(*) AS m FROM votes GROUP BY 1),
+inside AS (SELECT p.ids AS parent, c.ids AS child, c.m FROM sets p JOIN sets c ON list_has_all(p.ids, c.ids)),
+kernel AS (SELECT parent AS ids, (sum(m) - 1)::BIGINT AS subsets FROM inside GROUP BY 1 HAVING parent NOT IN (SELECT child FROM inside WHERE child <> parent)),
+numbered AS (SELECT ids, (row_number() OVER (ORDER BY subsets DESC, ids) - 1)::INT AS set_id FROM kernel),
+long AS (SELECT set_id, unnest(ids) AS member FROM numbered),
+shared AS (SELECT x.set_id AS set_a, y.set_id AS set_b, list_sort(list(x.member)) AS ids FROM long x JOIN long y ON x.member = y.member AND x.set_id < y.set_id GROUP BY ALL HAVING count(*) > 1)"""
+
+
+def directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(E.directed(edge_table(spark, sf_dir)), "directed")
+
+
+def n_suppliers(spark: SparkSession, sf_dir: str) -> int:
+    return supplier_sites(spark, sf_dir).count()
+
+
+@query("adjacency_rank", f"WITH {ADJ_SQL} SELECT src, dst, weight, rnk FROM adj")
+def _(spark, sf_dir):
+    return G.adjacency_rank(E.directed(edge_table(spark, sf_dir)))
+
+
+@query(
+    "trust_pos",
+    f"""WITH {ADJ_SQL}, step AS (SELECT src, rnk, weight - lag(weight) OVER (PARTITION BY src ORDER BY rnk) AS d FROM adj),
+best AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d DESC, rnk) AS k, count(*) OVER (PARTITION BY src) AS n FROM step WHERE d IS NOT NULL)
+SELECT src AS contig_id, (CASE WHEN n + 1 > 2 THEN rnk - 1 ELSE 1 END)::INT AS trust_pos FROM best WHERE k = 1""",
+)
+def _(spark, sf_dir):
+    return G.trust_positions(G.adjacency_rank(E.directed(edge_table(spark, sf_dir))))
+
+
+@query("top_trust_edges", f"WITH {TRUST_SQL} SELECT src, dst, weight FROM trusted")
+def _(spark, sf_dir):
+    return G.top_trust_edges(E.directed(edge_table(spark, sf_dir)), n_suppliers(spark, sf_dir))
+
+
+def seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranked neighbours and seeds."""
+    both, n = directed_edges(spark, sf_dir), n_suppliers(spark, sf_dir)
+    return G.adjacency_rank(both), G.seed_contigs(G.top_trust_edges(both, n), n)
+
+
+@query("seed_contigs", f"WITH {SEED_SQL} SELECT contig_id FROM seed")
+def _(spark, sf_dir):
+    return seeded(spark, sf_dir)[1]
+
+
+@query("edge_votes", f"""WITH {VOTE_SQL} SELECT "start", "end", array_to_string(supporters, ',') AS supporters FROM votes""")
+def _(spark, sf_dir):
+    return G.edge_votes(*seeded(spark, sf_dir), VOTES).withColumn("supporters", F.array_join("supporters", ","))
+
+
+def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(G.kernel_candidates(G.edge_votes(*seeded(spark, sf_dir), VOTES)), "kernels")
+
+
+@query("kernel_candidates", f"WITH {KERNEL_SQL} SELECT array_to_string(ids, ',') AS ids, subsets FROM kernel")
+def _(spark, sf_dir):
+    return kernels(spark, sf_dir).select(F.array_join("ids", ",").alias("ids"), "subsets")
+
+
+@query("kernel_intersections", f"WITH {KERNEL_SQL} SELECT set_a, set_b, array_to_string(ids, ',') AS ids FROM shared")
+def _(spark, sf_dir):
+    return G.kernel_intersections(G.numbered_candidates(kernels(spark, sf_dir))).select("set_a", "set_b", F.array_join("ids", ",").alias("ids"))
+
+
+GROUP_SQL = "grp AS (SELECT (s_suppkey % 5)::INT AS group_id, s_suppkey::INT AS contig_id FROM supplier WHERE s_suppkey % 7 <> 0)"
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in five groups; every seventh in none."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0")
+    return s.select((F.col("s_suppkey") % 5).cast("int").alias("group_id"), F.col("s_suppkey").cast("int").alias("contig_id"))
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as contigs (id, length)."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), F.char_length("s_name").alias("length"), F.col("s_nationkey").alias("nation")).select("id", (F.col("length") + F.col("nation")).cast("bigint").alias("length"))
+
+
+@query("group_evidence", f"""WITH {ADJ_SQL}, {GROUP_SQL}, met AS (SELECT src AS contig_id, group_id, weight, row_number() OVER (PARTITION BY src, group_id ORDER BY rnk) AS k FROM adj JOIN grp ON grp.contig_id = dst)
+SELECT contig_id, group_id, round(sum(weight), 9) AS mark FROM met WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM grp GROUP BY group_id)) GROUP BY ALL""")
+def _(spark, sf_dir):
+    own = groups(spark, sf_dir)
+    limit = G.least_group_size(own).first()["edge_limit"]
+    return G.group_evidence(G.adjacency_rank(E.directed(edge_table(spark, sf_dir))), own, limit).withColumn("mark", F.round("mark", 9))
+
+
+@query("group_relation", f"""WITH {ADJ_SQL}, {GROUP_SQL}, one AS (SELECT src, dst, max(weight) AS weight FROM directed GROUP BY ALL),
+met AS (SELECT a.group_id AS group_a, b.group_id AS group_b, weight, row_number() OVER (PARTITION BY a.group_id, b.group_id ORDER BY weight DESC, src, dst) AS k FROM one JOIN grp a ON a.contig_id = dst JOIN grp b ON b.contig_id = src WHERE a.group_id < b.group_id)
+SELECT group_a, group_b, round(sum(weight), 9) AS relation FROM met WHERE k <= 10 GROUP BY ALL""")
+def _(spark, sf_dir):
+    return G.group_relation(groups(spark, sf_dir), E.directed(edge_table(spark, sf_dir)), 10).withColumn("relation", F.round("relation", 9))
+
+
+@query("partition_balance", f"WITH {GROUP_SQL} SELECT round(stddev_pop(l), 6) AS mark FROM (SELECT group_id, sum(length(s_name) + s_nationkey)::DOUBLE AS l FROM grp JOIN supplier ON s_suppkey = contig_id GROUP BY 1)")
+def _(spark, sf_dir):
+    return G.partition_balance(G.group_lengths(groups(spark, sf_dir), lengths(spark, sf_dir))).withColumn("mark", F.round("mark", 6))
+
+
+@query("unassigned", f"WITH {GROUP_SQL} SELECT s_suppkey::INT AS id, (length(s_name) + s_nationkey)::BIGINT AS length FROM supplier WHERE s_suppkey NOT IN (SELECT contig_id FROM grp)")
+def _(spark, sf_dir):
+    return G.unassigned(lengths(spark, sf_dir), groups(spark, sf_dir))
+
+
+# Nations as lines of an allele table: two ignored columns, then names of nations, one of them unknown.
+@query(
+    "allele_lookup",
+    """WITH line AS (SELECT n_nationkey::BIGINT AS line_no, unnest([n_name, 'nobody', coalesce(r_name, '')]) AS name, unnest([0, 1, 2]) AS allele_idx FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT line_no, allele_idx::INT AS allele_idx, coalesce((SELECT min(n_nationkey) FROM nation m WHERE m.n_name = line.name), -1)::INT AS contig_id FROM line""",
+)
+def _(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    lines = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").cast("bigint").alias("id"), F.concat_ws("\t", F.lit("chr"), F.lit("0"), "n_name", F.lit("nobody"), "r_name").alias("value"))
+    return allele_table(lines, nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), 3)
+
+
+@query("components", f"""WITH RECURSIVE {EDGE_SQL}, strong AS (SELECT "start" AS a, "end" AS b FROM edge WHERE ("start" + "end") % 7 = 0 AND "start" <> "end"),
+both_ways AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
+reach AS (SELECT a AS node, a AS c FROM both_ways UNION SELECT b.a, r.c FROM both_ways b JOIN reach r ON r.node = b.b)
+SELECT node, min(c) AS component FROM reach GROUP BY node""")
+def _(spark, sf_dir):
+    return connected_components(edge_table(spark, sf_dir).where("(start + end) % 7 = 0 AND start <> end"), "start", "end")
+
+
+@query("partition_groups")
+def _(spark, sf_dir):
+    return partition(lengths(spark, sf_dir), materialize(edge_table(spark, sf_dir), "edges"), 3)
