@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: 64-bit words of the bit table that sorts out most positions before any join.
+#: 64-bit words of each bit table that sorts out nearly all positions before any join.
 TABLE = 4096
+#: For the hash of a whole window, the shifts whose bits choose a place in either of two tables.
+SHIFTS = (0, 20)
 #: The distinct windows, and the bytes of them, up to which they are broadcast; beyond, both sides are shuffled.
 MAX_WINDOWS, MAX_BYTES = 500_000, 48 << 20
 
@@ -27,43 +29,65 @@ def _probe(hashes: Column, at: Column, length: int) -> Column:
     return F.xxhash64(*(F.get(hashes, at + k) for k in sorted({0, length // 2, length - 1})))
 
 
+def _whole(hashes: Column, at: Column, length: int) -> Column:
+    """A hash of all words of the window at a position."""
+    return F.xxhash64(*(F.get(hashes, at + k) for k in range(length)), F.lit(length))
+
+
+def _place(h: Column, shift: int = 0) -> tuple[Column, Column]:
+    """The slot of a table, and the bit in it, that a hash stands for."""
+    return F.shiftrightunsigned(h, shift + 6).bitwiseAND(F.lit(TABLE - 1)), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _has(table: Column, h: Column, shift: int = 0) -> Column:
+    slot, bit = _place(h, shift)
+    return F.call_function("shiftright", F.get(table, slot.cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+
+
 def _windows(bench: DataFrame, n: int, item_col: str, text_col: str) -> DataFrame:
-    """(item, length, window, probe) for each window of each item."""
+    """(item, length, window, probe, whole) for each window of each item."""
     items = bench.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).where("size(words) > 0")
     items = items.withColumns({"length": F.least(F.lit(n), F.size("words")), "hashes": F.transform("words", lambda w: F.xxhash64(w))})
     starts = F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at")
     rows = items.select("item", "length", "words", "hashes", starts)
-    probe = F.coalesce(*(F.when(F.col("length") == k, _probe(F.col("hashes"), F.col("at"), k)) for k in range(1, n + 1)))
-    return rows.select("item", "length", F.array_join(F.slice("words", F.col("at") + 1, F.col("length")), " ").alias("window"), probe.alias("probe"))
 
+    def hashed(of) -> Column:
+        return F.coalesce(*(F.when(F.col("length") == k, of(F.col("hashes"), F.col("at"), k)) for k in range(1, n + 1)))
 
-def _bits(windows: DataFrame) -> dict[int, str]:
-    """For each window length, the bit table of its probes; at most ``TABLE`` rows a length reach the driver."""
-    slot = F.shiftrightunsigned("probe", 6).bitwiseAND(F.lit(TABLE - 1)).alias("slot")
-    bit = F.expr("shiftleft(1L, cast(probe & 63 AS int))").alias("bit")
-    tables: dict[int, list[int]] = {}
-    for length, k, bits in windows.select("length", slot, bit).groupBy("length", "slot").agg(F.bit_or("bit")).collect():
-        tables.setdefault(length, [0] * TABLE)[k] = bits
-    return {length: ",".join(map(str, t)) for length, t in tables.items()}
+    return rows.select("item", "length", F.array_join(F.slice("words", F.col("at") + 1, F.col("length")), " ").alias("window"), hashed(_probe).alias("probe"), hashed(_whole).alias("whole"))
 
 
-def _candidates(words: str, hashes: str, bits: dict[int, str]) -> Column:
-    """(pos, length, window) for the positions that the bit tables leave."""
-    def of(length: int, table: str) -> Column:
-        bit_table = F.split(F.lit(table), ",").cast("array<bigint>")
+def _bits(windows: DataFrame) -> dict[int, list[str]]:
+    """For each window length three bit tables: of its probes, and two of its whole hashes.
+
+    At most ``3 * TABLE`` rows a length reach the driver, however many windows there are.
+    """
+    marks = [_place(F.col("probe")), *(_place(F.col("whole"), s) for s in SHIFTS)]
+    one = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), slot.alias("slot"), bit.alias("bit")) for k, (slot, bit) in enumerate(marks)))).alias("m")
+    rows = windows.select("length", one).select("length", "m.t", "m.slot", F.expr("shiftleft(1L, m.bit)").alias("bit"))
+    tables: dict[int, list[list[int]]] = {}
+    for length, t, slot, bits in rows.groupBy("length", "t", "slot").agg(F.bit_or("bit")).collect():
+        tables.setdefault(length, [[0] * TABLE for _ in marks])[t][slot] = bits
+    return {length: [",".join(map(str, t)) for t in ts] for length, ts in tables.items()}
+
+
+def _candidates(words: str, hashes: str, bits: dict[int, list[str]]) -> Column:
+    """(pos, stop, window) for the positions that the bit tables leave."""
+
+    def of(length: int, tables: list[str]) -> Column:
+        first, *others = (F.split(F.lit(t), ",").cast("array<bigint>") for t in tables)
         last = F.size(words) - length
         every = F.transform(F.sequence(F.lit(0), last), lambda i: _probe(F.col(hashes), i, length))
         probes = F.when(last >= 0, every).otherwise(F.array().cast("array<bigint>"))
+        at = F.array_compact(F.transform(probes, lambda h, i: F.when(_has(first, h), i)))
+        whole = F.transform(at, lambda i: F.struct(i.alias("pos"), _whole(F.col(hashes), i, length).alias("h")))
+        left = F.filter(whole, lambda x: _has(others[0], x["h"], SHIFTS[0]) & _has(others[1], x["h"], SHIFTS[1]))
 
-        def left(h: Column, i: Column) -> Column:
-            slot = F.get(bit_table, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(TABLE - 1)).cast("int"))
-            hit = F.call_function("shiftright", slot, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-            return F.when(hit, i)
-
-        def window(i: Column) -> Column:
-            return F.struct(i.alias("pos"), (i + length).alias("stop"), F.array_join(F.slice(F.col(words), i + 1, F.lit(length)), " ").alias("window"))
+        def window(x: Column) -> Column:
+            text = F.array_join(F.slice(F.col(words), x["pos"] + 1, F.lit(length)), " ")
+            return F.struct(x["pos"].alias("pos"), (x["pos"] + length).alias("stop"), text.alias("window"))
 
-        return F.transform(F.array_compact(F.transform(probes, left)), window)
+        return F.transform(left, window)
 
     found = [of(*x) for x in sorted(bits.items())]
     return F.concat(*found) if found else F.array().cast("array<struct<pos:int,stop:int,window:string>>")
@@ -118,7 +142,7 @@ def contamination(docs: DataFrame, bench: DataFrame, *, n: int = 10, id_col: str
     ``n_hit`` counts the words inside any occurrence of any window, ``item_ids`` are the items (as sorted
     strings) with such windows, ``spans`` the occurrences as (pos, stop) in words.
 
-    A bit table of the windows' first, middle and last words sorts out nearly all positions inside the scan;
+    Bit tables, of the windows' first, middle and last words and of all words, sort out nearly all positions inside the scan;
     what stays is joined on the window's whole words. The windows are broadcast if they are as few as
     ``MAX_WINDOWS`` and as small as ``MAX_BYTES``, which is measured; beyond that both sides are shuffled.
 
