@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tessera.llm.shingles import mixed, shingle_set
 from tessera.llm.text import key_and_text, text_batches
 from tessera.operators.components import connected_components
-from tessera.session import materialize
+from tessera.session import Scratch, materialize
 
 #: With 40 bands of 5 rows a pair of similarity 0.8 shares no band with probability 1.3e-7.
 BANDS, ROWS = 40, 5
@@ -220,46 +220,48 @@ def near_duplicates(
 
     Null and empty texts, and those without words, have an empty set and link with nothing; rows without an id
     link with nothing and are kept, in no class; repeated rows all get the same result; other columns are left
-    out; an empty table gives an empty result.
+    out; an empty table gives an empty result. The result is a written table; those it took are deleted.
     """
     num, den, threshold = percent, 100, percent / 100
     texts = key_and_text(docs, id_col, text_col)
-    sketched = materialize(_sketches(texts, shingle, bands, rows), "sketches")
-    heads = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = sketched.withColumnRenamed("doc_id", "node").join(heads, ["digest", "node"]).select("node", "digest", "n", "sig", "keys")
-    slots = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
-    tie = F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("order"), F.col("node").alias("leader"))
-    buckets = slots.groupBy("key").agg(F.count("*").alias("size"), F.min(tie).alias("least")).where("size > 1").select("key", "size", F.col("least.leader").alias("leader"))
-    members = materialize(slots.join(buckets, "key"), "members")
-
-    active = members.select("node").distinct()
-    sketches = materialize(nodes.join(active, "node").select("node", "digest", "n", "sig").dropDuplicates(["node"]), "active")
-    wanted = texts.join(sketches.select(F.col("node").alias("doc_id"), "digest"), "doc_id")
-    wanted = wanted.groupBy("doc_id", "digest", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("doc_id", "text", "digest")
-    sets = materialize(_sets(wanted, shingle), "sets")
-
-    tried = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = materialize(_verified(_pruned(tried, sketches, threshold, miss, num, den), sets, num, den), "links")
-    comps = connected_components(links).withColumnRenamed("component", "comp")
-
-    known = members.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    homes = comps.select(F.col("node").alias("leader"), F.col("comp").alias("home"))
-    known = known.join(homes, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
-    split = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = materialize(known.join(split, "key").select("key", "node", "comp", "home", "size"), "open")
-    small = open_.where(F.col("size") <= BLOCK)
-    u = small.where("comp <> home").select("key", F.col("node").alias("p"), F.col("comp").alias("cp"))
-    v = small.select("key", F.col("node").alias("q"), F.col("comp").alias("cq"))
-    near = u.join(v, "key").where("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    near = _pruned(near, sketches, threshold, miss, num, den)
-    far = _within_large(open_.where(F.col("size") > BLOCK), sketches, sets, threshold, miss, num, den)
-    more = materialize(_verified(near, sets, num, den).union(far), "more-links")
-    classes = connected_components(links.union(more)).withColumnRenamed("component", "component_id")
-
-    named = heads.join(classes, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
-    result = sketched.select("doc_id", "n", "digest").join(named, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with Scratch(docs.sparkSession) as scratch:
+        sketched = scratch.table(_sketches(texts, shingle, bands, rows), "sketches")
+        heads = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
+        nodes = sketched.withColumnRenamed("doc_id", "node").join(heads, ["digest", "node"]).select("node", "digest", "n", "sig", "keys")
+        slots = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+        tie = F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("order"), F.col("node").alias("leader"))
+        buckets = slots.groupBy("key").agg(F.count("*").alias("size"), F.min(tie).alias("least")).where("size > 1").select("key", "size", F.col("least.leader").alias("leader"))
+        members = scratch.table(slots.join(buckets, "key"), "members")
+
+        active = members.select("node").distinct()
+        sketches = scratch.table(nodes.join(active, "node").select("node", "digest", "n", "sig").dropDuplicates(["node"]), "active")
+        wanted = texts.join(sketches.select(F.col("node").alias("doc_id"), "digest"), "doc_id")
+        wanted = wanted.groupBy("doc_id", "digest", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("doc_id", "text", "digest")
+        sets = scratch.table(_sets(wanted, shingle), "sets")
+
+        tried = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        links = scratch.table(_verified(_pruned(tried, sketches, threshold, miss, num, den), sets, num, den), "links")
+        comps = connected_components(links).withColumnRenamed("component", "comp")
+
+        known = members.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        homes = comps.select(F.col("node").alias("leader"), F.col("comp").alias("home"))
+        known = known.join(homes, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
+        split = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        open_ = scratch.table(known.join(split, "key").select("key", "node", "comp", "home", "size"), "open")
+        small = open_.where(F.col("size") <= BLOCK)
+        u = small.where("comp <> home").select("key", F.col("node").alias("p"), F.col("comp").alias("cp"))
+        v = small.select("key", F.col("node").alias("q"), F.col("comp").alias("cq"))
+        near = u.join(v, "key").where("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        near = _pruned(near, sketches, threshold, miss, num, den)
+        far = _within_large(open_.where(F.col("size") > BLOCK), sketches, sets, threshold, miss, num, den)
+        more = scratch.table(_verified(near, sets, num, den).union(far), "more-links")
+        classes = connected_components(links.union(more)).withColumnRenamed("component", "component_id")
+
+        named = heads.join(classes, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
+        result = sketched.select("doc_id", "n", "digest").join(named, "digest", "left")
+        component = F.coalesce("component_id", "doc_id")
+        result = result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        return materialize(result, "near-duplicates")
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
