@@ -182,13 +182,12 @@ def _linked(q: pd.DataFrame, r: pd.DataFrame, threshold: float, miss: float, num
 def _within_large(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, miss: float, num: int, den: int) -> DataFrame:
     """Links of large buckets between a member outside its leader's class and members of other classes.
 
-    ``members``: (key, node, comp, home), home the leader's class. A bucket's rows are dealt to blocks of about
+    ``members``: (key, node, n, comp, home), home the leader's class. A bucket's rows are dealt to blocks of about
     ``BLOCK_SHINGLES`` shingles; those outside the home class go to every block, in parts of their own, so that
     no task holds more than a block and a part. A task gives links between classes, not pairs.
     """
-    rows = members.join(sketches.select("node", "n", "sig"), "node").join(sets, "node")
-    weight = members.join(sketches.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    at = rows.join(weight, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    weight = members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    at = members.join(sketches.select("node", "sig").join(sets, "node"), "node").join(weight, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     outer = members.where("comp <> home").join(weight, "key").select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part")).distinct()
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     shown = ("node", "comp", "n", "sig", "shingles")
@@ -228,7 +227,7 @@ def near_duplicates(
         sketched = scratch.table(_sketches(texts, shingle, bands, rows), "sketches")
         heads = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
         nodes = sketched.withColumnRenamed("doc_id", "node").join(heads, ["digest", "node"]).select("node", "digest", "n", "sig", "keys")
-        slots = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+        slots = nodes.select("node", "n", F.explode("keys").alias("key")).repartition("key")
         tie = F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("order"), F.col("node").alias("leader"))
         buckets = slots.groupBy("key").agg(F.count("*").alias("size"), F.min(tie).alias("least")).where("size > 1").select("key", "size", F.col("least.leader").alias("leader"))
         members = scratch.table(slots.join(buckets, "key"), "members")
@@ -247,7 +246,7 @@ def near_duplicates(
         homes = comps.select(F.col("node").alias("leader"), F.col("comp").alias("home"))
         known = known.join(homes, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
         split = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        open_ = scratch.table(known.join(split, "key").select("key", "node", "comp", "home", "size"), "open")
+        open_ = scratch.table(known.join(split, "key").select("key", "node", "n", "comp", "home", "size"), "open")
         small = open_.where(F.col("size") <= BLOCK)
         u = small.where("comp <> home").select("key", F.col("node").alias("p"), F.col("comp").alias("cp"))
         v = small.select("key", F.col("node").alias("q"), F.col("comp").alias("cq"))
