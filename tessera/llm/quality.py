@@ -17,6 +17,8 @@ MAX_LABELLED = 20_000
 NAMES = ("log_words", "word_length", "symbols", "spaces", "upper", "digits", "other_ascii", "other", "dup_lines", "repeat_words", "common")
 #: Bounds of the log odds that one text's own evidence can have.
 CLIP = 12.0
+#: Sections up to which their posteriors are broadcast.
+MAX_BROADCAST = 200_000
 #: The probability of a good text under which it is rejected: low, as a clean text lost costs more than a poor one kept.
 THRESHOLD = 0.2
 
@@ -135,7 +137,9 @@ class QualityModel:
         self.counts = materialize(counts, "quality")
         self.classifier = fit_classifier(self.counts, labels, max_labelled=max_labelled)
         own = 1 / (1 + F.exp(-self.classifier.log_odds()))
-        self.shifts = site_posteriors(self.counts.select("host", "path", own.alias("p")))
+        shifts = site_posteriors(self.counts.select("host", "path", own.alias("p")))
+        # Broadcast while sections are few, which is counted; else the join shuffles.
+        self.shifts = F.broadcast(shifts) if shifts.count() <= MAX_BROADCAST else shifts
 
     def scored(self, counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """``counts`` (with host and path) with document_odds, site_shift, score and kept."""
