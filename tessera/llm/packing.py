@@ -91,9 +91,12 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], i
 @cache
 def byte_encoder(json_path: str, rank_path: str | None) -> Callable[[list[str]], list[list[int]]]:
     """Ids of texts by the tokenizers file; plain texts by the same vocabulary's ranks, which is faster."""
-    slow = hf_tokenizer(json_path)
+
+    def slow(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in hf_tokenizer(json_path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
     if rank_path is None:
-        return lambda texts: [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
+        return slow
     import public_tokenizers
     import tiktoken
 
@@ -103,8 +106,8 @@ def byte_encoder(json_path: str, rank_path: str | None) -> Callable[[list[str]],
 
     def encode(texts: list[str]) -> list[list[int]]:
         plain = [bool(_PLAIN(t)) and "<|" not in t for t in texts]
-        rest = iter(slow.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [fast.encode_ordinary(t) if p else next(rest).ids for t, p in zip(texts, plain, strict=True)]
+        rest = iter(slow([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [fast.encode_ordinary(t) if p else next(rest) for t, p in zip(texts, plain, strict=True)]
 
     return encode
 

@@ -8,7 +8,7 @@ import xxhash
 from tessera.llm.text import ascii_words
 
 #: Words whose hash a worker remembers.
-_KEPT = 1 << 19
+_KEPT = 1 << 16
 
 
 class _WordHash(dict):
