@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Bytes read at a time.
 READ = 4 << 20
 BAM_SCHEMA = "file string, rec_no bigint, ref_name string, pos int, next_ref_name string, next_pos int, mapq smallint"
-_EDGE, _CONTIG_HEAD = np.dtype([("start", "<i4"), ("end", "<i4"), ("weight", "<f8")]), struct.Struct("<q")
+_EDGE = np.dtype([("start", "<i4"), ("end", "<i4"), ("weight", "<f8")])
 _PAIR = np.dtype([("ref_id", "<i4"), ("pos", "<i4"), ("next_ref_id", "<i4"), ("next_pos", "<i4")])
 
 
@@ -174,7 +174,7 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
                 with store.open_input_stream(at) as stream:
                     data = _Bytes(iter(lambda: stream.read(READ), b""))
                     rows = []
-                    for i in range(_CONTIG_HEAD.unpack(data.take(8))[0]):
+                    for i in range(struct.unpack("<q", data.take(8))[0]):
                         text = data.take(struct.unpack("<i", data.take(4))[0]).decode()
                         rows.append({"id": i, "name": text, "length": struct.unpack("<i", data.take(4))[0]})
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int32()), ("name", pa.string()), ("length", pa.int32())]))
@@ -187,7 +187,7 @@ def _written(df: DataFrame, path: str, encode, counted: bool) -> None:
     store, at = open_path(path)
     with store.open_output_stream(at) as out:
         if counted:
-            out.write(_CONTIG_HEAD.pack(df.count()))
+            out.write(struct.pack("<q", df.count()))
         for row in df.toLocalIterator():
             out.write(encode(row))
 
