@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -123,9 +122,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     chunk's rows are reduced to a minimum before the shuffle, and the join that marks the others can be split.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("id_"), F.hash(text).alias("mark_"), text.alias("text_"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("id_"), F.hash(text).alias("mark_"))
+    # The text travels once, inside its row.
+    inner = F.coalesce(F.col(f"doc_.`{text_col}`").cast("string"), F.lit(""))
     # Chunked twice rather than written: the digests of all chunks take half as much room as the texts.
-    told = _chunked(rows.where("id_ IS NOT NULL AND text_ <> ''"))
+    told = _chunked(rows.withColumn("text_", inner).where("id_ IS NOT NULL AND text_ <> ''"))
     chunks = told.select("id_", "mark_", F.posexplode("digests").alias("pos", "digest"))
     first = chunks.groupBy("digest").agg(F.min("id_").alias("first"), F.max("id_").alias("last")).where("first < last").select("digest", "first")
     place = F.shiftleft(F.col("mark_").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
@@ -134,16 +135,18 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     marked = again.select("id_", mark.alias("mark_"), pos.alias("pos")).groupBy("id_", "mark_").agg(F.collect_set("pos").alias("again_"))
     kind = "struct<text: string, spans: array<struct<start: int, stop: int>>>"
 
-    @F.pandas_udf(kind)
-    def cut(texts: pd.Series, chunk_sets: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, again_ in zip(texts, chunk_sets, strict=True):
-            data = t.encode()
-            spans = repeated_spans(data, list(again_), min_words)
-            out.append((without(data, spans) if spans else t, [{"start": s, "stop": e} for s, e in spans]))
-        return pd.DataFrame(out, columns=["text", "spans"])
-
-    both = rows.join(marked, ["id_", "mark_"], "left").withColumn("bytes_", F.octet_length("text_").cast("long"))
+    @F.arrow_udf(kind)
+    def cut(texts: pa.Array, chunk_sets: pa.Array) -> pa.Array:
+        left, spans = [], []
+        for text, again_ in zip(texts, chunk_sets, strict=True):
+            data = text.as_py().encode()
+            found = repeated_spans(data, again_.as_py(), min_words)
+            left.append(without(data, found))
+            spans.append([{"start": s, "stop": e} for s, e in found])
+        span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(spans, pa.list_(span))], names=["text", "spans"])
+
+    both = rows.join(marked, ["id_", "mark_"], "left").withColumns({"text_": inner, "bytes_": F.octet_length(inner).cast("long")})
     none = F.array().cast("array<struct<start:int,stop:int>>")
     alone = both.where("again_ IS NULL").select("doc_", "text_", none.alias("spans_"), "bytes_")
     changed = both.where("again_ IS NOT NULL").withColumn("cut_", cut("text_", "again_"))
