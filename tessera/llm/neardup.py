@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -152,30 +151,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b")
 
 
-def _linked(q: pd.DataFrame, r: pd.DataFrame, threshold: float, miss: float, num: int, den: int) -> list[tuple]:
-    """For each row of ``q``, a link to each other class of ``r`` that has one.
+def _linked(group: pa.Table, threshold: float, miss: float, num: int, den: int) -> list[tuple]:
+    """For each row that asks (``query``), a link to each other class among the others that has one.
 
     Members are tried in the order of their signatures' agreement, those that posterior bounds leave; the whole
     sets decide, and a class once linked isn't tried again.
     """
     found: list[tuple] = []
-    sig = np.frombuffer(b"".join(r["sig"]), "<u2").reshape(len(r), -1)
-    nodes, comps, sizes = r["node"].to_numpy(), r["comp"].to_numpy(), r["n"].to_numpy()
+    nodes, comps = group["node"].to_pylist(), group["comp"].to_pylist()
+    sizes = group["n"].to_numpy()
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(len(nodes), -1)
+    lists = group["shingles"].combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     # Sets are sorted as unsigned numbers, which Spark's longs aren't.
-    sets, asked = ([np.asarray(x, np.int64).view(np.uint64) for x in side["shingles"]] for side in (r, q))
-    for x, comp, n, s, own in zip(q["node"], q["comp"], q["n"], q["sig"], asked, strict=True):
-        rows = np.flatnonzero((comps != comp) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num))
-        one = np.broadcast_to(np.frombuffer(s, "<u2"), (len(rows), sig.shape[1]))
+    sets = [values[i:j].view(np.uint64) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    asks = group["query"].to_numpy(zero_copy_only=False)
+    number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+    classes = np.array([number[c] for c in comps])
+    rest = np.flatnonzero(~asks)
+    for x in np.flatnonzero(asks):
+        own, n = sets[x], sizes[x]
+        rows = rest[(classes[rest] != classes[x]) & (np.minimum(sizes[rest], n) * den >= np.maximum(sizes[rest], n) * num)]
+        one = np.broadcast_to(sig[x], (len(rows), sig.shape[1]))
         rows = rows[survivors(sig[rows], one, threshold, miss)]
         agree = (sig[rows] == one[: len(rows)]).sum(axis=1)
         met: set = set()
         for y in rows[np.argsort(-agree, kind="stable")]:
-            if comps[y] in met:
+            if classes[y] in met:
                 continue
             shared = int((own[np.minimum(np.searchsorted(own, sets[y]), len(own) - 1)] == sets[y]).sum())
             if shared * den >= (len(own) + len(sets[y]) - shared) * num:
-                met.add(comps[y])
-                found.append((x, nodes[y]))
+                met.add(classes[y])
+                found.append((nodes[x], nodes[y]))
     return found
 
 
@@ -196,11 +203,12 @@ def _within_large(members: DataFrame, sketches: DataFrame, sets: DataFrame, thre
     node = sketches.schema["node"].dataType
     schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        q, r = group[group["query"]], group[~group["query"]]
-        return pd.DataFrame(_linked(q, r, threshold, miss, num, den) if len(q) and len(r) else [], columns=["a", "b"])
+    def run(group: pa.Table) -> pa.Table:
+        found = _linked(group, threshold, miss, num, den) if len(group) else []
+        kind = group.schema.field("node").type
+        return pa.table({name: pa.array([f[k] for f in found], kind) for k, name in enumerate(("a", "b"))})
 
-    return left.unionByName(right).groupBy("key", "part", "block").applyInPandas(run, schema)
+    return left.unionByName(right).groupBy("key", "part", "block").applyInArrow(run, schema)
 
 
 def near_duplicates(
