@@ -6,6 +6,7 @@ and the adjacency of contigs: those come to the driver, behind a check of their
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from dataclasses import dataclass
@@ -115,9 +116,11 @@ def assigned(groups: list[set[int]], contigs: list[int], near: Neighbours) -> li
     """Groups with the remaining contigs, each round the one of most evidence, while there is any.
 
     Between two rounds evidence changes only for contigs with an edge to the one that moved, or when the smallest
-    group grows; only those are looked at again.
+    group grows; only those are looked at again. Where no contig is in two groups, sums are kept up to date instead.
     """
     groups = [set(g) for g in groups]
+    if sum(map(len, groups)) == len(set().union(*groups)):
+        return _assigned_apart(groups, contigs, near)
     rest = set(contigs).difference(*groups)
     to: dict[int, set[int]] = {}
     for a in rest:
@@ -143,6 +146,47 @@ def assigned(groups: list[set[int]], contigs: list[int], near: Neighbours) -> li
     return groups
 
 
+def _assigned_apart(groups: list[set[int]], contigs: list[int], near: Neighbours) -> list[set[int]]:
+    """:func:`assigned` for groups that share no contig: of each contig and group the edges by rank, and the sum of the first."""
+    home = {c: i for i, g in enumerate(groups) for c in g}
+    rest = sorted(set(contigs) - home.keys())
+    limit = min(map(len, groups))
+    inward: dict[int, list[tuple[int, int, float]]] = {}
+    edges = {c: [[] for _ in groups] for c in rest}
+    for c in rest:
+        for rank, (other, weight) in enumerate(near.order.get(c, ())):
+            inward.setdefault(other, []).append((c, rank, weight))
+            if other in home:
+                edges[c][home[other]].append((rank, weight))
+    sums = {c: [sum(w for _, w in e[:limit]) for e in edges[c]] for c in rest}
+
+    def mark(c: int) -> tuple[float, int]:
+        return max(((sums[c][i] if edges[c][i] else -1.0), -i) for i in range(len(groups)))
+
+    open_ = dict.fromkeys(rest)
+    while open_:
+        move = max(open_, key=lambda c: (mark(c)[0], -c))
+        best, group = mark(move)
+        if best < 0:
+            break
+        del open_[move]
+        groups[-group].add(move)
+        for c, rank, weight in inward.get(move, ()):
+            if c in open_:
+                own = edges[c][-group]
+                at = bisect.bisect(own, (rank, weight))
+                own.insert(at, (rank, weight))
+                if at < limit:
+                    sums[c][-group] += weight - (own[limit][1] if len(own) > limit else 0.0)
+        grown = min(map(len, groups))
+        if grown > limit:
+            for c in open_:
+                for i, own in enumerate(edges[c]):
+                    sums[c][i] += sum(w for _, w in own[limit:grown])
+            limit = grown
+    return groups
+
+
 def balance(groups: list[set[int]], lengths: dict[int, int]) -> float:
     sums = [float(sum(lengths[c] for c in g)) for g in groups]
     mean = sum(sums) / len(sums)
