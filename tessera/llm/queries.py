@@ -42,7 +42,7 @@ def _(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-@query("op5_near_duplicates")
+@query("op5_near_duplicates", sql.NEAR_DUPLICATES)
 def _(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -64,7 +64,7 @@ def _(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
-@query("op3_warc")
+@query("op3_warc", sql.WARC)
 def _(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = read_archives(write_archives(pages), pages.schema["page_id"].dataType)

@@ -42,3 +42,25 @@ v AS (SELECT g.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (chars >= 400 AND dc > 0.33 OR n_words >= 150 AND dw > 0.28) AS kept FROM v
 """
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+f AS (SELECT t, min(page_id) AS first FROM p GROUP BY t)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(t), (i // 4)::INT * 5 + 1, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (t)
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS s FROM d, unnest(range(1, greatest(len(w), 2))) AS x(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS k FROM sh GROUP BY doc_id),
+link AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE 100 * least(na.k, nb.k) >= 80 * greatest(na.k, nb.k) GROUP BY a.doc_id, b.doc_id, na.k, nb.k HAVING 100 * count(*) >= 80 * (na.k + nb.k - count(*))),
+both_ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x AS node, x AS c FROM both_ways UNION SELECT b.x, r.c FROM both_ways b JOIN reach r ON r.node = b.y),
+comp AS (SELECT node, min(c) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON node = d.doc_id
+"""
