@@ -16,26 +16,6 @@ def site_count(sequence: Column, motif: str, ignore_case: bool = False) -> Colum
     return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(m), F.lit("")))) / len(m)).cast("bigint")
 
 
-def site_positions(sequence: Column, motif: str, ignore_case: bool = False) -> Column:
-    """The positions, from 0, at which a motif starts, from left to right without overlap.
-
-    The sequence is split at the motif, so a position is the length of the parts before it and of the motifs between.
-    """
-    text, m = _found(sequence, motif, ignore_case)
-    quoted = "\\Q" + m + "\\E"
-    parts = F.transform(F.split(text, quoted, -1), lambda p: F.char_length(p))
-    # Running sums by a window over exploded parts would shuffle; here each sequence stays one row.
-    ends = F.transform(parts, lambda n, i: n + F.when(i > 0, len(m)).otherwise(0))
-    return F.when(text.isNotNull(), _running(ends, F.size(parts) - 1))
-
-
-def _running(lengths: Column, count: Column) -> Column:
-    """The first ``count`` running sums."""
-    state = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
-    whole = F.aggregate(lengths, state, lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["out"], F.array(s["sum"] + n)).alias("out")), lambda s: s["out"])
-    return F.slice(whole, F.lit(1), count)
-
-
 def sites(contigs: DataFrame, motif: str, ignore_case: bool = False) -> DataFrame:
     """``(contig_id, pos, length)``: a row for each site of ``contigs`` (id, seq).
 

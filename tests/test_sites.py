@@ -1,8 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from tessera.operators import align, motif
 
 
@@ -23,7 +21,6 @@ def test_sites_do_not_overlap_and_keep_case(spark, rows):
     assert rows(motif.sites(contigs, "GATC"), "contig_id", "pos") == [(1, 4)]
     assert rows(motif.sites(contigs, "GATC", ignore_case=True), "contig_id", "pos") == [(1, 0), (1, 4)]
     assert rows(motif.contig_sites(contigs, "AA")) == [(0, 2), (1, 0), (2, 0), (3, 0)]
-    assert [list(r[0]) for r in contigs.where("id < 2").orderBy("id").select(motif.site_positions(F.col("seq"), "AA")).collect()] == [[0, 2], []]
 
 
 def test_windows_merge(spark, rows):
