@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,7 @@ BANDS, ROWS = 40, 5
 STEP = 20
 #: Buckets up to this size are joined with themselves; larger ones are compared in blocks of about so many shingles.
 BLOCK, BLOCK_SHINGLES = 32, 400_000
-#: A bucket's leader is its node of the least hash, by one of so many hash functions: with few of them the buckets of
+#: A bucket's leader is its least node in one of so many orders: with few of them the buckets of
 #: a large group mostly share their leaders, and a node is compared with few.
 LEADERS = 4
 
@@ -71,6 +71,20 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np
     return alive
 
 
+def _leader_order(kind: T.DataType) -> tuple[Column, Column]:
+    """What a bucket's nodes are ordered by, to be reduced to its least, and the leader that the least stands for.
+
+    Whole numbers are compared after an exclusive or with one of ``LEADERS`` masks, which gives them back; others
+    by a hash that they travel with.
+    """
+    which = F.pmod("key", F.lit(LEADERS))
+    if isinstance(kind, T.IntegralType):
+        masks = np.random.default_rng(11).integers(0, 1 << 62, LEADERS).tolist()
+        mask = F.get(F.array(*map(F.lit, masks)), which.cast("int"))
+        return F.col("node").cast("long").bitwiseXOR(mask), F.col("least").bitwiseXOR(mask).cast(kind)
+    return F.struct(F.xxhash64("node", which).alias("order"), F.col("node").alias("leader")), F.col("least.leader")
+
+
 def _sketches(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
     """(doc_id, n, digest, sig, keys): set size, set digest, 16 bits of each hash, a key of each band."""
     id_type = rows.schema["doc_id"].dataType
@@ -235,9 +249,11 @@ def near_duplicates(
         sketched = scratch.table(_sketches(texts, shingle, bands, rows), "sketches")
         heads = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
         nodes = sketched.withColumnRenamed("doc_id", "node").join(heads, ["digest", "node"]).select("node", "digest", "n", "sig", "keys")
-        slots = nodes.select("node", "n", F.explode("keys").alias("key")).repartition("key")
-        tie = F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("order"), F.col("node").alias("leader"))
-        buckets = slots.groupBy("key").agg(F.count("*").alias("size"), F.min(tie).alias("least")).where("size > 1").select("key", "size", F.col("least.leader").alias("leader"))
+        # Written, and not dealt out by key once for both uses: counts are then reduced before their shuffle, and
+        # Spark can split the bucket of a large group in the join.
+        slots = scratch.table(nodes.select("node", "n", F.explode("keys").alias("key")), "slots")
+        order, leader = _leader_order(slots.schema["node"].dataType)
+        buckets = slots.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("least")).where("size > 1").select("key", "size", leader.alias("leader"))
         members = scratch.table(slots.join(buckets, "key"), "members")
 
         active = members.select("node").distinct()

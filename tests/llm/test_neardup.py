@@ -73,3 +73,8 @@ def test_posterior_bounds():
     assert N.least_matches(0.8, 1e-7, 20) < 0.8 * 20
     assert N.least_matches(0.8, 1e-7, 200) > 110
     assert N.least_matches(0.8, 0.4, 200) > N.least_matches(0.8, 1e-7, 200)
+
+
+def test_other_kinds_of_ids(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "something else")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in N.near_duplicates(docs, shingle=2).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
