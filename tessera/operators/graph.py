@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def adjacency_rank(directed: DataFrame) -> DataFrame:
     """``(src, dst, weight, rnk)``: each contig's neighbours, from 1, heaviest first."""
@@ -64,7 +66,7 @@ def kernel_candidates(votes: DataFrame) -> DataFrame:
 
     A set can only lie in sets that have its rarest member, so that member is the join's key.
     """
-    sets = votes.groupBy(F.col("supporters").alias("ids")).agg(F.count("*").alias("m")).where("size(ids) > 0")
+    sets = materialize(votes.groupBy(F.col("supporters").alias("ids")).agg(F.count("*").alias("m")).where("size(ids) > 0"), "sets")
     members = sets.select("ids", F.explode("ids").alias("member"))
     counts = members.groupBy("member").agg(F.count("*").alias("df"))
     rarest = members.join(counts, "member").groupBy("ids").agg(F.min(F.struct("df", "member")).alias("r")).select(F.col("ids").alias("child"), F.col("r.member").alias("member"))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def wide_regions(grid: DataFrame, sat: DataFrame, sensitivity: float, bin_size: int, depth: int) -> DataFrame:
     """``(contig_id, a, b)``: from the first grid point below the threshold to the next that isn't.
@@ -86,11 +88,13 @@ def narrow_regions(regions: DataFrame, grid: DataFrame, bin_size: int) -> DataFr
 
     Contigs whose grid covers their regions need joins only; others are folded in order.
     """
+    regions, grid = materialize(regions, "regions"), materialize(grid, "grid")
     reach = grid.groupBy("contig_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     want = regions.groupBy("contig_id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     covered = want.join(reach, "contig_id").where("lo <= a AND hi >= b").select("contig_id")
     inside, outside = regions.join(covered, "contig_id", "left_semi"), regions.join(covered, "contig_id", "left_anti")
     cells = narrow_cells(inside, grid, bin_size).unionByName(folded_cells(outside, grid.join(outside.select("contig_id").distinct(), "contig_id", "left_semi"), bin_size))
+    cells = materialize(cells, "cells")
     refined = _merged(cells)
     kept = regions.join(cells.select("contig_id").distinct(), "contig_id", "left_anti")
     return refined.unionByName(kept.select("contig_id", F.col("a"), F.col("b")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.motifs import resolve_motif
 from tessera.operators import align, contacts, edges, motif, pairing, segments, split
 from tessera.operators.partition import partition as partition_groups
+from tessera.session import materialize
 
 log = logging.getLogger("tessera")
 
@@ -50,7 +51,9 @@ def draft(contigs: DataFrame, records: DataFrame, config: DraftConfig) -> Draft:
     good = align.named_to_ids(align.quality_filter(records, config.mapq), contigs)
     good = align.positions_in_windows(align.without_contigs(good, invalid), windows)
     # A mate without a position can't pair, but as defined it still takes its read's place.
-    pairs = pairing.mate_pairs(good.withColumn("next_pos", F.coalesce("next_pos", F.lit(-1))))
+    # What passes the filters is written, as pairing reads it several times and alignments are large.
+    good = materialize(good.withColumn("next_pos", F.coalesce("next_pos", F.lit(-1))), "good-records")
+    pairs = materialize(pairing.mate_pairs(good), "pairs")
     weighed = edges.edge_weights(edges.edge_counts(pairs), sites)
     return Draft(contigs.select("id", "name", "length"), sites, invalid, edges.inter_contig(pairs), weighed)
 
@@ -76,11 +79,11 @@ class CorrectConfig:
 
 def mismatches(records: DataFrame, config: CorrectConfig) -> DataFrame:
     """``(contig_id, a, b)``: depleted segments of contigs, from records within them (contig_id, pos, next_pos)."""
-    hist = contacts.contact_histogram(records, [config.wide, config.narrow])
+    hist = materialize(contacts.contact_histogram(records, [config.wide, config.narrow]), "contacts")
     sat = contacts.saturation(hist, config.percent)
     wide_sat = contacts.wide_saturation(sat, config.wide)
     wide_score = contacts.spanning_score(hist, wide_sat, config.wide, config.depletion)
-    wide = segments.wide_regions(contacts.score_grid(wide_score, config.wide, config.depletion), wide_sat, config.sensitivity, config.wide, config.depletion)
+    wide = materialize(segments.wide_regions(contacts.score_grid(wide_score, config.wide, config.depletion), wide_sat, config.sensitivity, config.wide, config.depletion), "wide")
     narrow_score = contacts.spanning_score(hist.join(wide.select("contig_id").distinct(), "contig_id", "left_semi"), sat, config.narrow, config.wide)
     return segments.narrow_regions(wide, contacts.score_grid(narrow_score, config.narrow, config.wide), config.narrow)
 

@@ -217,6 +217,7 @@ def scored(hist: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def regions(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Saturation and wide regions."""
     sat, _, grid = scored(hist)
+    sat = materialize(sat, "saturation")
     return sat, segments.wide_regions(grid, contacts.wide_saturation(sat, WIDE), SENSITIVITY, WIDE, DEPTH)
 
 
