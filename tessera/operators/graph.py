@@ -44,8 +44,11 @@ def seed_contigs(trusted: DataFrame, n_contigs: int, heaviest_first: bool = Fals
     w = -F.col("weight") if heaviest_first else F.col("weight")
     key = F.struct(w.alias("w"), F.col("src").alias("s"), F.col("dst").alias("d"))
     ends = trusted.select(F.explode(F.array("src", "dst")).alias("contig_id"), key.alias("key")).groupBy("contig_id").agg(F.min("key").alias("key"))
-    last = ends.orderBy("key").limit(n_contigs // 2).agg(F.max("key").alias("last"))
-    return ends.crossJoin(F.broadcast(last)).where("key <= last").select("contig_id")  # last is one row
+    last = ends.orderBy("key").limit(n_contigs // 2).agg(F.max("key")).first()[0]
+    if last is None:
+        return ends.select("contig_id").limit(0)
+    upto = F.struct(*(F.lit(v).cast(ends.schema["key"].dataType[k].dataType).alias(k) for k, v in last.asDict().items()))
+    return ends.where(F.col("key") <= upto).select("contig_id")
 
 
 def edge_votes(ranked: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
