@@ -90,17 +90,16 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, mean: str) -> Column:
+def _strength(groups: DataFrame, mean: Column) -> float:
     """How many texts a prior is worth, by moments: what the groups' means vary beyond what chance explains.
 
-    An aggregate over groups of (n, s), the count and sum of their texts' probabilities, around ``mean``.
+    One row of sums over groups of (n, s), the count and sum of their texts' probabilities, around ``mean``.
     """
-    m = F.col(mean)
-    between = F.sum(F.col("n") * (F.col("s") / F.col("n") - m) ** 2) / F.sum("n")
-    chance = F.sum(m * (1 - m)) / F.sum("n")
-    within = F.sum(F.col("n") * m * (1 - m)) / F.sum("n")
+    between = F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) ** 2) / F.sum("n")
+    chance = F.sum(mean * (1 - mean)) / F.sum("n")
+    within = F.sum(F.col("n") * mean * (1 - mean)) / F.sum("n")
     excess = F.greatest(F.lit(1e-6), between - chance)
-    return F.greatest(F.lit(1.0), F.least(F.lit(1e6), within / excess - 1))
+    return groups.agg(F.greatest(F.lit(1.0), F.least(F.lit(1e6), within / excess - 1))).first()[0] or 1.0
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
@@ -108,18 +107,21 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
 
     ``evidence``: (host, path, p). A host's mean is shrunk toward the global mean, a section's toward its host's,
     each by a strength estimated from how the groups differ. All from partial sums for each section; the number
-    of rows is that of the sections.
+    of rows is that of the sections, and three numbers reach the driver.
     """
+
+    def bounded(c: Column) -> Column:
+        return F.least(F.lit(0.999), F.greatest(F.lit(0.001), c))
+
     sections = materialize(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "sections")
-    bounded = lambda c: F.least(F.lit(0.999), F.greatest(F.lit(0.001), c))
-    total = sections.agg(bounded(F.sum("s") / F.sum("n")).alias("mean"))
-    hosts = sections.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).crossJoin(F.broadcast(total))  # one row
-    strength = hosts.agg(_strength(hosts, "mean").alias("k"))
-    hosts = hosts.crossJoin(F.broadcast(strength)).select("host", "mean", bounded((F.col("s") + F.col("k") * F.col("mean")) / (F.col("n") + F.col("k"))).alias("host_mean"))
+    mean = F.lit(sections.agg(bounded(F.sum("s") / F.sum("n"))).first()[0] or 0.5)
+    hosts = sections.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    k = _strength(hosts, mean)
+    hosts = hosts.select("host", bounded((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_mean"))
     inner = sections.join(hosts, "host")
-    own = inner.agg(_strength(inner, "host_mean").alias("k"))
-    shrunk = bounded((F.col("s") + F.col("k") * F.col("host_mean")) / (F.col("n") + F.col("k")))
-    return inner.crossJoin(F.broadcast(own)).select("host", "path", (_logit(shrunk) - _logit(F.col("mean"))).alias("shift"))
+    k = _strength(inner, F.col("host_mean"))
+    shrunk = bounded((F.col("s") + k * F.col("host_mean")) / (F.col("n") + k))
+    return inner.select("host", "path", (_logit(shrunk) - _logit(mean)).alias("shift"))
 
 
 def _names(df: DataFrame, host: Column, path: Column) -> DataFrame:
