@@ -267,9 +267,8 @@ def near_duplicates(
         comps = connected_components(links).withColumnRenamed("component", "comp")
 
         known = members.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        homes = comps.select(F.col("node").alias("leader"), F.col("comp").alias("home"))
-        known = known.join(homes, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
-        split = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        home = F.max(F.when(F.col("node") == F.col("leader"), F.col("comp"))).alias("home")
+        split = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), home).where("x <> y").select("key", "home")
         open_ = scratch.table(known.join(split, "key").select("key", "node", "n", "comp", "home", "size"), "open")
         small = open_.where(F.col("size") <= BLOCK)
         u = small.where("comp <> home").select("key", F.col("node").alias("p"), F.col("comp").alias("cp"))
