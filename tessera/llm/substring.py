@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from tessera.llm.text import text_batches
 
 #: Bytes of a chunk at least and at most; a cut after white space has a hash below SPACE_CUT, any other one below OTHER_CUT.
-LEAST, MOST, SPACE_CUT, OTHER_CUT = 40, 256, 1 << 30, 1 << 24
+LEAST, MOST, SPACE_CUT, OTHER_CUT = 16, 256, 1 << 30, 1 << 24
 #: Words that a run of repeated chunks must hold to be removed. A repeated passage loses up to a chunk at either
-#: end, about 15 words together, so this finds passages of 50 words and leaves repeated lines of up to 20.
+#: end, about 10 words together, so this finds passages of 50 words and leaves repeated lines of up to 20.
 MIN_WORDS = 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

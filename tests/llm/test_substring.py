@@ -87,3 +87,18 @@ def test_equal_ids_with_other_texts_are_told_apart(texts):
     passage, own = prose(rng, 120), prose(rng, 120)
     rows = S.repeat_report(texts([(1, passage), (2, passage), (2, own)])).collect()
     assert sorted((r.doc_id, r.repeated) for r in rows) == [(1, False), (2, False), (2, True)]
+
+
+@pytest.mark.parametrize("words", [51, 55, 60, 75])
+def test_planted_passages_lose_little(words):
+    rng = random.Random(words)
+    missed, share = 0, 0.0
+    for _ in range(300):
+        passage = prose(rng, words)
+        first, second = (f"{prose(rng, 60)} {passage} {prose(rng, 60)}".encode() for _ in range(2))
+        known = set(S.digests(first, S.chunk_ends(first)))
+        again = [k for k, d in enumerate(S.digests(second, S.chunk_ends(second))) if d in known]
+        spans = S.repeated_spans(second, again)
+        missed += not spans
+        share += sum(e - s for s, e in spans) / len(passage.encode())
+    assert missed <= 2 and share > 0.75 * 300
