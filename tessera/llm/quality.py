@@ -13,8 +13,10 @@ from tessera.session import materialize
 
 #: Labelled rows that the classifier is fitted to, at most, chosen by hashes of their ids.
 MAX_LABELLED = 20_000
-#: The classifier's features, as shares of counts from :func:`tessera.llm.rules.features`.
-NAMES = ("log_words", "word_length", "symbols", "spaces", "upper", "digits", "other_ascii", "other", "dup_lines", "repeat_words", "common")
+#: Standard errors by which a word's log odds of a toxic text must exceed 0 to count: chance words of the labelled rows don't.
+MIN_ERRORS = 3.0
+#: The classifier's features: shares of counts from :func:`tessera.llm.rules.features`, and the evidence of :func:`toxic_evidence`.
+NAMES = ("log_words", "word_length", "symbols", "spaces", "upper", "digits", "other_ascii", "other", "dup_lines", "repeat_words", "common", "toxic_words")
 #: Bounds of the log odds that one text's own evidence can have.
 CLIP = 12.0
 #: Sections up to which their posteriors are broadcast.
@@ -33,7 +35,7 @@ def vector(counts: str = "") -> dict[str, Column]:
     words = F.greatest(F.lit(1), c("n_words")).cast("double")
     share = {name: F.get(c("classes"), F.lit(k)) / chars for name, k in (("spaces", 1), ("upper", 2), ("digits", 3), ("symbols", 4), ("other_ascii", 5), ("other", 6))}
     common = F.coalesce(1 - F.try_element_at(c("common"), F.lit(-1)) / words, F.lit(0.0))
-    rest = {"log_words": F.log1p(words) / 10, "word_length": F.least(F.lit(1.0), c("word_chars") / words / 20), "dup_lines": c("n_dup_lines") / words, "repeat_words": c("n_repeat_words") / words, "common": common}
+    rest = {"log_words": F.log1p(words) / 10, "word_length": F.least(F.lit(1.0), c("word_chars") / words / 20), "dup_lines": c("n_dup_lines") / words, "repeat_words": c("n_repeat_words") / words, "common": common, "toxic_words": c("toxic_words") / 10}
     return {n: (share | rest)[n] for n in NAMES}
 
 
@@ -73,16 +75,56 @@ class Classifier:
         return F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), found))
 
 
-def fit_classifier(counts: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Classifier:
-    """The classifier fitted to about ``max_labelled`` labelled rows, and no more, chosen by hashes of their ids."""
-    known = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    known = materialize(known, "labels")
+def labelled(labels: DataFrame, *, label_id: str = "doc_id", label_col: str = "quality", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, y, toxic) of about ``max_labelled`` labelled rows, and no more, chosen by hashes of their ids.
+
+    ``y`` is 1 where the text is good and not toxic; without a column ``toxic_col``, or where it is null, nothing is toxic.
+    """
+    toxic = F.coalesce(F.col(toxic_col).cast("double"), F.lit(0.0)) if toxic_col in labels.columns else F.lit(0.0)
+    known = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("double").alias("y"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND y IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.avg("y").alias("y"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    known = materialize(known.select("doc_id", ((F.col("y") >= 0.5) & (F.col("toxic") == 0)).cast("int").alias("y"), "toxic"), "labels")
     share = 0.95 * max_labelled / max(1, known.count())
     # Hashes choose about the share that is allowed, so that no task sends more than its part of it.
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
+
+
+def _word_hashes(text: Column) -> Column:
+    """Hashes of the words of a text in lower case, without what isn't a letter or digit."""
+    return F.transform(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+
+
+def toxic_words(texts: DataFrame) -> dict[int, float]:
+    """The log odds of a toxic text by hashes of words, from (text, toxic) of labelled rows.
+
+    A word counts once a text. Of the words, only those come to the driver whose log odds are ``MIN_ERRORS`` standard
+    errors above 0, so few labelled rows tell few words or none.
+    """
+    n = texts.groupBy("toxic").count().collect()
+    n = {r["toxic"]: r["count"] for r in n}
+    if not n.get(0) or not n.get(1):
+        return {}
+    met = texts.select("toxic", F.explode(F.array_distinct(_word_hashes(F.col("text")))).alias("word"))
+    seen = met.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a > 0")
+    odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    told = seen.select("word", odds.alias("odds"), error.alias("error")).where(F.col("odds") >= MIN_ERRORS * F.col("error"))
+    return {r["word"]: r["odds"] for r in told.orderBy("word").collect()}
+
+
+def toxic_evidence(text: Column, words: dict[int, float]) -> Column:
+    """The sum of the log odds of the known toxic words that a text has."""
+    if not words:
+        return F.lit(0.0)
+    odds = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    met = F.array_intersect(_word_hashes(text), F.array(*(F.lit(w).cast("long") for w in words)))
+    return F.aggregate(met, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(odds, w), F.lit(0.0)))
+
+
+def fit_classifier(counts: DataFrame, chosen: DataFrame, *, max_labelled: int = MAX_LABELLED) -> Classifier:
+    """The classifier fitted to the rows of ``counts`` that :func:`labelled` has chosen."""
     rows = counts.join(chosen, "doc_id").limit(max_labelled)
-    got = rows.select((F.col("y") >= 0.5).cast("double").alias("y"), *(v.alias(n) for n, v in vector().items())).toPandas()
+    got = rows.select(F.col("y").cast("double").alias("y"), *(v.alias(n) for n, v in vector().items())).toPandas()
     return Classifier.fit(got[list(NAMES)].to_numpy(float), got["y"].to_numpy(float))
 
 
@@ -134,10 +176,14 @@ class QualityModel:
     def __init__(self, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", host: str = "source", path: str = "lang", max_labelled: int = MAX_LABELLED) -> None:
         self.text, self.lang, self.host, self.path = text_col, lang_col, host, path
         named = _names(docs, F.col(host), F.col(path))
-        ids = named.select(F.struct(F.col(id_col).alias("doc_id"), "host", "path").alias("doc_"), F.col(text_col).alias("text_"), (F.col(lang_col) if lang_col else F.lit(None)).alias("lang_"))
+        chosen = labelled(labels, max_labelled=max_labelled)
+        known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("text", "toxic").limit(max_labelled)
+        self.words = toxic_words(materialize(known, "labelled"))
+        evidence = toxic_evidence(F.col(text_col), self.words).alias("toxic_words")
+        ids = named.select(F.struct(F.col(id_col).alias("doc_id"), "host", "path", evidence).alias("doc_"), F.col(text_col).alias("text_"), (F.col(lang_col) if lang_col else F.lit(None)).alias("lang_"))
         counts = features(ids, "doc_", "text_", "lang_").select("doc_id.*", *(c for c in ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "classes", "common")))
         self.counts = materialize(counts, "quality")
-        self.classifier = fit_classifier(self.counts, labels, max_labelled=max_labelled)
+        self.classifier = fit_classifier(self.counts, chosen, max_labelled=max_labelled)
         own = 1 / (1 + F.exp(-self.classifier.log_odds()))
         shifts = site_posteriors(self.counts.select("host", "path", own.alias("p")))
         # Broadcast while sections are few, which is counted; else the join shuffles.
@@ -153,8 +199,8 @@ class QualityModel:
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **columns) -> DataFrame:
     """``(doc_id, host, path, document_odds, site_shift, score, kept)`` for each row of ``docs``.
 
-    ``document_odds`` are those of logistic regression over counts of the text, fitted to labelled rows (at most
-    ``max_labelled``); ``site_shift`` is what the section's posterior adds; ``score`` is the probability of a good
+    ``document_odds`` are those of logistic regression over counts of the text and its toxic words, fitted to labelled
+    rows (at most ``max_labelled``), of which those are good that have quality and aren't toxic; ``site_shift`` is what the section's posterior adds; ``score`` is the probability of a good
     text; a text is kept at ``threshold`` or more.
 
     Null and empty texts, and those without words, aren't kept; a null host or path is one of its own, named "";
@@ -171,5 +217,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
     model = QualityModel(docs, labels, **columns)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"))
     counted = features(packed, "doc_", f"doc_.`{model.text}`", f"doc_.`{model.lang}`" if model.lang else None)
+    counted = counted.withColumn("toxic_words", toxic_evidence(F.col(f"doc_id.`{model.text}`"), model.words))
     named = _names(counted, F.col(f"doc_id.`{model.host}`"), F.col(f"doc_id.`{model.path}`"))
     return model.scored(named, threshold).where("kept").select("doc_id.*")

@@ -53,3 +53,31 @@ def test_newton_fits_and_one_class_is_even():
     y = (x[:, 0] + 0.1 * rng.normal(size=400) > 0).astype(float)
     assert Q.Classifier.fit(x, y).weights[Q.NAMES[0]] > 1
     assert Q.Classifier.fit(x, np.ones(400)).weights == {}
+
+
+def test_toxic_words_reject_held_out_texts(spark):
+    rng = random.Random(1)
+    rows, labels = corpus(600)
+    insults = ["idiot", "scum", "Moron", "clown"]
+    made = []
+    for (i, text, lang, source), (_, quality) in zip(rows, labels, strict=True):
+        toxic = int(rng.random() < 0.2)
+        if toxic:
+            words = text.split(" ")
+            for w in rng.sample(insults, 3):
+                words.insert(rng.randrange(len(words)), w)
+            text = " ".join(words)
+        made.append((i, text, lang, source, quality, toxic))
+    docs = spark.createDataFrame([r[:4] for r in made], "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame([(r[0], r[4], r[5]) for r in made[:400]], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in Q.classify(docs, known).collect()}
+    assert {r.doc_id for r in Q.keep_good(docs, known).collect()} == {i for i, k in kept.items() if k}
+    held = made[400:]
+    assert np.mean([kept[r[0]] for r in held if r[5]]) < 0.1
+    assert np.mean([kept[r[0]] for r in held if r[4] and not r[5]]) > 0.97
+
+
+def test_few_toxic_labels_tell_no_words(spark):
+    rows = [("good words idiot", 1), ("words here", 0), ("good here", 0)]
+    assert Q.toxic_words(spark.createDataFrame(rows, "text string, toxic int")) == {}
+    assert Q.toxic_words(spark.createDataFrame(rows[1:], "text string, toxic int")) == {}
