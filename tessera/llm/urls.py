@@ -131,7 +131,7 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
             made = []
             for page, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 host, path = host_and_path(url)
-                words = [*host_words(host), *(w for token in _TOKEN.findall(path.lower()) for w in (model.segment(token) if len(token) <= 64 else [token]))]
+                words = [*host_words(host), *(w for token in _TOKEN.findall(path.lower()) for w in model.segment(token))]
                 odds = model.log_odds(words)
                 fit = rule_for(host, path, rules)
                 made.append((page, host, path, fit[1] if fit else None, fit[0] if fit else "block" if odds > 0 else "allow", words, odds))

@@ -56,3 +56,11 @@ def test_naive_bayes_by_hand():
     model = U.UrlModel.fit([["a", "b"]], [["b", "c", "c"]], prior=0.5, smoothing=1.0)
     assert abs(model.odds["a"] - (__import__("math").log(2 / 5) - __import__("math").log(1 / 6))) < 1e-12
     assert model.log_odds(["never"]) == 0.0
+
+
+def test_long_tokens_are_segmented(spark):
+    words = ["casino", "bonus", "freespins", "jackpot", "slots"] * 3
+    pages = [(k, f"http://h.example.org/fr/{''.join(words)[:k]}") for k in (64, 65, 80)] + [(9, "http://h.example.org/fr/" + "q" * 5_000)]
+    rows = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert [rows[k].verdict for k in (64, 65, 80, 9)] == ["block"] * 3 + ["allow"]
+    assert {"casino", "bonus", "spins", "jackpot"} <= set(rows[80].words)
