@@ -109,8 +109,8 @@ def default_model() -> UrlModel:
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, model: UrlModel | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, words, log_odds)`` for each row of ``pages``.
 
-    The longest rule that fits gives the verdict. Where none does, the host's labels but the last are split into words by
-    unigram Viterbi, and the words of host and path are scored by naive Bayes: block where the log odds exceed 0.
+    The longest rule that fits gives the verdict. Where none does, the host's labels, but not a country's two letters at
+    its end, are split into words by unigram Viterbi, and the words of host and path are scored by naive Bayes: block where the log odds exceed 0.
 
     A null url, or one without ``://``, has an empty host and path, no words, and is allowed; very long urls
     cost their length times the longest known word; repeated rows each get their result; other columns are
@@ -124,7 +124,8 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(10_000)
         def host_words(host: str) -> tuple[str, ...]:
-            named = host.rpartition(".")[0] or host
+            head, _, last = host.rpartition(".")
+            named = head if head and len(last) == 2 else host
             return tuple(w for label in _LABEL.findall(named) for w in model.segment(label))
 
         for batch in batches:

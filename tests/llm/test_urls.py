@@ -64,3 +64,10 @@ def test_long_tokens_are_segmented(spark):
     rows = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
     assert [rows[k].verdict for k in (64, 65, 80, 9)] == ["block"] * 3 + ["allow"]
     assert {"casino", "bonus", "spins", "jackpot"} <= set(rows[80].words)
+
+
+def test_last_label_counts_unless_a_country(spark):
+    pages = [(1, "http://play.casino/"), (2, "http://h.bets/a"), (3, "http://play.casino.de/"), (4, "http://h.com/"), (5, "http://h.de/")]
+    rows = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert [rows[k].verdict for k in range(1, 6)] == ["block"] * 3 + ["allow"] * 2
+    assert "de" not in rows[3].words and rows[4].log_odds == rows[5].log_odds
