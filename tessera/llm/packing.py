@@ -19,6 +19,9 @@ from tessera.llm.text import hf_tokenizer, key_and_text, text_batches, vocabular
 
 #: Tokens of a window, of a piece that differencing moves as one, windows of a block, and pieces of a block at most.
 CAPACITY, PIECE, BLOCK_WINDOWS, BLOCK_PIECES = 1024, 256, 128, 2048
+#: A run of white space or of other characters this long goes to the tokenizers file: the other library's matcher has a stack,
+#: and its merging takes the square of a run's length.
+_RUN = re.compile(r"\s{2000}|\S{2000}").search
 #: Texts of these characters, without "<|", have the same ids from either library (tests hold this).
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-ɏ–-—‘-”…€]*").fullmatch
 
@@ -105,7 +108,7 @@ def byte_encoder(json_path: str, rank_path: str | None) -> Callable[[list[str]],
     fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        plain = [bool(_PLAIN(t)) and "<|" not in t for t in texts]
+        plain = [bool(_PLAIN(t)) and "<|" not in t and not (len(t) >= 2000 and _RUN(t)) for t in texts]
         rest = iter(slow([t for t, p in zip(texts, plain, strict=True) if not p]))
         return [fast.encode_ordinary(t) if p else next(rest) for t, p in zip(texts, plain, strict=True)]
 

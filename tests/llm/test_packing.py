@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -42,6 +43,14 @@ def test_plain_texts_have_the_same_ids_from_either_library():
     assert fast(some) == slow(some)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x" + " \n" * 1_000_000 + "y", "ab " * 500_000, " " * 1_999 + "a" * 1_999, "." * 300_000])
+def test_long_runs(text):
+    fast = P.byte_encoder(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    began = time.process_time()
+    assert fast([text]) == [hf_tokenizer(vocabulary("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids]
+    assert time.process_time() - began < 30
+
+
 def test_round_trip(spark, texts, awkward):
     docs = [r for r in awkward if r[0] is not None and r[0] != 4] + [(9, "hello there " * 400)]
     rows = P.pack(texts(docs)).collect()
