@@ -22,8 +22,8 @@ from tessera.session import Scratch, materialize
 BANDS, ROWS = 40, 5
 #: Hashes that one step of the sequential comparison looks at.
 STEP = 20
-#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of about so many shingles.
-BLOCK, BLOCK_SHINGLES = 32, 400_000
+#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of about so many shingles and rows.
+BLOCK, BLOCK_SHINGLES, BLOCK_ROWS = 32, 400_000, 512
 #: A bucket's leader is its least node in one of so many orders: with few of them the buckets of
 #: a large group mostly share their leaders, and a node is compared with few.
 LEADERS = 4
@@ -71,33 +71,28 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np
     return alive
 
 
-def _leader_order(kind: T.DataType) -> tuple[Column, Column]:
+def _leader_order() -> tuple[Column, Column]:
     """What a bucket's nodes are ordered by, to be reduced to its least, and the leader that the least stands for.
 
-    Whole numbers are compared after an exclusive or with one of ``LEADERS`` masks, which gives them back; others
-    by a hash that they travel with.
+    Nodes are compared after an exclusive or with one of ``LEADERS`` masks, which gives them back.
     """
-    which = F.pmod("key", F.lit(LEADERS))
-    if isinstance(kind, T.IntegralType):
-        masks = np.random.default_rng(11).integers(0, 1 << 62, LEADERS).tolist()
-        mask = F.get(F.array(*map(F.lit, masks)), which.cast("int"))
-        return F.col("node").cast("long").bitwiseXOR(mask), F.col("least").bitwiseXOR(mask).cast(kind)
-    return F.struct(F.xxhash64("node", which).alias("order"), F.col("node").alias("leader")), F.col("least.leader")
+    masks = np.random.default_rng(11).integers(0, 1 << 62, LEADERS).tolist()
+    mask = F.get(F.array(*map(F.lit, masks)), F.pmod("key", F.lit(LEADERS)).cast("int"))
+    return F.col("node").bitwiseXOR(mask), F.col("least").bitwiseXOR(mask)
 
 
 def _sketches(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, n, digest, sig, keys): set size, set digest, 16 bits of each hash, a key of each band."""
-    id_type = rows.schema["doc_id"].dataType
-    schema = T.StructType(
-        [T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    )
+    """(doc_id, mark, n, digest, sig, keys) of (doc_id, text, mark): set size, set digest, 16 bits of each hash, a key of each band."""
+    columns = [("n", T.LongType()), ("digest", T.BinaryType()), ("sig", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["mark"], *(T.StructField(c, t) for c, t in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            for ids, texts in text_batches(iter([batch])):
+            pair = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([batch.column(0), batch.column(2)], names=["id", "mark"]), batch.column(1)], names=["key", "text"])
+            for ids, texts in text_batches(iter([pair])):
                 sizes, digests, sigs, keys = [], [], [], []
-                for key, text in zip(ids, texts, strict=True):
+                for key, text in zip((x["id"] for x in ids), texts, strict=True):
                     shingles = shingle_set(text, size)
                     sizes.append(len(shingles))
                     if not len(shingles) or key is None:
@@ -112,16 +107,15 @@ def _sketches(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFram
                     for column in least.reshape(bands, per_band).T:
                         h = mixed(h + column)
                     keys.append(h.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, batch.schema.field(0).type), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names
-                )
+                own = [pa.array([x[c] for x in ids], batch.column(k).type) for c, k in (("id", 0), ("mark", 2))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of rows that hold (doc_id, text, digest), where the text has that digest."""
-    schema = T.StructType([T.StructField("node", rows.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
+    """(node, shingles) of rows that hold (node, text, digest), where the text has that digest."""
+    schema = T.StructType([rows.schema["node"], T.StructField("shingles", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,10 +198,10 @@ def _within_large(members: DataFrame, sketches: DataFrame, sets: DataFrame, thre
     """Links of large buckets between a member outside its leader's class and members of other classes.
 
     ``members``: (key, node, n, comp, home), home the leader's class. A bucket's rows are dealt to blocks of about
-    ``BLOCK_SHINGLES`` shingles; those outside the home class go to every block, in parts of their own, so that
+    ``BLOCK_SHINGLES`` shingles and ``BLOCK_ROWS`` rows; those outside the home class go to every block, in parts of their own, so that
     no task holds more than a block and a part. A task gives links between classes, not pairs.
     """
-    weight = members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    weight = members.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     at = members.join(sketches.select("node", "sig").join(sets, "node"), "node").join(weight, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     outer = members.where("comp <> home").join(weight, "key").select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part")).distinct()
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -222,7 +216,10 @@ def _within_large(members: DataFrame, sketches: DataFrame, sets: DataFrame, thre
         kind = group.schema.field("node").type
         return pa.table({name: pa.array([f[k] for f in found], kind) for k, name in enumerate(("a", "b"))})
 
-    return left.unionByName(right).groupBy("key", "part", "block").applyInArrow(run, schema)
+    # By one hash of all three: rows that lie by key already would else stay there, all of a bucket in one task. Two
+    # blocks of one hash would be compared as one, which loses nothing.
+    both = left.unionByName(right).withColumn("block", F.xxhash64("key", "part", "block")).drop("key", "part")
+    return both.groupBy("block").applyInArrow(run, schema)
 
 
 def near_duplicates(
@@ -240,27 +237,37 @@ def near_duplicates(
     two classes is decided, while no group of copies is expanded into its pairs.
 
     Null and empty texts, and those without words, have an empty set and link with nothing; rows without an id
-    link with nothing and are kept, in no class; repeated rows all get the same result; other columns are left
-    out; an empty table gives an empty result. The result is a written table; those it took are deleted.
+    link with nothing and are kept, in no class; equal repeated rows all get the same result; where an id stands on
+    other texts too, each text is linked by itself, and may be in a class of its own, named by the least id of its rows;
+    other columns are left out; an empty table gives an empty result. The result is a written table; those it took are deleted.
     """
+    return _classes(docs, id_col, text_col, shingle, percent, bands, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-7) -> DataFrame:
+    """:func:`near_duplicates` with the ``mark`` of each row's text and the number of its class, ``class_``, null where it has none."""
     num, den, threshold = percent, 100, percent / 100
-    texts = key_and_text(docs, id_col, text_col)
+    texts = key_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     with Scratch(docs.sparkSession) as scratch:
-        sketched = scratch.table(_sketches(texts, shingle, bands, rows), "sketches")
-        heads = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-        nodes = sketched.withColumnRenamed("doc_id", "node").join(heads, ["digest", "node"]).select("node", "digest", "n", "sig", "keys")
+        # A row's number is written with it, so it stays the same however often the table is read.
+        sketched = scratch.table(_sketches(texts, shingle, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        # A distinct set is a node, named by the least number of its rows.
+        heads = scratch.table(sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "heads")
+        nodes = sketched.withColumnRenamed("row", "node").join(heads.select("node"), "node").select("node", "doc_id", "mark", "digest", "n", "sig", "keys")
         # Written, and not dealt out by key once for both uses: counts are then reduced before their shuffle, and
         # Spark can split the bucket of a large group in the join.
         slots = scratch.table(nodes.select("node", "n", F.explode("keys").alias("key")), "slots")
-        order, leader = _leader_order(slots.schema["node"].dataType)
+        order, leader = _leader_order()
         buckets = slots.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("least")).where("size > 1").select("key", "size", leader.alias("leader"))
         members = scratch.table(slots.join(buckets, "key"), "members")
 
         active = members.select("node").distinct()
-        sketches = scratch.table(nodes.join(active, "node").select("node", "digest", "n", "sig").dropDuplicates(["node"]), "active")
-        wanted = texts.join(sketches.select(F.col("node").alias("doc_id"), "digest"), "doc_id")
-        wanted = wanted.groupBy("doc_id", "digest", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("doc_id", "text", "digest")
+        sketches = scratch.table(nodes.join(active, "node").select("node", "doc_id", "mark", "digest", "n", "sig"), "active")
+        # By id and text, so that the many texts of one id aren't one key; equal rows give one set.
+        wanted = texts.join(sketches.select("doc_id", "mark", "node", "digest"), ["doc_id", "mark"])
+        wanted = wanted.groupBy("doc_id", "mark", "node", "digest").agg(F.first("text").alias("text")).select("node", "text", "digest")
         sets = scratch.table(_sets(wanted, shingle), "sets")
+        sketches = sketches.drop("doc_id", "mark", "digest")
 
         tried = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         links = scratch.table(_verified(_pruned(tried, sketches, threshold, miss, num, den), sets, num, den), "links")
@@ -277,21 +284,39 @@ def near_duplicates(
         near = _pruned(near, sketches, threshold, miss, num, den)
         far = _within_large(open_.where(F.col("size") > BLOCK), sketches, sets, threshold, miss, num, den)
         more = scratch.table(_verified(near, sets, num, den).union(far), "more-links")
-        classes = connected_components(links.union(more)).withColumnRenamed("component", "component_id")
-
-        named = heads.join(classes, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
-        result = sketched.select("doc_id", "n", "digest").join(named, "digest", "left")
+        classes = connected_components(links.union(more)).withColumnRenamed("component", "class_")
+
+        # A class is named by the least id of all its rows; one of a single set needs no grouping.
+        linked = heads.join(classes, "node")
+        least = linked.groupBy("class_").agg(F.min("least_id").alias("component_id"))
+        linked = linked.select("digest", "class_").join(least, "class_")
+        alone = heads.join(classes, "node", "left_anti").select("digest", F.col("node").alias("class_"), F.col("least_id").alias("component_id"))
+        result = sketched.select("doc_id", "mark", "row", "n", "digest").join(linked.select("digest", "class_", "component_id").union(alone), "digest", "left")
         component = F.coalesce("component_id", "doc_id")
-        result = result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-        return materialize(result, "near-duplicates")
+        kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+        return materialize(result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "mark", "row", "class_"), "near-duplicates")
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, with one row of each class: that of its least id (one of them, should rows repeat it).
+    """``docs``, all columns, with one row of each class: one of its least id.
 
-    Rows without an id, and those without words, all stay.
+    Of the rows of that id that are in the class, equal ones among them, the one with the least hash of its text stays, and of
+    rows of equal id and text one. Another row of an id goes or stays with its own text's class. Rows without
+    an id, and those without words, all stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("gone_"))
-    return packed.join(gone, "gone_", "left_anti").select("doc_.*")
+    found = _classes(docs, id_col, text_col, **options)
+    first = found.where("class_ IS NOT NULL AND kept").groupBy("class_").agg(F.min("mark").alias("mark"), F.first("doc_id").alias("doc_id"))
+    stays = first.select(F.col("doc_id").alias("stay_id_"), F.col("mark").alias("stay_mark_"), F.lit(True).alias("stays_"))
+    classed = found.where("class_ IS NOT NULL").groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    # Only rows of texts that aren't alone in their class, or that repeat, are told apart by a join.
+    told = classed.join(stays, (F.col("doc_id") == F.col("stay_id_")) & (F.col("mark") == F.col("stay_mark_")), "left")
+    told = materialize(told.select("doc_id", "mark", (~F.coalesce("stays_", F.lit(False))).alias("gone"), F.col("n").alias("copies")).where("gone OR copies > 1"), "copies")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("id_"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark_"))
+    gone = told.where("gone").select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"))
+    left = packed.join(gone, ["id_", "mark_"], "left_anti")
+    again = told.where("NOT gone").select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"))
+    if not again.limit(1).count():
+        return left.select("doc_.*")
+    single = left.join(again, ["id_", "mark_"], "left_anti").select("doc_")
+    one = left.join(again, ["id_", "mark_"], "left_semi").groupBy("id_", "mark_").agg(F.first("doc_").alias("doc_")).select("doc_")
+    return single.union(one).select("doc_.*")

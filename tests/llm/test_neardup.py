@@ -69,6 +69,62 @@ def test_one_of_each_keeps_all_columns(texts):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, None]
 
 
+def classes_of_rows(docs, size, percent=80):
+    """Brute force over rows: the rows reachable from each row that has an id and words."""
+    sets = []
+    for key, text in docs:
+        w = ascii_words(text)
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w and key is not None else set())
+    head = list(range(len(docs)))
+
+    def root(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                head[root(a)] = root(b)
+    found = {}
+    for a in range(len(docs)):
+        found.setdefault(root(a), []).append(a)
+    return sets, list(found.values())
+
+
+def test_ids_that_repeat_with_other_texts(texts):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(500)]
+    bases = [rng.choices(vocabulary, k=60) for _ in range(12)]
+    docs = []
+    for _ in range(160):
+        base = rng.choice(bases)
+        docs.append((rng.randint(1, 25), " ".join(mutated(rng, base, rng.choice([0, 0, 0.02, 0.04])))))
+    docs += [docs[3], docs[3], (None, docs[5][1]), (7, None), (7, ""), (7, None), (2, docs[9][1].upper())]
+    sets, groups = classes_of_rows(docs, 5)
+    want = []
+    for rows in groups:
+        least = min((docs[a][0] for a in rows if docs[a][0] is not None), default=None)
+        for a in rows:
+            alone = not sets[a]
+            component = docs[a][0] if alone else least
+            n = len(ascii_words(docs[a][1])) and max(1, len({tuple(ascii_words(docs[a][1])[i : i + 5]) for i in range(max(1, len(ascii_words(docs[a][1])) - 4))}))
+            want.append((docs[a][0], n, component, docs[a][0] is None or docs[a][0] == component))
+    got = [tuple(r) for r in N.near_duplicates(texts(docs)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    kept = [(r.doc_id, r.text) for r in N.keep_one_of_each(texts(docs)).collect()]
+    assert len(kept) == len(groups)
+    for rows in groups:
+        least = min((docs[a][0] for a in rows if docs[a][0] is not None), default=None)
+        assert sum((docs[a] in kept) and (not sets[a] or docs[a][0] == least) for a in rows) >= 1
+
+
+def test_the_least_id_of_a_class_keeps_one_row(texts):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " more"
+    assert sorted((r.doc_id, r.text[0]) for r in N.keep_one_of_each(texts([(1, a), (5, a), (5, b), (5, b), (6, b), (2, near), (1, c)])).collect()) == [(1, "a"), (1, "c"), (5, "b")]
+
+
 def test_posterior_bounds():
     assert N.least_matches(0.8, 1e-7, 20) < 0.8 * 20
     assert N.least_matches(0.8, 1e-7, 200) > 110
