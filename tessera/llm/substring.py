@@ -1,4 +1,7 @@
-"""Substring deduplication by content-defined chunks: a gear hash cuts, digests find repeats, runs of them go."""
+"""Substring deduplication by content-defined chunks: a gear hash cuts, digests find repeats, runs of them go.
+
+A run of repeated chunks is extended to the exact ends of what its document shares with the one that has it first.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +10,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.text import text_batches
+from tessera.session import Scratch, materialize
 
 #: Bytes of a chunk at least and at most; a cut after white space has a hash below SPACE_CUT, any other one below OTHER_CUT.
 LEAST, MOST, SPACE_CUT, OTHER_CUT = 16, 256, 1 << 30, 1 << 24
-#: Words that a run of repeated chunks must hold to be removed. A repeated passage loses up to a chunk at either
-#: end, about 10 words together, so this finds passages of 50 words and leaves repeated lines of up to 20.
-MIN_WORDS = 20
+#: Words that a repeated passage must hold to be removed, and those that the whole chunks inside it must: a few chunks, of
+#: about seven words each. A passage of 50 words has them unless its first and its last cut lie 38 words inside it.
+MIN_WORDS, RUN_WORDS = 50, 12
+#: Bytes on the outer side of a run's end that are compared with the first document's: more than a chunk, in which the passage may end.
+CONTEXT = 384
+#: Digests of more repeats than this, and than one in so many of all repeats, are joined in parts; so there are at most as many of them.
+HOT, MAX_HOT = 1_000, 100_000
+#: 64-bit words of the table of documents that a step touches; others aren't shuffled for it.
+SLOTS = 1 << 17
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPACES = frozenset((9, 10, 11, 12, 13, 32))
+_SPACE = np.isin(np.arange(256), list(_SPACES))
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -65,29 +76,73 @@ def chunk_ends(data: bytes) -> list[int]:
 
 
 def digests(data: bytes, ends: list[int]) -> list[int]:
-    """A signed 64-bit digest of each chunk."""
-    made, last = [], 0
-    for e in ends:
-        made.append(xxhash.xxh3_64_intdigest(data[last:e]))
-        last = e
-    return np.array(made, np.uint64).view(np.int64).tolist()
+    """A signed 64-bit digest of each chunk: 58 bits of a hash, and the number of its words, 63 for more."""
+    if not ends:
+        return []
+    hashes = np.array([xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip([0, *ends], ends)], np.uint64)
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    word = ~space
+    word[1:] &= space[:-1]
+    starts = np.array([0, *ends[:-1]])
+    words = np.minimum(np.add.reduceat(word.astype(np.int64), starts), 63).astype(np.uint64)
+    return (hashes & ~np.uint64(63) | words).view(np.int64).tolist()
 
 
-def repeated_spans(data: bytes, chunks: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """The runs (start, stop) in bytes of the given chunks that hold ``min_words`` words or more."""
+def _shared(own: bytes, theirs: bytes, all_own: bool, all_theirs: bool) -> int:
+    """How many bytes at the end of ``own`` are whole words that ``theirs`` ends with too.
+
+    ``all_own`` and ``all_theirs`` tell whether the bytes start where their text does.
+    """
+    n, most = 0, min(len(own), len(theirs))
+    while n < most and own[-1 - n] == theirs[-1 - n]:
+        n += 1
+    while n:
+        first = all_own if n == len(own) else own[-1 - n] in _SPACES
+        second = all_theirs if n == len(theirs) else theirs[-1 - n] in _SPACES
+        if first and second or own[-n] in _SPACES:
+            break
+        n -= 1
+    return n
+
+
+def repeated_spans(data: bytes, chunks: list[int], min_words: int = MIN_WORDS, around: list[tuple[int, bool, list[bytes]]] = ()) -> list[tuple[int, int]]:
+    """The spans (start, stop) in bytes that runs of the given chunks and what is shared around them make, of ``min_words`` words or more.
+
+    ``around``: (chunk, whether before it, contexts) for the ends of runs, each context the bytes on that side of the
+    same chunk in the first document; of those after a chunk the order is turned round.
+    """
     ends = chunk_ends(data)
     b = np.frombuffer(data, np.uint8)
     word = ~_SPACE[b]
     word[1:] &= _SPACE[b[:-1]]
     words = np.concatenate([[0], np.cumsum(word)])
+    grow: dict[tuple[int, bool], int] = {}
+    for k, before, contexts in around:
+        at = (ends[k - 1] if k else 0) if before else ends[k]
+        own = data[max(0, at - CONTEXT) : at] if before else data[at : at + CONTEXT][::-1]
+        whole = at <= CONTEXT if before else at + CONTEXT >= len(data)
+        grow[k, before] = max([grow.get((k, before), 0), *(_shared(own, x, whole, len(x) < CONTEXT) for x in contexts)])
     spans: list[tuple[int, int]] = []
     for k in sorted(set(chunks)):
-        start = ends[k - 1] if k else 0
-        if spans and spans[-1][1] == start:
-            spans[-1] = (spans[-1][0], ends[k])
+        start, stop = (ends[k - 1] if k else 0) - grow.get((k, True), 0), ends[k] + grow.get((k, False), 0)
+        if spans and spans[-1][1] >= start:
+            spans[-1] = (min(spans[-1][0], start), max(spans[-1][1], stop))
         else:
-            spans.append((start, ends[k]))
-    return [(s, e) for s, e in spans if words[e] - words[s] >= min_words]
+            spans.append((start, stop))
+    # What precedes the first word stays, so that the words on either side of a span aren't joined.
+    return [(s + int(np.argmin(_SPACE[b[s:e]])), e) for s, e in spans if words[e] - words[s] >= min_words]
+
+
+def contexts_of(data: bytes, wanted: set[int]) -> list[tuple[int, bool, bytes]]:
+    """(digest, whether before it, context) for each chunk of a wanted digest, in the form of :func:`repeated_spans`."""
+    ends = chunk_ends(data)
+    found: dict[tuple[int, bool, bytes], None] = {}
+    for k, g in enumerate(digests(data, ends)):
+        if g in wanted:
+            start = ends[k - 1] if k else 0
+            found[g, True, data[max(0, start - CONTEXT) : start]] = None
+            found[g, False, data[ends[k] : ends[k] + CONTEXT][::-1]] = None
+    return list(found)
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> str:
@@ -114,43 +169,124 @@ def _chunked(rows: DataFrame) -> DataFrame:
     return rows.select("id_", "mark_", "text_").mapInArrow(run, schema)
 
 
+def _touching(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` whose ``columns`` may be among ``keys``, and those whose aren't, by a table of ``SLOTS`` times 64 bits.
+
+    The table is broadcast and doesn't grow; with more keys than it has bits it lets all rows pass, which loses nothing.
+    """
+
+    def place(h: Column) -> tuple[Column, Column]:
+        return F.pmod(h, F.lit(SLOTS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+
+    slot, bit = place(F.xxhash64(*columns))
+    bits = keys.select(slot.alias("slot_"), bit.alias("bit_")).groupBy("slot_").agg(F.bit_or(F.expr("shiftleft(1L, bit_)")).alias("bits_"))
+    met = rows.withColumns({"slot_": slot, "bit_": bit}).join(F.broadcast(bits), "slot_", "left")
+    has = F.coalesce(F.call_function("shiftright", F.col("bits_"), F.col("bit_")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return met.where(has).drop("slot_", "bit_", "bits_"), met.where(~has).drop("slot_", "bit_", "bits_")
+
+
+def _first_elsewhere(chunks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id_, mark_, pos, digest, first) of the chunks that a document of a lesser id has, and the least such id.
+
+    Chunks are reduced by digest before their shuffle. To mark the others, those of a digest that very many have are
+    dealt out in parts; how many such digests there are is bounded by their share of all repeats.
+    """
+    groups = chunks.groupBy("digest").agg(F.min("id_").alias("first"), F.max("id_").alias("last"), F.count("*").alias("n")).where("first < last")
+    first = scratch.table(groups.select("digest", "first", "n"), "repeated-chunks")
+    share = max(HOT, (first.agg(F.sum("n")).first()[0] or 0) // MAX_HOT)
+    parted = first.withColumn("parts", F.ceil(F.col("n") / share).cast("int"))
+    hot = F.broadcast(parted.where("parts > 1").select("digest", "parts"))
+
+    def key(part: Column) -> Column:
+        # One number to join by: the digest itself, and another one for each further part.
+        return F.when(part > 0, F.xxhash64("digest", part)).otherwise(F.col("digest"))
+
+    # Place and text in one number, as these are the rows that are many.
+    place = F.shiftleft(F.col("mark_").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    part = F.pmod(F.xxhash64("id_", "pos"), F.coalesce("parts", F.lit(1))).cast("int")
+    salted = chunks.join(hot, "digest", "left").select(key(part).alias("key"), "id_", place.alias("place"))
+    every = parted.select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(key(F.col("part")).alias("key"), "digest", "first")
+    met = salted.join(every, "key").where("id_ > first")
+    return met.select("id_", F.shiftright("place", 32).cast("int").alias("mark_"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "digest", "first")
+
+
+def _runs(again: DataFrame) -> DataFrame:
+    """The rows of ``again`` in runs of ``RUN_WORDS`` words, once for equal rows, with whether they begin (low) or end (high) one."""
+    text = ["id_", "mark_"]
+    once = again.groupBy(*text, "pos").agg(F.min("digest").alias("digest"), F.min("first").alias("first"))
+    placed = once.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy(*text).orderBy("pos")))
+    run = Window.partitionBy(*text, "island")
+    whole = placed.withColumns({"words": F.sum(F.col("digest").bitwiseAND(F.lit(63))).over(run), "low": F.min("pos").over(run) == F.col("pos"), "high": F.max("pos").over(run) == F.col("pos")})
+    return whole.where(F.col("words") >= RUN_WORDS).select(*text, "pos", "digest", "first", "low", "high")
+
+
+def _answered(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(first, digest, before, contexts) for each digest that ``asked`` (first, digests) wants of a document."""
+    schema = T.StructType([T.StructField("first", rows.schema["id_"].dataType), T.StructField("digest", T.LongType()), T.StructField("before", T.BooleanType()), T.StructField("context", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            ids = batch.column(0)
+            for k in range(batch.num_rows):
+                found += [(k, *x) for x in contexts_of(batch.column(1)[k].as_py().encode(), set(batch.column(2)[k].as_py()))]
+                if found and (len(found) >= 4_000 or k == batch.num_rows - 1):
+                    at, *rest = zip(*found, strict=True)
+                    kinds = (pa.int64(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], names=schema.names)
+                    found = []
+
+    holders = _touching(rows, asked.withColumnRenamed("first", "id_"), ["id_"])[0]
+    told = holders.join(asked.withColumnRenamed("first", "id_"), "id_").select("id_", "text_", "digests").mapInArrow(run, schema)
+    return told.groupBy("first", "digest", "before").agg(F.collect_set("context").alias("contexts"))
+
+
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_`` (the whole row), ``text_`` (without repeats), ``spans_`` (bytes removed) and ``bytes_`` of each row.
 
-    Among the chunks of equal digest those of the document of the least id stay; of the others, runs that hold ``min_words``
-    words or more are repeated passages. What repeats only inside a document is left. Digests, ids and places are all that is shuffled to find them; a common
-    chunk's rows are reduced to a minimum before the shuffle, and the join that marks the others can be split.
+    Among the chunks of equal digest those of the document of the least id stay. Runs of the others, of ``RUN_WORDS`` words or
+    more, are extended on both sides by the words that their document shares there with the one of the least id; spans that
+    then hold ``min_words`` words or more are repeated passages. What repeats only inside a document is left.
+
+    Digests, ids and places are shuffled for all chunks, the texts only of documents with such a run, or with the
+    first chunk of a run's end. The result reads tables that it wrote, which are deleted with the session.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("id_"), F.hash(text).alias("mark_"))
     # The text travels once, inside its row.
     inner = F.coalesce(F.col(f"doc_.`{text_col}`").cast("string"), F.lit(""))
-    # Chunked twice rather than written: the digests of all chunks take half as much room as the texts.
-    told = _chunked(rows.withColumn("text_", inner).where("id_ IS NOT NULL AND text_ <> ''"))
-    chunks = told.select("id_", "mark_", F.posexplode("digests").alias("pos", "digest"))
-    first = chunks.groupBy("digest").agg(F.min("id_").alias("first"), F.max("id_").alias("last")).where("first < last").select("digest", "first")
-    place = F.shiftleft(F.col("mark_").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    again = chunks.select("digest", "id_", place.alias("place")).join(first, "digest").where("id_ > first")
-    mark, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    marked = again.select("id_", mark.alias("mark_"), pos.alias("pos")).groupBy("id_", "mark_").agg(F.collect_set("pos").alias("again_"))
+    texts = rows.select("id_", "mark_", inner.alias("text_")).where("id_ IS NOT NULL AND text_ <> ''")
+    with Scratch(docs.sparkSession) as scratch:
+        told = scratch.table(_chunked(texts), "digests")
+        chunks = told.select("id_", "mark_", F.posexplode("digests").alias("pos", "digest"))
+        runs = scratch.table(_runs(_first_elsewhere(chunks, scratch)), "runs")
+        side = F.explode(F.array_compact(F.array(F.when(F.col("low"), F.lit(True)), F.when(F.col("high"), F.lit(False))))).alias("before")
+        ends = runs.where("low OR high").select("id_", "mark_", "pos", "digest", "first", side)
+        asked = scratch.table(ends.groupBy("first").agg(F.collect_set("digest").alias("digests")), "asked")
+        answers = scratch.table(_answered(asked, texts), "answers")
+        around = ends.join(answers, ["first", "digest", "before"]).select("id_", "mark_", "pos", F.struct("pos", "before", "contexts").alias("around"))
+        entries = runs.select("id_", "mark_", "pos", F.lit(None).cast(around.schema["around"].dataType).alias("around")).union(around)
+        info = materialize(entries.groupBy("id_", "mark_").agg(F.collect_set("pos").alias("again_"), F.collect_list("around").alias("around_")), "repeats")
     kind = "struct<text: string, spans: array<struct<start: int, stop: int>>>"
 
     @F.arrow_udf(kind)
-    def cut(texts: pa.Array, chunk_sets: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, chunk_sets: pa.Array, arounds: pa.Array) -> pa.Array:
         left, spans = [], []
-        for text, again_ in zip(texts, chunk_sets, strict=True):
+        for text, again_, around_ in zip(texts, chunk_sets, arounds, strict=True):
             data = text.as_py().encode()
-            found = repeated_spans(data, again_.as_py(), min_words)
+            found = repeated_spans(data, again_.as_py(), min_words, [(a["pos"], a["before"], a["contexts"]) for a in around_.as_py()])
             left.append(without(data, found))
             spans.append([{"start": s, "stop": e} for s, e in found])
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(spans, pa.list_(span))], names=["text", "spans"])
 
-    both = rows.join(marked, ["id_", "mark_"], "left").withColumns({"text_": inner, "bytes_": F.octet_length(inner).cast("long")})
+    maybe, clean = _touching(rows, info, ["id_", "mark_"])
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    alone = both.where("again_ IS NULL").select("doc_", "text_", none.alias("spans_"), "bytes_")
-    changed = both.where("again_ IS NOT NULL").withColumn("cut_", cut("text_", "again_"))
-    return alone.unionByName(changed.select("doc_", F.col("cut_.text").alias("text_"), F.col("cut_.spans").alias("spans_"), "bytes_"))
+    both = maybe.join(info, ["id_", "mark_"], "left").withColumn("text_", inner)
+    changed = both.where("again_ IS NOT NULL").withColumn("cut_", cut("text_", "again_", "around_"))
+    alone = clean.select("doc_").union(both.where("again_ IS NULL").select("doc_")).select("doc_", inner.alias("text_"), none.alias("spans_"))
+    found = alone.unionByName(changed.select("doc_", F.col("cut_.text").alias("text_"), F.col("cut_.spans").alias("spans_")))
+    return found.withColumn("bytes_", F.octet_length(inner).cast("long"))
 
 
 def repeat_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
