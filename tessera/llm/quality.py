@@ -144,54 +144,71 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return groups.agg(F.greatest(F.lit(1.0), F.least(F.lit(1e6), within / excess - 1))).first()[0] or 1.0
 
 
-def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(host, path, shift): what a section adds to its texts' log odds.
+def _bounded(c: Column) -> Column:
+    return F.least(F.lit(0.999), F.greatest(F.lit(0.001), c))
+
+
+@dataclass(frozen=True)
+class Priors:
+    """The global mean, and how many texts it is worth for a host, and a host's mean for its section."""
+
+    mean: float
+    host: float
+    section: float
+
+    def shift(self, n: Column, s: Column, host_n: Column, host_s: Column) -> Column:
+        """What counts and sums of probabilities of a section and its host add to a text's log odds."""
+        host_mean = _bounded((host_s + self.host * self.mean) / (host_n + self.host))
+        shrunk = _bounded((s + self.section * host_mean) / (n + self.section))
+        return _logit(shrunk) - _logit(F.lit(self.mean))
+
+
+def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, Priors]:
+    """(host, path, n, s, host_n, host_s, shift) of each section, and the priors; shift is what a section adds to a new text's log odds.
 
     ``evidence``: (host, path, p). A host's mean is shrunk toward the global mean, a section's toward its host's,
     each by a strength estimated from how the groups differ. All from partial sums for each section; the number
     of rows is that of the sections, and three numbers reach the driver.
     """
-
-    def bounded(c: Column) -> Column:
-        return F.least(F.lit(0.999), F.greatest(F.lit(0.001), c))
-
     sections = materialize(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "sections")
-    mean = F.lit(sections.agg(bounded(F.sum("s") / F.sum("n"))).first()[0] or 0.5)
+    mean = sections.agg(_bounded(F.sum("s") / F.sum("n"))).first()[0] or 0.5
     hosts = sections.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    k = _strength(hosts, mean)
-    hosts = hosts.select("host", bounded((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_mean"))
-    inner = sections.join(hosts, "host")
-    k = _strength(inner, F.col("host_mean"))
-    shrunk = bounded((F.col("s") + k * F.col("host_mean")) / (F.col("n") + k))
-    return inner.select("host", "path", (_logit(shrunk) - _logit(mean)).alias("shift"))
-
-
-def _names(df: DataFrame, host: Column, path: Column) -> DataFrame:
-    return df.withColumns({"host": F.coalesce(host.cast("string"), F.lit("")), "path": F.coalesce(path.cast("string"), F.lit(""))})
+    strength = _strength(hosts, F.lit(mean))
+    inner = sections.join(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), "host")
+    host_mean = _bounded((F.col("host_s") + strength * mean) / (F.col("host_n") + strength))
+    priors = Priors(mean, strength, _strength(inner.withColumn("host_mean", host_mean), F.col("host_mean")))
+    return inner.withColumn("shift", priors.shift(*map(F.col, ("n", "s", "host_n", "host_s")))), priors
 
 
 class QualityModel:
-    """A fitted classifier and the posteriors of all sites and sections of a corpus."""
+    """A fitted classifier and the posteriors of all sites and sections of a corpus.
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", host: str = "source", path: str = "lang", max_labelled: int = MAX_LABELLED) -> None:
-        self.text, self.lang, self.host, self.path = text_col, lang_col, host, path
-        named = _names(docs, F.col(host), F.col(path))
+    ``counts`` is a written table of each row's features, host and path, with its id or, ``whole``, all of it as ``doc_id``.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, *, whole: bool = False, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", host: str = "source", path: str = "lang", max_labelled: int = MAX_LABELLED) -> None:
         chosen = labelled(labels, max_labelled=max_labelled)
-        known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("text", "toxic").limit(max_labelled)
+        known = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "doc_id").select("text", "toxic").limit(max_labelled)
         self.words = toxic_words(materialize(known, "labelled"))
-        evidence = toxic_evidence(F.col(text_col), self.words).alias("toxic_words")
-        ids = named.select(F.struct(F.col(id_col).alias("doc_id"), "host", "path", evidence).alias("doc_"), F.col(text_col).alias("text_"), (F.col(lang_col) if lang_col else F.lit(None)).alias("lang_"))
-        counts = features(ids, "doc_", "text_", "lang_").select("doc_id.*", *(c for c in ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "classes", "common")))
+        key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if whole else F.col(f"`{id_col}`")
+        evidence = toxic_evidence(F.col(f"`{text_col}`"), self.words).alias("toxic_words")
+        sites = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path")))
+        rows = docs.select(F.struct(key.alias("doc_id"), F.col(f"`{id_col}`").alias("id_"), *sites, evidence).alias("doc_"), F.col(f"`{text_col}`").alias("text_"), (F.col(f"`{lang_col}`") if lang_col else F.lit(None)).alias("lang_"))
+        counts = features(rows, "doc_", "text_", "lang_").select("doc_id.*", *(c for c in ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "classes", "common")))
+        # Features are made once, also where whole rows are wanted: writing a text costs less than counting it again.
         self.counts = materialize(counts, "quality")
-        self.classifier = fit_classifier(self.counts, chosen, max_labelled=max_labelled)
-        own = 1 / (1 + F.exp(-self.classifier.log_odds()))
-        shifts = site_posteriors(self.counts.select("host", "path", own.alias("p")))
+        self.classifier = fit_classifier(self.counts.drop("doc_id").withColumnRenamed("id_", "doc_id"), chosen, max_labelled=max_labelled)
+        self.own = 1 / (1 + F.exp(-self.classifier.log_odds()))
+        shifts, self.priors = site_posteriors(self.counts.select("host", "path", self.own.alias("p")))
+        shifts = shifts.drop("shift")
         # Broadcast while sections are few, which is counted; else the join shuffles.
         self.shifts = F.broadcast(shifts) if shifts.count() <= MAX_BROADCAST else shifts
 
-    def scored(self, counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-        """``counts`` (with host and path) with document_odds, site_shift, score and kept."""
-        joined = counts.withColumn("document_odds", self.classifier.log_odds()).join(self.shifts, ["host", "path"], "left").withColumn("site_shift", F.coalesce("shift", F.lit(0.0))).drop("shift")
+    def scored(self, threshold: float = THRESHOLD) -> DataFrame:
+        """``counts`` with document_odds, site_shift, score and kept; a text's own part is taken out of its section's and host's sums."""
+        rows = self.counts.withColumns({"document_odds": self.classifier.log_odds(), "own": self.own})
+        rest = (F.col("n") - 1, F.col("s") - F.col("own"), F.col("host_n") - 1, F.col("host_s") - F.col("own"))
+        joined = rows.join(self.shifts, ["host", "path"], "left").withColumn("site_shift", F.coalesce(self.priors.shift(*rest), F.lit(0.0))).drop("n", "s", "host_n", "host_s", "own")
         joined = joined.withColumn("score", 1 / (1 + F.exp(-F.col("document_odds") - F.col("site_shift"))))
         return joined.withColumn("kept", (F.col("n_words") > 0) & (F.col("score") >= threshold))
 
@@ -200,8 +217,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     """``(doc_id, host, path, document_odds, site_shift, score, kept)`` for each row of ``docs``.
 
     ``document_odds`` are those of logistic regression over counts of the text and its toxic words, fitted to labelled
-    rows (at most ``max_labelled``), of which those are good that have quality and aren't toxic; ``site_shift`` is what the section's posterior adds; ``score`` is the probability of a good
-    text; a text is kept at ``threshold`` or more.
+    rows (at most ``max_labelled``), of which those are good that have quality and aren't toxic; ``site_shift`` is what the
+    posterior of the section's other texts adds; ``score`` is the probability of a good text; a text is kept at ``threshold`` or more.
 
     Null and empty texts, and those without words, aren't kept; a null host or path is one of its own, named "";
     a null language has no common words; without labels, or with one class only, the text gives even odds and is
@@ -209,14 +226,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     an empty table gives an empty one.
     """
     model = QualityModel(docs, labels, **columns)
-    return model.scored(model.counts, threshold).select("doc_id", "host", "path", "document_odds", "site_shift", "score", "kept")
+    return model.scored(threshold).select("doc_id", "host", "path", "document_odds", "site_shift", "score", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **columns) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`classify` keeps; texts are scored again where they are, and not moved."""
-    model = QualityModel(docs, labels, **columns)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"))
-    counted = features(packed, "doc_", f"doc_.`{model.text}`", f"doc_.`{model.lang}`" if model.lang else None)
-    counted = counted.withColumn("toxic_words", toxic_evidence(F.col(f"doc_id.`{model.text}`"), model.words))
-    named = _names(counted, F.col(f"doc_id.`{model.host}`"), F.col(f"doc_id.`{model.path}`"))
-    return model.scored(named, threshold).where("kept").select("doc_id.*")
+    """The rows of ``docs``, all columns, that :func:`classify` keeps; no text is shuffled."""
+    return QualityModel(docs, labels, whole=True, **columns).scored(threshold).where("kept").select("doc_id.*")

@@ -30,7 +30,7 @@ def test_held_out_accuracy(spark):
 
 def test_sparse_sections_shrink_toward_the_rest(spark):
     evidence = [(f"h{h}", "p", 0.9 if h else 0.2) for h in range(6) for _ in range(400)] + [("rare", "p", 0.0), ("h1", "few", 0.0)]
-    found = {(r.host, r.path): r.shift for r in Q.site_posteriors(spark.createDataFrame(evidence, "host string, path string, p double")).collect()}
+    found = {(r.host, r.path): r.shift for r in Q.site_posteriors(spark.createDataFrame(evidence, "host string, path string, p double"))[0].collect()}
     assert found["h0", "p"] < found["rare", "p"] < found["h1", "p"]
     assert found["h0", "p"] < found["h1", "few"] < found["h1", "p"]
 
@@ -81,3 +81,26 @@ def test_few_toxic_labels_tell_no_words(spark):
     rows = [("good words idiot", 1), ("words here", 0), ("good here", 0)]
     assert Q.toxic_words(spark.createDataFrame(rows, "text string, toxic int")) == {}
     assert Q.toxic_words(spark.createDataFrame(rows[1:], "text string, toxic int")) == {}
+
+
+def test_a_text_is_no_evidence_for_its_own_section(spark):
+    rows, labels = corpus(400)
+    rows = [(i, t, lang, f"alone{i}" if i < 5 else s) for i, t, lang, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = Q.QualityModel(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    shifts = {r.doc_id: r.site_shift for r in model.scored().collect()}
+    # Alone on its host, a text has the global prior, whatever it is like.
+    assert all(abs(shifts[i]) < 1e-9 for i in range(5))
+
+
+def test_held_out_labels_of_the_tables(spark):
+    """Fitted to one half of the labels, judged by the other."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    rows = Q.classify(docs, labels.where(half)).join(labels.where(~half), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    of = {(r.quality, r.toxic): (r.kept, r.n) for r in rows}
+    print(of)
+    assert of[1, 0][0] > 0.99 * of[1, 0][1]
+    toxic = [sum(x) for x in zip(*(v for (_, t), v in of.items() if t), strict=True)]
+    assert toxic[0] < 0.2 * toxic[1]
+    assert of[0, 0][0] < 0.2 * of[0, 0][1]
