@@ -194,16 +194,20 @@ def _linked(group: pa.Table, threshold: float, miss: float, num: int, den: int)
     return found
 
 
-def _within_large(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, miss: float, num: int, den: int) -> DataFrame:
+def _within_large(members: DataFrame, sketches: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, miss: float, num: int, den: int) -> DataFrame:
     """Links of large buckets between a member outside its leader's class and members of other classes.
 
     ``members``: (key, node, n, comp, home), home the leader's class. A bucket's rows are dealt to blocks of about
     ``BLOCK_SHINGLES`` shingles and ``BLOCK_ROWS`` rows; those outside the home class go to every block, in parts of their own, so that
     no task holds more than a block and a part. A task gives links between classes, not pairs.
     """
+    # What is small is written, so that a join with it is a broadcast, or one that can split a bucket.
+    members = scratch.table(members, "large")
     weight = members.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    weight = scratch.table(weight, "blocks")
     at = members.join(sketches.select("node", "sig").join(sets, "node"), "node").join(weight, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     outer = members.where("comp <> home").join(weight, "key").select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part")).distinct()
+    outer = scratch.table(outer, "parts")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     shown = ("node", "comp", "n", "sig", "shingles")
     left = at.where("comp <> home").select("key", F.col("own").alias("part"), every.alias("block"), *shown, F.lit(True).alias("query"))
@@ -282,7 +286,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, perc
         v = small.select("key", F.col("node").alias("q"), F.col("comp").alias("cq"))
         near = u.join(v, "key").where("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         near = _pruned(near, sketches, threshold, miss, num, den)
-        far = _within_large(open_.where(F.col("size") > BLOCK), sketches, sets, threshold, miss, num, den)
+        far = _within_large(open_.where(F.col("size") > BLOCK), sketches, sets, scratch, threshold, miss, num, den)
         more = scratch.table(_verified(near, sets, num, den).union(far), "more-links")
         classes = connected_components(links.union(more)).withColumnRenamed("component", "class_")
 
