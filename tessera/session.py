@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset (tests, a
-    single machine) a temporary folder is made once for the session.
+    ``spark.checkpoint.dir`` names it on a cluster; without it this fails there. On a
+    single machine (tests) a temporary folder is made once for the session.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return (path or context.getCheckpointDir()).rstrip("/")
@@ -27,16 +30,30 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is there and will be deleted when the driver's JVM ends."""
+    store, place = _place(spark, path)
+    store.deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Later stages read the files, so a lost executor costs a read and not the whole
-    lineage; rows are computed once however often the result is used.
+    lineage; rows are computed once however often the result is used. The files are
+    deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
 class Scratch:
@@ -57,11 +74,9 @@ class Scratch:
         return self
 
     def __exit__(self, *error: object) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            store, place = _place(self.spark, path)
+            store.delete(place, True)
         self.paths.clear()
 
 
