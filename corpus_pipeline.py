@@ -13,7 +13,7 @@ from tessera.llm.neardup import keep_one_of_each
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
 from tessera.llm.substring import dedup_substrings
-from tessera.session import fresh_path, table
+from tessera.session import fresh_path, table, until_exit
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near duplicates (five words, similarity 0.8 or more)."""
+    """One document, of the least id, of each class of near duplicates (five words, similarity 0.8 or more)."""
     return keep_one_of_each(docs)
 
 
@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = spark.read.parquet(until_exit(spark, path))
     return STAGES[-1][1](spark, docs, sf_dir)
