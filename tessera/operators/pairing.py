@@ -7,7 +7,9 @@ its own two, so components of the graph of positions are independent.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,33 +50,52 @@ def simple_pairs(simple: DataFrame) -> DataFrame:
     return out.select(F.col("s.id").alias("ref_id"), F.col("s.at").alias("pos"), F.col("d.id").alias("next_ref_id"), F.col("d.at").alias("next_pos"))
 
 
+class Fold:
+    """The mates of positions as records (s, d) come in order."""
+
+    def __init__(self) -> None:
+        self.mate: dict = {}
+
+    def pairs(self, s: object, d: object) -> bool:
+        """Whether this record makes a pair."""
+        if d not in self.mate:
+            self.mate.setdefault(s, d)
+        elif self.mate[d] == s:
+            self.mate[d] = None
+            return True
+        return False
+
+
 def fold(records: list[tuple]) -> list[tuple]:
     """Pairs (s, d) of records (s, d) in order."""
-    mate: dict = {}
-    out = []
-    for s, d in records:
-        if d not in mate:
-            mate.setdefault(s, d)
-        elif mate[d] == s:
-            mate[d] = None
-            out.append((s, d))
-    return out
+    state = Fold()
+    return [(s, d) for s, d in records if state.pairs(s, d)]
 
 
 def complex_pairs(records: DataFrame) -> DataFrame:
     """Pairs of any records, each component of positions folded in order.
 
-    Components of sparse reads are small; one that holds most positions is one task, as its order demands.
+    A task streams its components one after another, in record order, and holds the positions of one. Components of
+    sparse reads are small; one that holds most positions is one task, as its order demands.
     """
     comps = connected_components(records, "s", "d").select(F.col("node").alias("s"), "component")
-    schema = T.StructType([T.StructField(c, records.schema[c].dataType) for c in _RECORD[2:]])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rec_no", kind="stable")
-        rows = zip(zip(group["ref_id"], group["pos"], strict=True), zip(group["next_ref_id"], group["next_pos"], strict=True), strict=True)
-        return pd.DataFrame([(*s, *d) for s, d in fold(list(rows))], columns=list(_RECORD[2:]))
-
-    return records.join(comps, "s").select("component", *_RECORD[1:]).groupBy("component").applyInPandas(run, schema)
+    schema = T.StructType([records.schema[c] for c in _RECORD[2:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now = Fold(), None
+        for batch in batches:
+            component, *rest = (c.to_pylist() for c in batch.columns)
+            hits = []
+            for i, (of, a, x, b, y) in enumerate(zip(component, *rest, strict=True)):
+                if of != now:
+                    state, now = Fold(), of
+                if state.pairs((a, x), (b, y)):
+                    hits.append(i)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(hits, pa.int64())) for c in batch.columns[1:]], names=schema.names)
+
+    placed = records.join(comps, "s").select("component", *_RECORD[1:])
+    ordered = placed.repartition("component").sortWithinPartitions("component", "rec_no")
+    return ordered.select("component", *_RECORD[2:]).mapInArrow(run, schema)
 
 
 def mate_pairs(records: DataFrame) -> DataFrame:

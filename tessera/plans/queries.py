@@ -132,26 +132,23 @@ def _(spark, sf_dir):
     return align.positions_in_windows(probes, text_windows(spark, sf_dir))
 
 
-def mates(spark: SparkSession, sf_dir: str, last: int | None = 4, width: int = 16, back_by: int = 2) -> DataFrame:
+def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as reads of one file: each order's lines by number, mates of the line after, and back for even orders.
 
-    Positions are (order, line number), so graphs of positions are small; repeated line numbers make some of them complex.
-    Lines after number ``last`` are left out, as the SQL of ``mate_pairs_simple`` does; None takes all. An order's records
-    have ``width`` numbers, and those back go down by ``back_by`` a line in every third order.
+    Positions are (order, line number). An order's records have 32 numbers, and those back go down in every third order.
     """
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("int").alias("o"), F.col("l_linenumber").cast("int").alias("n")).distinct()
-    lines = lines if last is None else lines.where(F.col("n") <= last)
     there = lines.where("n % 2 = 1").select("o", "n", (F.col("n") + 1).alias("m"))
     there = there.join(lines.select("o", F.col("n").alias("m")), ["o", "m"])
     record = lambda df, s, d, order: df.select(F.lit("f").alias("file"), order.cast("bigint").alias("rec_no"), F.col("o").alias("ref_id"), F.col(s).alias("pos"), F.col("o").alias("next_ref_id"), F.col(d).alias("next_pos"))
-    first = record(there, "n", "m", F.col("o") * width + F.col("n"))
-    back = record(there.where("o % 2 = 0"), "m", "n", F.col("o") * width + width // 2 + F.col("n") * F.when(F.col("o") % 3 == 0, -back_by).otherwise(1))
+    first = record(there, "n", "m", F.col("o") * 32 + F.col("n"))
+    back = record(there.where("o % 2 = 0"), "m", "n", F.col("o") * 32 + 16 + F.col("n") * F.when(F.col("o") % 3 == 0, -3).otherwise(1))
     return first.union(back)
 
 
-MATE_SQL = """line AS (SELECT DISTINCT l_orderkey::INT AS o, l_linenumber::INT AS n FROM lineitem WHERE l_linenumber <= 4),
+MATE_SQL = """line AS (SELECT DISTINCT l_orderkey::INT AS o, l_linenumber::INT AS n FROM lineitem),
 there AS (SELECT a.o, a.n, a.n + 1 AS m FROM line a JOIN line b ON a.o = b.o AND b.n = a.n + 1 WHERE a.n % 2 = 1),
-rec AS (SELECT o, n AS s, m AS d, o * 16 + n AS r FROM there UNION ALL SELECT o, m, n, o * 16 + 8 + n * CASE WHEN o % 3 = 0 THEN -2 ELSE 1 END FROM there WHERE o % 2 = 0)"""
+rec AS (SELECT o, n AS s, m AS d, o * 32 + n AS r FROM there UNION ALL SELECT o, m, n, o * 32 + 16 + n * CASE WHEN o % 3 = 0 THEN -3 ELSE 1 END FROM there WHERE o % 2 = 0)"""
 
 
 @query("mate_pairs_simple", f"WITH {MATE_SQL} SELECT x.o AS ref_id, x.s AS pos, x.o AS next_ref_id, x.d AS next_pos FROM rec x JOIN rec y ON x.o = y.o AND x.s = y.d AND x.d = y.s AND x.r > y.r")
@@ -159,23 +156,23 @@ def _(spark, sf_dir):
     return pairing.simple_pairs(pairing.single_mate(mates(spark, sf_dir))[0])
 
 
-MATE_ALL_SQL = """line AS (SELECT DISTINCT l_orderkey::INT AS o, l_linenumber::INT AS n FROM lineitem),
-there AS (SELECT a.o, a.n, a.n + 1 AS m FROM line a JOIN line b ON a.o = b.o AND b.n = a.n + 1 WHERE a.n % 2 = 1),
-rec AS (SELECT o, n AS s, m AS d, o * 32 + n AS r FROM there UNION ALL SELECT o, m, n, o * 32 + 16 + n * CASE WHEN o % 3 = 0 THEN -3 ELSE 1 END FROM there WHERE o % 2 = 0)"""
-
-
-# All lines of each order; the query above keeps numbers up to 4, as its SQL does.
-@query("mate_pairs_simple_all", f"WITH {MATE_ALL_SQL} SELECT x.o AS ref_id, x.s AS pos, x.o AS next_ref_id, x.d AS next_pos FROM rec x JOIN rec y ON x.o = y.o AND x.s = y.d AND x.d = y.s AND x.r > y.r")
-def _(spark, sf_dir):
-    return pairing.simple_pairs(pairing.single_mate(mates(spark, sf_dir, None, 32, 3))[0])
-
-
-@query("mate_pairs_exact")
+# Each line of an order with all its others, in an order of the records that mixes them. The SQL folds an order's records
+# one by one: of each position its mate, 0 where it has none yet, and -1 once that is spent.
+@query(
+    "mate_pairs_exact",
+    """WITH RECURSIVE line AS (SELECT DISTINCT l_orderkey::INT AS o, l_linenumber::INT AS n FROM lineitem),
+rec AS (SELECT a.o, a.n AS s, b.n AS d, row_number() OVER (PARTITION BY a.o ORDER BY (a.n * 64 + b.n) * 1237 % 4096) AS k FROM line a JOIN line b ON a.o = b.o AND a.n <> b.n),
+state AS (SELECT o, 0::BIGINT AS k, list_transform(range(0, max(n)), lambda x: 0::INT) AS st, 0 AS s, 0 AS d, false AS pair FROM line GROUP BY o
+  UNION ALL SELECT f.o, r.k, CASE WHEN st[r.d] = 0 AND st[r.s] = 0 THEN list_transform(st, lambda x, i: CASE WHEN i = r.s THEN r.d ELSE x END)
+    WHEN st[r.d] = r.s THEN list_transform(st, lambda x, i: CASE WHEN i = r.d THEN -1 ELSE x END) ELSE st END, r.s, r.d, st[r.d] = r.s
+  FROM state f JOIN rec r ON r.o = f.o AND r.k = f.k + 1)
+SELECT o AS ref_id, s AS pos, o AS next_ref_id, d AS next_pos FROM state WHERE pair""",
+)
 def _(spark, sf_dir):
-    # Each line of an order with all its others, so that positions have several mates.
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("int").alias("o"), F.col("l_linenumber").cast("int").alias("n")).distinct()
     ring = lines.join(lines.select("o", F.col("n").alias("m")), "o").where("n <> m")
-    return pairing.mate_pairs(ring.select(F.lit("f").alias("file"), F.xxhash64("o", "n", "m").alias("rec_no"), F.col("o").alias("ref_id"), F.col("n").alias("pos"), F.col("o").alias("next_ref_id"), F.col("m").alias("next_pos")))
+    number = F.col("o").cast("bigint") * 4096 + (F.col("n") * 64 + F.col("m")) * 1237 % 4096
+    return pairing.mate_pairs(ring.select(F.lit("f").alias("file"), number.alias("rec_no"), F.col("o").alias("ref_id"), F.col("n").alias("pos"), F.col("o").alias("next_ref_id"), F.col("m").alias("next_pos")))
 
 
 # The contact view: mates within a line's return flag, positions the parts, from quality 10 on.
@@ -415,16 +412,7 @@ def _(spark, sf_dir):
     return allele_table(lines, nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), 3)
 
 
-@query("components", f"""WITH RECURSIVE {EDGE_SQL}, strong AS (SELECT "start" AS a, "end" AS b FROM edge WHERE ("start" + "end") % 7 = 0 AND "start" <> "end"),
-both_ways AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
-reach AS (SELECT a AS node, a AS c FROM both_ways UNION SELECT b.a, r.c FROM both_ways b JOIN reach r ON r.node = b.b)
-SELECT node, min(c) AS component FROM reach GROUP BY node""")
-def _(spark, sf_dir):
-    return connected_components(edge_table(spark, sf_dir).where("(start + end) % 7 = 0 AND start <> end"), "start", "end")
-
-
-# All edges; the query above keeps those of a sum that 7 divides, as its SQL does.
-@query("components_all", f"""WITH RECURSIVE {EDGE_SQL}, strong AS (SELECT "start" AS a, "end" AS b FROM edge WHERE "start" <> "end"),
+@query("components", f"""WITH RECURSIVE {EDGE_SQL}, strong AS (SELECT "start" AS a, "end" AS b FROM edge WHERE "start" <> "end"),
 both_ways AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
 reach AS (SELECT a AS node, a AS c FROM both_ways UNION SELECT b.a, r.c FROM both_ways b JOIN reach r ON r.node = b.b)
 SELECT node, min(c) AS component FROM reach GROUP BY node""")
