@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.sift import touching
 from tessera.llm.text import text_batches
 from tessera.session import Scratch, materialize
 
@@ -26,8 +27,6 @@ MIN_WORDS, RUN_WORDS = 50, 12
 CONTEXT = 384
 #: Digests of more repeats than this, and than one in so many of all repeats, are joined in parts; so there are at most as many of them.
 HOT, MAX_HOT = 1_000, 100_000
-#: 64-bit words of the table of documents that a step touches; others aren't shuffled for it.
-SLOTS = 1 << 17
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 _SPACES = frozenset((9, 10, 11, 12, 13, 32))
 _SPACE = np.isin(np.arange(256), list(_SPACES))
@@ -169,22 +168,6 @@ def _chunked(rows: DataFrame) -> DataFrame:
     return rows.select("id_", "mark_", "text_").mapInArrow(run, schema)
 
 
-def _touching(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The ``rows`` whose ``columns`` may be among ``keys``, and those whose aren't, by a table of ``SLOTS`` times 64 bits.
-
-    The table is broadcast and doesn't grow; with more keys than it has bits it lets all rows pass, which loses nothing.
-    """
-
-    def place(h: Column) -> tuple[Column, Column]:
-        return F.pmod(h, F.lit(SLOTS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
-
-    slot, bit = place(F.xxhash64(*columns))
-    bits = keys.select(slot.alias("slot_"), bit.alias("bit_")).groupBy("slot_").agg(F.bit_or(F.expr("shiftleft(1L, bit_)")).alias("bits_"))
-    met = rows.withColumns({"slot_": slot, "bit_": bit}).join(F.broadcast(bits), "slot_", "left")
-    has = F.coalesce(F.call_function("shiftright", F.col("bits_"), F.col("bit_")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return met.where(has).drop("slot_", "bit_", "bits_"), met.where(~has).drop("slot_", "bit_", "bits_")
-
-
 def _first_elsewhere(chunks: DataFrame, scratch: Scratch) -> DataFrame:
     """(id_, mark_, pos, digest, first) of the chunks that a document of a lesser id has, and the least such id.
 
@@ -236,7 +219,7 @@ def _answered(asked: DataFrame, rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], names=schema.names)
                     found = []
 
-    holders = _touching(rows, asked.withColumnRenamed("first", "id_"), ["id_"])[0]
+    holders = touching(rows, asked.withColumnRenamed("first", "id_"), ["id_"])[0]
     told = holders.join(asked.withColumnRenamed("first", "id_"), "id_").select("id_", "text_", "digests").mapInArrow(run, schema)
     return told.groupBy("first", "digest", "before").agg(F.collect_set("context").alias("contexts"))
 
@@ -280,7 +263,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(spans, pa.list_(span))], names=["text", "spans"])
 
-    maybe, clean = _touching(rows, info, ["id_", "mark_"])
+    maybe, clean = touching(rows, info, ["id_", "mark_"])
     none = F.array().cast("array<struct<start:int,stop:int>>")
     both = maybe.join(info, ["id_", "mark_"], "left").withColumn("text_", inner)
     changed = both.where("again_ IS NOT NULL").withColumn("cut_", cut("text_", "again_", "around_"))

@@ -74,3 +74,22 @@ def test_empty_tables(case):
     none = D.contamination(table, bench.limit(0)).collect()
     assert len(none) == len(docs) and all(r.n_hit == 0 and r.item_ids == [] for r in none)
     assert D.decontaminate(table, bench.limit(0)).count() == len(docs)
+
+
+def test_tables_grow_with_the_windows(case, monkeypatch):
+    docs, items, table, bench = case
+    monkeypatch.setattr(D, "TABLE", 1)
+    for most in (1, 1 << 16):
+        monkeypatch.setattr(D, "MAX_TABLE", most)
+        index = D._Index(bench, 10, "item_id", "text")
+        assert index.size == min(most, 16)
+        got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids) for r in D.contamination(table, bench).collect())
+        assert got == sorted((str(k), *model(t, items)) for k, t in docs)
+
+
+def test_a_long_text_that_is_all_benchmark(texts):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20_000))
+    docs = texts([(1, long), (2, "clean text of a few words"), (3, "Before. " + long + " After.")])
+    bench = docs.sparkSession.createDataFrame([(1, long)], "item_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in D.decontaminate(docs, bench).collect()) == [(2, "clean text of a few words"), (3, "Before. After.")]

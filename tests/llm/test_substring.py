@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tessera.llm import sift
 from tessera.llm import substring as S
 
 
@@ -11,8 +12,8 @@ def prose(rng, n):
 
 def test_chunks_cover_and_keep_characters_whole():
     rng = random.Random(1)
-    for text in [prose(rng, 400), "中" * 900, "a" * 900, "", "x", "é" * 255 + "a b", "😀" * 200]:
-        data = text.encode()
+    for made in [prose(rng, 400), "中" * 900, "a" * 900, "", "x", "é" * 255 + "a b", "😀" * 200]:
+        data = made.encode()
         ends = S.chunk_ends(data)
         assert ends == sorted(set(ends)) and (ends[-1] if ends else 0) == len(data)
         last = 0
@@ -42,8 +43,8 @@ def test_cuts_are_where_the_rolling_hash_says():
 
 def test_chunks_resist_insertions():
     rng = random.Random(3)
-    text = prose(rng, 1000)
-    a, b = text.encode(), ("something new " + text[:2000] + " inserted " + text[2000:]).encode()
+    told = prose(rng, 1000)
+    a, b = told.encode(), ("something new " + told[:2000] + " inserted " + told[2000:]).encode()
     first, second = set(S.digests(a, S.chunk_ends(a))), set(S.digests(b, S.chunk_ends(b)))
     assert len(first & second) > 0.9 * len(first)
 
@@ -127,7 +128,7 @@ def test_shorter_passages_stay():
 def test_operator_against_brute_force(texts, monkeypatch):
     """Of each document, the words in windows of MIN_WORDS words that a document of a lesser id has."""
     monkeypatch.setattr(S, "HOT", 3)
-    monkeypatch.setattr(S, "SLOTS", 16)
+    monkeypatch.setattr(sift, "SLOTS", 16)
     rng = random.Random(12)
     passages = [prose(rng, rng.randint(50, 90)) for _ in range(6)] + [prose(rng, 30)]
     docs = []
@@ -137,14 +138,14 @@ def test_operator_against_brute_force(texts, monkeypatch):
             parts += [rng.choice(passages), prose(rng, rng.randint(5, 60))]
         docs.append((1000 - i, rng.choice([" ", "\n"]).join(parts)))
     seen, want = set(), {}
-    for key, text in sorted(docs):
-        w = text.split()
+    for key, told in sorted(docs):
+        w = told.split()
         windows = [tuple(w[i : i + S.MIN_WORDS]) for i in range(len(w) - S.MIN_WORDS + 1)]
         want[key] = len({i + k for i, x in enumerate(windows) if x in seen for k in range(S.MIN_WORDS)})
         seen.update(windows)
     rows = {r.doc_id: r for r in S.repeat_report(texts(docs)).collect()}
     assert sum(n > 0 for n in want.values()) > 40
-    for key, text in docs:
+    for key, told in docs:
         spans = rows[key].spans
-        assert sum(len(text.encode()[s.start : s.stop].split()) for s in spans) == want[key], key
-        assert len(rows[key].text.split()) == len(text.split()) - want[key]
+        assert sum(len(told.encode()[s.start : s.stop].split()) for s in spans) == want[key], key
+        assert len(rows[key].text.split()) == len(told.split()) - want[key]
