@@ -7,13 +7,15 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import materialize
+
 #: The rules in force: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Labelled names that the default model is fitted to: words of unwanted hosts and paths, and of usual ones.
@@ -25,6 +27,8 @@ free press|free software|race track|music album list|open data|weather report|sp
 photo gallery|recipe book|kitchen recipe|medical journal|law review|car parts|bike shop|pet care|child care|job board|bank help|help desk|user guide|docs api|code review|game review
 movie review|book review|world map|radio station|tv guide|green energy|house plans|film club|chess club|football club|church choir|event calendar|press release|about contact|mobile site
 en index|de index|fr index|es index|article archive|category page|user profile|product page|search results|news archive|wiki page|project docs"""
+#: The words of a corpus that a model knows, the most frequent of those that come so often, and their letters at least and at most.
+MAX_WORDS, MIN_COUNT, LETTERS = 50_000, 5, (2, 24)
 _LABEL, _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+"), re.compile(r"[0-9]+|[^\W\d_]+")
 
 
@@ -55,19 +59,28 @@ class UrlModel:
     prior: float
 
     @classmethod
-    def fit(cls, unwanted: Iterable[list[str]], usual: Iterable[list[str]], prior: float = 0.2, smoothing: float = 0.5) -> UrlModel:
-        """Multinomial naive Bayes with add-``smoothing``; unigram costs from all words of both classes.
+    def fit(cls, unwanted: Iterable[list[str]], usual: Iterable[list[str]], prior: float = 0.2, smoothing: float = 0.5, corpus: dict[str, int] | None = None) -> UrlModel:
+        """Multinomial naive Bayes with add-``smoothing``; unigram costs from all words of both classes and, for a half, from a corpus.
 
-        A word that no example has is as likely in either class. ``prior`` is the share of unwanted URLs.
+        A word that no example has is as likely in either class: those of the corpus only cut names, so that an ordinary
+        word isn't cut for an unwanted one inside it. ``prior`` is the share of unwanted URLs.
         """
         bad, good = Counter(w for x in unwanted for w in x), Counter(w for x in usual for w in x)
         words = bad.keys() | good.keys()
         total = sum(bad.values()) + sum(good.values())
         cost = {w: -math.log((bad[w] + good[w]) / (total + len(words))) for w in words}
+        if corpus:
+            all_ = sum(corpus.values())
+            shares = {w: math.exp(-c) for w, c in cost.items()}
+            cost = {w: -math.log(0.5 * shares.get(w, 0.0) + 0.5 * corpus.get(w, 0) / all_) for w in shares.keys() | corpus.keys()}
         nb, ng = sum(bad.values()) + smoothing * len(words), sum(good.values()) + smoothing * len(words)
         odds = {w: math.log((bad[w] + smoothing) / nb) - math.log((good[w] + smoothing) / ng) for w in words}
         return cls(cost, math.log(total + len(words)), odds, math.log(prior / (1 - prior)))
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.cost), default=1)
+
     def segment(self, name: str) -> list[str]:
         """The likeliest split of a name. A stretch of unknown letters costs by its length, whatever its cuts.
 
@@ -75,7 +88,7 @@ class UrlModel:
         """
         if name in self.cost:
             return [name]
-        longest = max(map(len, self.cost), default=1)
+        longest = self.longest
         best: list[tuple[float, int]] = [(0.0, 0)]
         for i in range(1, len(name) + 1):
             found = (best[i - 1][0] + self.unknown, i - 1)
@@ -102,8 +115,34 @@ class UrlModel:
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
 
-def default_model() -> UrlModel:
-    return UrlModel.fit(*([x.split() for x in re.split(r"[|\n]", text)] for text in (UNWANTED, USUAL)))
+def labelled_names() -> tuple[list[list[str]], list[list[str]]]:
+    """The words of unwanted and of usual names."""
+    unwanted, usual = ([x.split() for x in re.split(r"[|\n]", text)] for text in (UNWANTED, USUAL))
+    return unwanted, usual
+
+
+def default_model(corpus: dict[str, int] | None = None) -> UrlModel:
+    return UrlModel.fit(*labelled_names(), corpus=corpus)
+
+
+def unigrams(docs: DataFrame, *, text_col: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> dict[str, int]:
+    """How often each word of all texts occurs, for the most frequent of those with ``min_count``: ``max_words`` or fewer.
+
+    Words are runs of letters in lower case. Frequencies are taken in eighths of a doubling, from the highest down, while all
+    words of a step fit. Counts are reduced before their shuffle; a row a step, and then the model's words, reach the driver.
+    Null and empty texts have no words.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col(f"`{text_col}`").cast("string")), r"[^\p{L}]+")).alias("word"))
+    counted = words.where(F.char_length("word").between(*LETTERS)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    told = materialize(counted.select("word", "n", step), "unigrams")
+    room, least = max_words, 1 << 30
+    for r in sorted(told.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return {r["word"]: r["n"] for r in told.where(F.col("step") >= least).collect()}
 
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, model: UrlModel | None = None) -> DataFrame:

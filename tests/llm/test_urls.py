@@ -71,3 +71,49 @@ def test_last_label_counts_unless_a_country(spark):
     rows = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
     assert [rows[k].verdict for k in range(1, 6)] == ["block"] * 3 + ["allow"] * 2
     assert "de" not in rows[3].words and rows[4].log_odds == rows[5].log_odds
+
+
+def test_words_of_a_corpus_keep_names_whole(spark):
+    docs = spark.createDataFrame([(1, "Sussex Sussex sussex, essex " * 5), (2, None), (3, ""), (4, "x y once")], "doc_id long, text string")
+    corpus = U.unigrams(docs)
+    assert corpus == {"sussex": 15, "essex": 5}
+    assert "sex" in U.default_model().segment("sussexnews")
+    model = U.default_model(corpus)
+    assert model.segment("sussexnews") == ["sussex", "news"] and model.segment("cheappills") == ["cheap", "pills"]
+    rng = random.Random(1)
+    known = sorted(w for w in model.cost if len(w) > 1)
+    for _ in range(20):
+        name = "".join(rng.choice(known)[: rng.randint(2, 6)] for _ in range(3))[:12]
+        cost = sum(model.cost[w] if len(w) > 1 and w in model.cost else model.unknown * len(w) for w in model.segment(name))
+        assert name in model.cost or abs(cost - best_split(model, name)) < 1e-9
+    assert U.unigrams(docs.limit(0)) == {} and U.unigrams(docs, max_words=1) == {"sussex": 15}
+
+
+def test_held_out_names():
+    """Each labelled name judged by a model that doesn't know it, its words run together."""
+    unwanted, usual = U.labelled_names()
+    caught = wrong = 0
+    for k, words in enumerate(unwanted):
+        model = U.UrlModel.fit(unwanted[:k] + unwanted[k + 1 :], usual)
+        caught += model.log_odds(model.segment("".join(words))) > 0
+    for k, words in enumerate(usual):
+        model = U.UrlModel.fit(unwanted, usual[:k] + usual[k + 1 :])
+        wrong += model.log_odds(model.segment("".join(words))) > 0
+    print(caught, len(unwanted), wrong, len(usual))
+    assert caught >= 0.6 * len(unwanted) and wrong <= 0.1 * len(usual)
+
+
+def test_parts_and_rules_of_all_pages_against_sql(spark):
+    import duckdb
+
+    where = "/root/testdata/sf0.01/pages.parquet"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in U.RULES)
+    sql = rf"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_replace(url, '^.*?://', '', 's') ELSE '' END AS rest FROM '{where}'),
+    h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    r AS (SELECT * FROM (VALUES {rules}) AS t(verdict, rhost, rpath)),
+    fit AS (SELECT page_id, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rpath) DESC) AS k
+      FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+    SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN (FROM fit WHERE k = 1) USING (page_id)"""
+    want = sorted(duckdb.sql(sql).fetchall())
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in U.filter_urls(spark.read.parquet(where)).collect())
+    assert got == want and sum(w[3] is not None for w in want) > 50
