@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _found(sequence: Column, motif: str, ignore_case: bool) -> tuple[Column, str]:
@@ -42,6 +48,39 @@ def site_windows(found: DataFrame, half_range: int) -> DataFrame:
     return numbered.groupBy("contig_id", "island").agg(F.min("s").cast("int").alias("start"), F.max("e").cast("int").alias("end")).drop("island")
 
 
+def windows_around_sites(contigs: DataFrame, motif: str, half_range: int, ignore_case: bool = False) -> DataFrame:
+    """``(contig_id, start, end)``: the windows of :func:`site_windows` around the sites of ``contigs`` (id, seq).
+
+    Sites are found and windows merged where a sequence is, so nothing is shuffled or sorted, and a chromosome's many
+    sites are a task's work that is in proportion to its length. Null sequences, and those without a site, have no window.
+    """
+    text, m = _found(F.col("seq"), motif, ignore_case)
+    rows = contigs.where("seq IS NOT NULL").select(F.col("id").alias("contig_id"), text.cast("string").alias("seq"))
+    schema = T.StructType([rows.schema["contig_id"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    pattern = re.compile(re.escape(m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows_: list[np.ndarray] = []
+            lows: list[np.ndarray] = []
+            highs: list[np.ndarray] = []
+            for k in range(batch.num_rows):
+                seq = batch.column(1)[k].as_py()
+                at = np.fromiter((x.start() for x in pattern.finditer(seq)), np.int64)
+                if not len(at):
+                    continue
+                low, high = np.maximum(at - half_range, 0), np.minimum(at + half_range, len(seq))
+                first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+                rows_.append(np.full(len(first), k))
+                lows.append(low[first])
+                highs.append(high[np.concatenate([first[1:] - 1, [len(at) - 1]])])
+            if rows_:
+                ids = batch.column(0).take(pa.array(np.concatenate(rows_)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(lows), pa.int32()), pa.array(np.concatenate(highs), pa.int32())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def contig_sites(contigs: DataFrame, motif: str, ignore_case: bool = False) -> DataFrame:
     """``(contig_id, n_sites)`` for each contig, those without a site too."""
     return contigs.select(F.col("id").alias("contig_id"), F.coalesce(site_count(F.col("seq"), motif, ignore_case), F.lit(0)).cast("bigint").alias("n_sites"))

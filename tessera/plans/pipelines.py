@@ -46,7 +46,7 @@ def draft(contigs: DataFrame, records: DataFrame, config: DraftConfig) -> Draft:
     """
     m = resolve_motif(config.enzyme)
     sites = motif.contig_sites(contigs, m, config.ignore_case)
-    windows = motif.site_windows(motif.sites(contigs, m, config.ignore_case), config.half_range)
+    windows = motif.windows_around_sites(contigs, m, config.half_range, config.ignore_case)
     invalid = motif.invalid_contigs(sites, config.least_sites)
     good = align.named_to_ids(align.quality_filter(records, config.mapq), contigs)
     good = align.positions_in_windows(align.without_contigs(good, invalid), windows)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.motifs import packed_key, unpacked_key
 from tessera.operators import align, contacts, motif, pairing, segments, split
 from tessera.operators import edges as E
 from tessera.operators import graph as G
 from tessera.operators.components import connected_components
 from tessera.operators.partition import partition
-from tessera.session import materialize, table
-from tessera.sources.text import allele_table
+from tessera.session import fresh_path, materialize, table, until_exit
+from tessera.sources import binary
+from tessera.sources.text import allele_table, read_fasta, read_lines, write_fasta, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,7 +119,7 @@ win AS (SELECT contig_id, min(s)::INT AS "start", max(e)::INT AS "end" FROM isla
 
 
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motif.site_windows(motif.sites(texts(spark, sf_dir), MOTIF), 20)
+    return motif.windows_around_sites(texts(spark, sf_dir), MOTIF, 20)
 
 
 @query("motif_windows", f'WITH {WINDOW_SQL} SELECT contig_id, "start", "end" FROM win')
@@ -423,3 +425,111 @@ def _(spark, sf_dir):
 @query("partition_groups")
 def _(spark, sf_dir):
     return partition(lengths(spark, sf_dir), materialize(edge_table(spark, sf_dir), "edges"), 3)
+
+
+# Lines of an order as alignment records: contigs are the return flags, by name, positions the parts less one, so that one of them is unplaced.
+RECORD_SQL = """record AS (SELECT a.l_returnflag AS ref_name, (a.l_partkey - 1)::INT AS pos, b.l_returnflag AS next_ref_name, (b.l_partkey - 1)::INT AS next_pos, a.l_quantity::INT AS mapq
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)"""
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ref_name, pos, next_ref_name, next_pos, mapq) for each two lines of an order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_returnflag", (F.col("l_partkey") - 1).cast("int").alias("p"), F.col("l_quantity").cast("int").alias("q"))
+    a, b = lines.alias("a"), lines.alias("b")
+    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.n") < F.col("b.n")))
+    return both.select(F.col("a.l_returnflag").alias("ref_name"), F.col("a.p").alias("pos"), F.col("b.l_returnflag").alias("next_ref_name"), F.col("b.p").alias("next_pos"), F.col("a.q").alias("mapq"))
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return flags as contigs (id, name): ids in the order of names."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_returnflag").alias("name")).agg(F.countDistinct("l_linestatus").alias("x")).select(F.ascii("name").alias("id"), "name")
+
+
+@query(
+    "same_contig_records",
+    f"WITH {RECORD_SQL} SELECT ascii(ref_name) AS contig_id, pos, next_pos, mapq FROM record WHERE mapq >= 10 AND pos <> -1 AND next_pos <> -1 AND ref_name = next_ref_name",
+)
+def _(spark, sf_dir):
+    named = align.assert_unique_names(flags(spark, sf_dir)).select(F.col("name").alias("ref_name"), F.col("id").alias("contig_id"))
+    return align.same_contig_filter(flagged(spark, sf_dir), 10).join(named, "ref_name").select("contig_id", "pos", "next_pos", "mapq")
+
+
+# Suppliers by names that several share and some of which nobody has; those of few lines are invalid.
+@query(
+    "named_records",
+    f"""WITH {PAIR_SQL}, named AS (SELECT 'c' || (ref_id % 70) AS ref_name, pos, 'c' || (next_ref_id % 70) AS next_ref_name, next_pos, mapq FROM pair),
+known AS (SELECT 'c' || (s_suppkey % 70) AS name, min(s_suppkey)::INT AS id FROM supplier WHERE s_suppkey % 70 < 60 GROUP BY 1),
+invalid AS (SELECT l_suppkey::INT AS contig_id FROM lineitem GROUP BY 1 HAVING count(*) < 600)
+SELECT a.id AS ref_id, pos, b.id AS next_ref_id, next_pos, mapq FROM named JOIN known a ON a.name = ref_name JOIN known b ON b.name = next_ref_name
+WHERE a.id NOT IN (FROM invalid) AND b.id NOT IN (FROM invalid)""",
+)
+def _(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("c"), F.col(c) % 70)
+    records = pairs(spark, sf_dir).select(name("ref_id").alias("ref_name"), "pos", name("next_ref_id").alias("next_ref_name"), "next_pos", "mapq")
+    contigs = table(spark, sf_dir, "supplier").where("s_suppkey % 70 < 60").select(F.col("s_suppkey").cast("int").alias("id"), name("s_suppkey").alias("name"))
+    invalid = motif.invalid_contigs(supplier_sites(spark, sf_dir), 600)
+    return align.without_contigs(align.named_to_ids(records, contigs), invalid).select("ref_id", "pos", "next_ref_id", "next_pos", "mapq")
+
+
+@query("packed_keys", f"WITH {PAIR_SQL} SELECT key, (key >> 32)::INT AS a, (key & 4294967295)::BIGINT::INT AS b, count(*) AS n FROM (SELECT (ref_id::BIGINT << 32) | next_ref_id::BIGINT AS key FROM pair) GROUP BY key")
+def _(spark, sf_dir):
+    keyed = pairs(spark, sf_dir).groupBy(packed_key(F.col("ref_id"), F.col("next_ref_id")).alias("key")).agg(F.count("*").alias("n"))
+    a, b = unpacked_key(F.col("key"))
+    return keyed.select("key", a.alias("a"), b.alias("b"), "n")
+
+
+# What follows writes a table in one of the file formats and reads it back.
+
+
+def written(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    path = fresh_path(spark, name)
+    write(path)
+    return until_exit(spark, path)
+
+
+@query("flat_edges", f'WITH {EDGE_SQL} SELECT "start", "end", weight FROM edge')
+def _(spark, sf_dir):
+    return binary.read_edges(spark, written(spark, "edges", lambda path: binary.write_edges(edge_table(spark, sf_dir), path)))
+
+
+@query("flat_pairs", f"WITH {PAIR_SQL} SELECT ref_id, pos, next_ref_id, next_pos FROM pair WHERE ref_id <> next_ref_id")
+def _(spark, sf_dir):
+    return binary.read_pairs(spark, written(spark, "pairs", lambda path: binary.write_pairs(E.inter_contig(pairs(spark, sf_dir)), path)))
+
+
+@query("flat_invalid", "SELECT l_suppkey::INT AS contig_id FROM lineitem GROUP BY 1 HAVING count(*) < 600")
+def _(spark, sf_dir):
+    return binary.read_invalid(spark, written(spark, "invalid", lambda path: binary.write_invalid(motif.invalid_contigs(supplier_sites(spark, sf_dir), 600), path)))
+
+
+@query("flat_contigs", "SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS id, s_name AS name, (length(s_name) + s_nationkey)::INT AS length FROM supplier")
+def _(spark, sf_dir):
+    contigs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.char_length("s_name") + F.col("s_nationkey")).alias("length"))
+    return binary.read_contigs(spark, written(spark, "contigs", lambda path: binary.write_contigs(contigs, path)))
+
+
+@query(
+    "bam_records",
+    f"WITH {RECORD_SQL} SELECT ref_name, CASE WHEN pos >= 0 THEN pos END AS pos, next_ref_name, CASE WHEN next_pos >= 0 THEN next_pos END AS next_pos, mapq::SMALLINT AS mapq FROM record",
+)
+def _(spark, sf_dir):
+    contigs = [(r["name"], 1 << 20) for r in flags(spark, sf_dir).orderBy("id").collect()]  # three flags
+    paths: list[str] = []
+    written(spark, "bam", lambda path: paths.extend(binary.write_bam(flagged(spark, sf_dir), contigs, path)))
+    return binary.read_mapping(spark, paths).select("ref_name", "pos", "next_ref_name", "next_pos", "mapq")
+
+
+@query(
+    "fasta_round_trip",
+    "SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS id, p_name || ' ' || p_brand AS name, repeat(p_type, 3) AS seq, 3 * length(p_type)::INT AS length FROM part",
+)
+def _(spark, sf_dir):
+    pieces = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("ord"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.repeat("p_type", F.lit(3)).alias("seq"))
+    return read_fasta(spark, written(spark, "fasta", lambda path: write_fasta(pieces, path)))
+
+
+@query("lines_round_trip", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id, c_name || chr(9) || c_mktsegment AS value FROM customer")
+def _(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").orderBy("c_custkey").select(F.concat("c_name", F.lit("\t"), "c_mktsegment", F.lit(" \t ")).alias("value"))
+    return read_lines(spark, written(spark, "lines", lambda path: write_lines(lines, path)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 READ = 4 << 20
 BAM_SCHEMA = "file string, rec_no bigint, ref_name string, pos int, next_ref_name string, next_pos int, mapq smallint"
 _EDGE = np.dtype([("start", "<i4"), ("end", "<i4"), ("weight", "<f8")])
+_INVALID = np.dtype([("contig_id", "<i4")])
 _PAIR = np.dtype([("ref_id", "<i4"), ("pos", "<i4"), ("next_ref_id", "<i4"), ("next_pos", "<i4")])
 
 
@@ -124,7 +128,7 @@ class BamSource(DataSource):
 def read_mapping(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Alignment records of files, by their suffix (.bam)."""
     for p in paths:
-        if not p.endswith(".bam"):
+        if not p.endswith(".bam") and not os.path.basename(p).startswith("part-"):
             raise ValueError(f"no reader for {p!r}")
     spark.dataSource.register(BamSource)
     return spark.read.format("bam").option("paths", ",".join(paths)).load()
@@ -161,7 +165,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_invalid(spark: SparkSession, path: str) -> DataFrame:
     """``(contig_id)``."""
-    return _records(spark, path, np.dtype([("contig_id", "<i4")]), 8)
+    return _records(spark, path, _INVALID, 8)
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -182,31 +186,109 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(path,)], "path string").mapInArrow(run, "id int, name string, length int")
 
 
-def _written(df: DataFrame, path: str, encode, counted: bool) -> None:
-    """One file, streamed through the driver partition by partition, as these formats have no parts."""
+def _parts(df: DataFrame, folder: str, encode: Callable[[pa.RecordBatch], bytes], head: bytes = b"") -> list[tuple[str, int]]:
+    """(path, records) of the part files, in order, that the tasks of ``df`` wrote, each beginning with ``head``.
+
+    Each try of a task writes a file of its own name, and only those of tasks that ended well are named.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_path(folder)
+        store.create_dir(root, recursive=True)
+        task = TaskContext.get()
+        name, n = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}", 0
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(head)
+            for batch in batches:
+                out.write(encode(batch))
+                n += batch.num_rows
+        yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "n": n}])
+
+    rows = df.mapInArrow(run, "path string, n bigint").collect()  # a row a task
+    return sorted((r.path, r.n) for r in rows)
+
+
+def _written(df: DataFrame, path: str, encode: Callable[[pa.RecordBatch], bytes], counted: bool) -> None:
+    """One file, as these formats have no parts: tasks encode part files beside it, whose bytes are then put together."""
     store, at = open_path(path)
-    with store.open_output_stream(at) as out:
+    folder = f"{path}.{uuid.uuid4().hex}"
+    parts = _parts(df, folder, encode)
+    with store.open_output_stream(at, compression=None) as out:
         if counted:
-            out.write(struct.pack("<q", df.count()))
-        for row in df.toLocalIterator():
-            out.write(encode(row))
+            out.write(struct.pack("<q", sum(n for _, n in parts)))
+        for part, _ in parts:
+            with open_path(part)[0].open_input_stream(open_path(part)[1], compression=None) as held:
+                while data := held.read(READ):
+                    out.write(data)
+    store.delete_dir(open_path(folder)[1])
+
+
+def _fixed(kind: np.dtype) -> Callable[[pa.RecordBatch], bytes]:
+    """Batches as records of a fixed size; a null id or position is -1."""
+
+    def encode(batch: pa.RecordBatch) -> bytes:
+        rows = np.empty(batch.num_rows, kind)
+        for name in kind.names:
+            rows[name] = batch.column(name).fill_null(-1).to_numpy(zero_copy_only=False)
+        return rows.tobytes()
+
+    return encode
+
+
+def _typed(df: DataFrame, kind: np.dtype) -> DataFrame:
+    return df.select(*(F.col(n).cast("double" if kind[n].kind == "f" else "int").alias(n) for n in kind.names))
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    _written(edges.select("start", "end", "weight").orderBy("start", "end"), path, lambda r: struct.pack("<iid", *r), True)
+    _written(_typed(edges, _EDGE).orderBy("start", "end"), path, _fixed(_EDGE), True)
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    _written(pairs.select(*_PAIR.names), path, lambda r: struct.pack("<iiii", *r), False)
+    _written(_typed(pairs, _PAIR), path, _fixed(_PAIR), False)
 
 
 def write_invalid(ids: DataFrame, path: str) -> None:
-    _written(ids.select(F.col("contig_id").cast("int")).orderBy("contig_id"), path, lambda r: struct.pack("<i", *r), True)
+    _written(_typed(ids, _INVALID).orderBy("contig_id"), path, _fixed(_INVALID), True)
 
 
 def write_contigs(contigs: DataFrame, path: str) -> None:
-    def encode(r) -> bytes:
-        name = r.name.encode()
-        return struct.pack("<i", len(name)) + name + struct.pack("<i", r.length)
+    def encode(batch: pa.RecordBatch) -> bytes:
+        names = [n.encode() for n in batch.column("name").to_pylist()]
+        return b"".join(struct.pack("<i", len(n)) + n + struct.pack("<i", size) for n, size in zip(names, batch.column("length").to_pylist(), strict=True))
+
+    _written(contigs.select("id", "name", F.col("length").cast("int").alias("length")).orderBy("id"), path, encode, True)
+
+
+def _block(data: bytes) -> bytes:
+    """A BGZF block of at most 64 KiB of data."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    head = struct.pack("<4BI2BHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _blocks(data: bytes, size: int = 0xFF00) -> bytes:
+    return b"".join(_block(data[i : i + size]) for i in range(0, len(data), size))
+
+
+def write_bam(records: DataFrame, contigs: list[tuple[str, int]], folder: str) -> list[str]:
+    """The paths of BAM files, one a task, of records (ref_name, pos, next_ref_name, next_pos, mapq) without sequences.
+
+    ``contigs`` are the (name, length) of the header. An unknown or missing name or position is -1, a missing quality 255.
+    """
+    number = {name: k for k, (name, _) in enumerate(contigs)}
+    head = b"BAM\1" + struct.pack("<ii", 0, len(contigs))
+    for name, length in contigs:
+        head += struct.pack("<i", len(name.encode()) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+
+    def encode(batch: pa.RecordBatch) -> bytes:
+        made = []
+        for ref, pos, next_ref, next_pos, mapq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            place = (number.get(ref, -1), -1 if pos is None else pos)
+            mate = (number.get(next_ref, -1), -1 if next_pos is None else next_pos)
+            body = struct.pack("<iiBBHHHIiii", *place, 2, 255 if mapq is None else mapq, 0, 0, 0, 0, *mate, 0) + b"*\0"
+            made.append(struct.pack("<i", len(body)) + body)
+        return _blocks(b"".join(made))
 
-    _written(contigs.select("id", "name", "length").orderBy("id"), path, encode, True)
+    rows = records.select("ref_name", F.col("pos").cast("int"), "next_ref_name", F.col("next_pos").cast("int"), F.col("mapq").cast("int"))
+    return [path for path, _ in _parts(rows, folder, encode, _blocks(head))]

@@ -53,3 +53,12 @@ def test_filters(spark, rows):
     counts = spark.createDataFrame([(0, 3), (1, 0)], "contig_id int, n_sites long")
     assert rows(motif.invalid_contigs(counts, 1)) == [(1,)]
     assert rows(motif.invalid_contigs(counts, -5)) == []
+
+
+def test_windows_where_a_sequence_is(spark, rows):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACGTacgt", k=rng.randint(0, 400))) for _ in range(60)] + ["", None, "ACAC", "éACéACAC" * 30, "AC" * 20_000]
+    contigs = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string")
+    for m, reach, any_case in (("AC", 5, False), ("ac", 0, True), ("GT", 40, True), ("TTT", 3, False)):
+        want = rows(motif.site_windows(motif.sites(contigs, m, any_case), reach))
+        assert rows(motif.windows_around_sites(contigs, m, reach, any_case)) == want
