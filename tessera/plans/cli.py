@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,18 @@ from tessera.sources import binary, text
 log = logging.getLogger("tessera")
 
 
+def leading_int(text: str) -> int:
+    """The whole number that a text begins with, 0 without one, as the programs read their options."""
+    found = re.match(r"\s*[+-]?\d+", text, re.ASCII)
+    return int(found[0]) if found else 0
+
+
+def leading_float(text: str) -> float:
+    """The number that a text begins with, 0 without one."""
+    found = re.match(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", text, re.ASCII)
+    return float(found[0]) if found else 0.0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tessera")
     sub = top.add_subparsers(dest="program", required=True)
@@ -25,24 +38,24 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--output", required=True)
         p.add_argument("--name-mode", choices=("line", "first_token"), default="line")
     d.add_argument("-e", "--enzyme", required=True)
-    d.add_argument("-q", "--mapq", type=int, default=40)
-    d.add_argument("-r", "--enzyme-range", type=int, default=1000, help="whole width of a site's window")
-    d.add_argument("-c", "--min-sites", type=int, default=0)
-    c.add_argument("-p", "--percent", type=float, default=0.95)
-    c.add_argument("-s", "--sensitivity", type=float, default=0.5)
-    c.add_argument("-q", "--mapq", type=int, default=1)
-    c.add_argument("-w", "--wide", type=int, default=25_000)
-    c.add_argument("-n", "--narrow", type=int, default=1_000)
-    c.add_argument("-d", "--depletion", type=int, default=100_000)
+    d.add_argument("-q", "--mapq", type=leading_int, default=40)
+    d.add_argument("-r", "--enzyme-range", type=leading_int, default=1000, help="whole width of a site's window")
+    d.add_argument("-c", "--min-sites", type=leading_int, default=0)
+    c.add_argument("-p", "--percent", type=leading_float, default=0.95)
+    c.add_argument("-s", "--sensitivity", type=leading_float, default=0.5)
+    c.add_argument("-q", "--mapq", type=leading_int, default=1)
+    c.add_argument("-w", "--wide", type=leading_int, default=25_000)
+    c.add_argument("-n", "--narrow", type=leading_int, default=1_000)
+    c.add_argument("-d", "--depletion", type=leading_int, default=100_000)
     g = sub.add_parser("partition", help="contigs in groups by their edges")
     g.add_argument("-n", "--nodes", required=True, help="contig table: Parquet, or .bin for the flat form")
     g.add_argument("-e", "--edges", required=True, help="edge table: Parquet, or .bin for the flat form")
-    g.add_argument("-g", "--groups", type=int, required=True)
-    g.add_argument("-a", "--allele-groups", type=int, default=-1)
+    g.add_argument("-g", "--groups", type=leading_int, required=True)
+    g.add_argument("-a", "--allele-groups", type=leading_int, default=-1)
     g.add_argument("-x", "--allele-table")
     g.add_argument("-o", "--output", required=True)
     for p in (d, c, g):
-        p.add_argument("-t", "--threads", type=int, default=1, help="taken for compatibility; Spark's session decides")
+        p.add_argument("-t", "--threads", type=leading_int, default=1, help="taken for compatibility; Spark's session decides")
     return top
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes read at a time.
-READ = 4 << 20
+#: Bytes read at a time, and of a BAM file for one task.
+READ, SPLIT = 4 << 20, 64 << 20
 BAM_SCHEMA = "file string, rec_no bigint, ref_name string, pos int, next_ref_name string, next_pos int, mapq smallint"
 _EDGE = np.dtype([("start", "<i4"), ("end", "<i4"), ("weight", "<f8")])
 _INVALID = np.dtype([("contig_id", "<i4")])
@@ -64,55 +64,207 @@ class _Bytes:
         return out
 
 
-def bam_records(stream) -> Iterator[tuple]:
-    """(ref_name, pos, next_ref_name, next_pos, mapq) of a BAM stream; an unknown reference or position is None."""
-    data = _Bytes(inflated(stream))
+def _block_size(data: bytes, at: int) -> int | None:
+    """The bytes of the BGZF block that starts at a place, None if there is no header of one."""
+    if data[at : at + 4] != b"\x1f\x8b\x08\x04" or len(data) < at + 18:
+        return None
+    end = at + 12 + struct.unpack_from("<H", data, at + 10)[0]
+    at += 12
+    while at + 4 <= min(end, len(data)):
+        kind, size = data[at : at + 2], struct.unpack_from("<H", data, at + 2)[0]
+        if kind == b"BC" and size == 2 and at + 6 <= len(data):
+            return struct.unpack_from("<H", data, at + 4)[0] + 1
+        at += 4 + size
+    return None
+
+
+def _inflated_blocks(file, at: int) -> Iterator[tuple[int, bytes]]:
+    """(place in the file, data) of the blocks from one on."""
+    held = b""
+    while True:
+        if len(held) < 1 << 16:
+            file.seek(at + len(held))
+            held += file.read(READ)
+        if not held:
+            return
+        size, done = _block_size(held, 0), 0
+        while size is not None and done + size <= len(held):
+            yield at + done, zlib.decompress(held[done : done + size], 31)
+            done += size
+            size = _block_size(held, done)
+        if not done:
+            raise ValueError(f"no whole block at {at}")
+        at, held = at + done, held[done:]
+
+
+def _first_block(file, size: int, at: int) -> int:
+    """Where the first block at or after a place starts; the file's size if none does."""
+    file.seek(at)
+    data = file.read(3 << 16)
+    k = data.find(b"\x1f\x8b\x08\x04")
+    while k >= 0:
+        n = _block_size(data, k)
+        if n is not None and (at + k + n == size or data[k + n : k + n + 4] == b"\x1f\x8b\x08\x04"):
+            return at + k
+        k = data.find(b"\x1f\x8b\x08\x04", k + 1)
+    return size
+
+
+def _plausible(data: bytes, at: int, n_refs: int) -> int | None:
+    """The end of a record that may start at a place, None if none can."""
+    size, ref, pos, name, _, _, cigar, _, seq, next_ref, next_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
+    least = 32 + name + 4 * cigar + (seq + 1) // 2 + seq
+    right = -1 <= ref < n_refs and -1 <= next_ref < n_refs and pos >= -1 and next_pos >= -1 and name >= 1 and seq >= 0 and least <= size < 1 << 28
+    if not right or (at + 36 + name <= len(data) and data[at + 35 + name] != 0):
+        return None
+    return at + 4 + size
+
+
+def _first_record(file, size: int, at: int, n_refs: int) -> int | None:
+    """The virtual place of the first record that starts in a block at or after a place in the file, None at the end.
+
+    A virtual place is that of a block, times 65,536, and the place in its data. A record is taken to start where one may, and
+    records follow without a gap for a megabyte or to the end. The reader of what lies before proves it: its last record must end there.
+    """
+    data, starts = b"", []
+    whole = True
+    for place, block in _inflated_blocks(file, _first_block(file, size, at)):
+        starts.append((len(data), place))
+        data += block
+        if len(data) >= 1 << 20:
+            whole = False
+            break
+    for k in range(len(data) - 35):
+        end = k
+        while end is not None and end + 36 <= len(data):
+            end = _plausible(data, end, n_refs)
+        if end is not None and end > k and (not whole or end == len(data)):
+            at_, place = max(x for x in starts if x[0] <= k)
+            return place << 16 | (k - at_)
+    return None
+
+
+def _bam_header(stream) -> tuple[list[str], int]:
+    """The names of the references, and the bytes of the header."""
+    data, size = _Bytes(inflated(stream)), 12
     if data.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
 
     def number() -> int:
         return struct.unpack("<i", data.take(4))[0]
 
-    data.take(number())
+    text = number()
+    data.take(text)
     names = []
     for _ in range(number()):
-        names.append(data.take(number())[:-1].decode())
+        n = number()
+        names.append(data.take(n)[:-1].decode())
         number()
-    while (size := data.take(4)) is not None:
-        block = data.take(struct.unpack("<i", size)[0])
-        ref, pos, _, mapq = struct.unpack_from("<iiBB", block)
-        next_ref, next_pos = struct.unpack_from("<ii", block, 20)
-        yield (names[ref] if ref >= 0 else None, pos if pos >= 0 else None, names[next_ref] if next_ref >= 0 else None, next_pos if next_pos >= 0 else None, mapq)
+        size += 8 + n
+    return names, size + text
+
+
+def _fields(data: bytes, at: list[int], names: pa.Array) -> list[pa.Array]:
+    """ref_name, pos, next_ref_name, next_pos and mapq of the records that start at places of ``data``; an unknown one is null."""
+    raw, start = np.frombuffer(data, np.uint8), np.asarray(at, np.int64)
+
+    def number(offset: int) -> np.ndarray:
+        return np.ascontiguousarray(raw[start[:, None] + np.arange(offset, offset + 4)]).view("<i4").ravel()
+
+    def known(values: np.ndarray) -> pa.Array:
+        return pa.array(values, pa.int32(), mask=values < 0)
+
+    return [names.take(known(number(4))), known(number(8)), names.take(known(number(24))), known(number(28)), pa.array(raw[start + 13].astype(np.int16))]
+
+
+def bam_range(file, size: int, low: int, high: int, names: list[str], header: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """(virtual places, fields) of the records that start in a block of [low, high); ``header`` bytes of data precede the first one.
+
+    Fails where the last record doesn't end at the place at which the next range takes its first one to start.
+    """
+    if low:
+        first = _first_record(file, size, low, len(names))
+        if first is None:
+            return
+        begin, skip = first >> 16, first & 0xFFFF
+    else:
+        begin, skip = 0, header
+    values = pa.array(names, pa.string())
+    data, starts = b"", []  # starts: (place in data, place in the file) of blocks
+    at = skip
+    last: int | None = None
+
+    def virtual(k: np.ndarray) -> np.ndarray:
+        inner, outer = (np.array(x, np.int64) for x in zip(*starts, strict=True))
+        of = np.searchsorted(inner, k, side="right") - 1
+        return outer[of] << 16 | (k - inner[of])
+
+    def taken() -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        nonlocal data, starts, at, last
+        found: list[int] = []
+        limit = next((k for k, place in starts if place >= high), None)
+        while at + 4 <= len(data) and (limit is None or at < limit):
+            end = at + 4 + struct.unpack_from("<i", data, at)[0]
+            if end > len(data):
+                break
+            found.append(at)
+            at = end
+        if limit is not None and limit <= at < len(data):
+            last = int(virtual(np.array([at]))[0])
+        if found:
+            yield virtual(np.array(found)), _fields(data, found, values)
+        # What is left of the data begins with the block in which the next record starts, if that is there.
+        keep = max((i for i, (k, _) in enumerate(starts) if k <= at), default=0)
+        cut = starts[keep][0] if starts else 0
+        data, starts, at = data[cut:], [(k - cut, place) for k, place in starts[keep:]], at - cut
+
+    for place, block in _inflated_blocks(file, begin):
+        if block:
+            starts.append((len(data), place))
+            data += block
+        if len(data) >= READ or place >= high:
+            yield from taken()
+            if last is not None:
+                break
+    if last is None:
+        yield from taken()
+        if last is None and at < len(data):
+            raise ValueError("the file ends within a record")
+    if high < size and last != _first_record(file, size, high, len(names)):
+        raise ValueError(f"records around {high} can't be told apart: read the file whole (option split=0)")
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, paths: list[str], split: int) -> None:
+        self.paths, self.split = paths, split
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        """(path, low, high) of each range of each file; a file that isn't in BGZF blocks is one."""
+        made = []
+        for path in self.paths:
+            store, at = open_path(path)
+            size = store.get_file_info(at).size
+            step = self.split or max(1, size)
+            made += [InputPartition((path, low, min(size, low + step))) for low in range(0, max(1, size), step)]
+        return made
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        store, at = open_path(partition.value)
+        path, low, high = partition.value
+        store, at = open_path(path)
         schema = pa.schema([("file", pa.string()), ("rec_no", pa.int64()), ("ref_name", pa.string()), ("pos", pa.int32()), ("next_ref_name", pa.string()), ("next_pos", pa.int32()), ("mapq", pa.int16())])
-        rows: list[tuple] = []
-
-        def given() -> pa.RecordBatch:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-        with store.open_input_stream(at) as stream:
-            for n, record in enumerate(bam_records(stream)):
-                rows.append((partition.value, n, *record))
-                if len(rows) == 20_000:
-                    yield given()
-        if rows:
-            yield given()
+        with store.open_input_stream(at, compression=None) as stream:
+            names, header = _bam_header(stream)
+        with store.open_input_file(at) as file:
+            for places, fields in bam_range(file, file.size(), low, high, names, header):
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(places), pa.string()), pa.array(places), *fields], schema=schema)
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam")`` with the option ``paths``, separated by commas; a task streams a file."""
+    """``spark.read.format("bam")`` with the option ``paths``, separated by commas.
+
+    A task reads a range of ``split`` bytes of a file (0: a whole file), which begins and ends where records do. ``rec_no`` is a
+    record's virtual place: it grows along the file, but isn't dense.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -122,7 +274,7 @@ class BamSource(DataSource):
         return BAM_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return BamReader([p for p in (self.options.get("paths") or self.options["path"]).split(",") if p])
+        return BamReader([p for p in (self.options.get("paths") or self.options["path"]).split(",") if p], int(self.options.get("split") or SPLIT))
 
 
 def read_mapping(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import motifs as M
+from tessera.plans import cli
 
 
 def test_names_and_motifs():
@@ -19,3 +20,10 @@ def test_scalars(spark):
     a, b = M.unpacked_key(key)
     got = df.select(M.trimmed_right(F.col("t")), M.truncated5(F.col("x")), a, b, M.floor_bin(F.col("b"), 5), M.squared(F.col("b")), M.first_position("b", F.col("t")), M.first_position("z", F.col("t"))).first()
     assert tuple(got) == ("ab", 1.23456, -3, 7, 5, 49, 1, -1)
+
+
+def test_numbers_of_options():
+    for text, whole, number in (("12", 12, 12.0), (" -3x", -3, -3.0), ("1e3", 1, 1000.0), ("0.5.6", 0, 0.5), (".25", 0, 0.25), ("x9", 0, 0.0), ("", 0, 0.0), ("5.", 5, 5.0), ("1e", 1, 1.0)):
+        assert (cli.leading_int(text), cli.leading_float(text)) == (whole, number)
+    args = cli.parser().parse_args("draft -f a -m b -o c -e MboI -q 10abc -r none".split())
+    assert (args.mapq, args.enzyme_range) == (10, 0)
