@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import queries
@@ -71,3 +72,56 @@ def test_packing_holds_every_id(stages):
 def test_every_operator_has_a_query():
     assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """A folder of tables with nulls, empty and very long texts, repeated rows and ids, and columns that operators name themselves."""
+    rng = random.Random(20)
+    vocabulary = [f"word{i}" for i in range(900)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    item, passage = prose(30), prose(70)
+    docs = [(i, prose(rng.randint(20, 120)), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(60)]
+    docs += [(100, docs[3][1], "en", "a"), (100, docs[3][1], "en", "a"), (7, prose(80), "en", "a"), (7, docs[9][1], None, None), (None, docs[4][1], "en", "b")]
+    docs += [(101, None, "en", "a"), (102, "", None, None), (103, " \n ", "en", "a"), (None, None, None, None), (104, prose(30_000), "en", "a"), (104, None, "en", "a")]
+    docs += [(200 + i, f"{prose(40)} {passage} {prose(40)}", "en", "b") for i in range(3)] + [(210, f"{prose(40)}. {item}! {prose(40)}", "en", "a"), (211, item, "en", "a")]
+
+    def of(rows, name):
+        folder = str(tmp_path / name)
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as bigint) AS n_chars", "1 AS key", "'r' AS row_", "2 AS id_", "array(3) AS spans_", "'k' AS key_", "0 AS doc_", "'x' AS kept", "'m' AS mark_")
+        df.write.parquet(f"{folder}/documents.parquet")
+        labels = [(i, 1, 0) for i in range(40)] + [(None, 1, 0), (3, None, None), (3, 1, 0)]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, item), (2, None), (None, ""), (3, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        return folder
+
+    return of, docs, item, passage
+
+
+def test_stages_with_awkward_rows(spark, small):
+    of, docs, item, passage = small
+    folder = of(docs, "awkward")
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    left, seen = given, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{folder}/{name}"
+        stage(spark, left, folder).write.parquet(path)
+        left = spark.read.parquet(path)
+        assert left.columns == given.columns
+        seen[name] = left.select("doc_id", "text").collect()
+    count = lambda name, key: sum(r.doc_id == key for r in seen[name])
+    assert all(count("quality", k) == 0 for k in (101, 102, 103)) and count("quality", 100) == 2 and count("quality", None) == 1
+    # 100 is a copy of 3 and one row of 7 of 9; texts of no id stay.
+    assert count("near_duplicates", 100) == 0 and count("near_duplicates", 3) == 1
+    assert sorted(r.text for r in seen["near_duplicates"] if r.doc_id == 7) == sorted(t for k, t, _, _ in docs if k == 7)
+    assert count("near_duplicates", 9) == 0 and count("near_duplicates", None) == 1
+    assert sum(passage in r.text for r in seen["near_duplicates"]) == 3 and sum(passage in r.text for r in seen["substrings"]) == 1
+    assert not any(item in r.text for r in seen["benchmarks"]) and count("benchmarks", 211) == 0 and count("benchmarks", 210) == 1
+    packed = corpus_pipeline.run(spark, folder).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n // r.doc_tokens for r in packed) == len(seen["benchmarks"])
+
+
+def test_stages_without_rows(spark, small):
+    of, docs, *_ = small
+    folder = of([], "empty")
+    assert corpus_pipeline.run(spark, folder).count() == 0
