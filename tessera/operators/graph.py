@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import in_order, materialize
 
 
 def adjacency_rank(directed: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def trust_positions(ranked: DataFrame, contigs: DataFrame | None = None, steepes
 
 def top_trust_edges(directed: DataFrame, n_contigs: int) -> DataFrame:
     """The heaviest directed edges, a quarter of ``n_contigs`` squared."""
-    return directed.orderBy(F.desc("weight"), "src", "dst").limit(n_contigs * n_contigs // 4).select("src", "dst", "weight")
+    ordered = in_order(directed.select("src", "dst", "weight"), F.desc("weight"), F.col("src"), F.col("dst"))
+    return ordered.where(F.col("place") < n_contigs * n_contigs // 4).select("src", "dst", "weight")
 
 
 def seed_contigs(trusted: DataFrame, n_contigs: int, heaviest_first: bool = False) -> DataFrame:
@@ -80,8 +81,8 @@ def kernel_candidates(votes: DataFrame) -> DataFrame:
 
 
 def numbered_candidates(candidates: DataFrame) -> DataFrame:
-    """``(set_id, ids)``: candidates from 0, most subsets first. Kernels are few; they are put in order in one task."""
-    return candidates.select((F.row_number().over(Window.orderBy(F.desc("subsets"), "ids")) - 1).alias("set_id"), "ids")
+    """``(set_id, ids)``: candidates from 0, most subsets first."""
+    return in_order(candidates, F.desc("subsets"), F.col("ids")).select(F.col("place").cast("int").alias("set_id"), "ids")
 
 
 def kernel_intersections(numbered: DataFrame) -> DataFrame:

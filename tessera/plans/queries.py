@@ -15,7 +15,7 @@ from tessera.operators.components import connected_components
 from tessera.operators.partition import partition
 from tessera.session import fresh_path, materialize, table, until_exit
 from tessera.sources import binary
-from tessera.sources.text import allele_table, read_fasta, read_lines, write_fasta, write_lines
+from tessera.sources.text import allele_table, read_fasta, read_fastq_pairs, read_lines, write_fasta, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,3 +533,18 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     lines = table(spark, sf_dir, "customer").orderBy("c_custkey").select(F.concat("c_name", F.lit("\t"), "c_mktsegment", F.lit(" \t ")).alias("value"))
     return read_lines(spark, written(spark, "lines", lambda path: write_lines(lines, path)))
+
+
+@query(
+    "fastq_round_trip",
+    "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS block, c_name AS left_name, c_mktsegment AS left_seq, c_name || '/2' AS right_name, reverse(c_mktsegment) AS right_seq, repeat('I', length(c_mktsegment)) AS quality FROM customer",
+)
+def _(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").orderBy("c_custkey")
+    seq, quality = F.col("c_mktsegment"), F.repeat(F.lit("I"), F.char_length("c_mktsegment"))
+    files = [
+        written(spark, "fastq", lambda path, name=name, seq=seq: write_lines(customers.select(F.concat_ws("\n", F.concat(F.lit("@"), name), seq, F.lit("+"), quality).alias("value")), path))
+        for name, seq in ((F.col("c_name"), seq), (F.concat("c_name", F.lit("/2")), F.reverse(seq)))
+    ]
+    found = read_fastq_pairs(spark, *files)
+    return found.select("block", F.col("left.name").alias("left_name"), F.col("left.seq").alias("left_seq"), F.col("right.name").alias("right_name"), F.col("right.seq").alias("right_seq"), F.col("right.quality").alias("quality"))

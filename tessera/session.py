@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +81,25 @@ class Scratch:
         self.paths.clear()
 
 
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with ``place``, from 0, in an order over all its rows that no task holds: ranges are sorted apart and then counted.
+
+    What precedes a range comes from a row a task.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(dealt.withColumns({"mid_": F.monotonically_increasing_id(), "part_": F.spark_partition_id()}), "ordered")
+    sizes = placed.groupBy("part_").agg(F.min("mid_").alias("first_"), F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("part_", (F.coalesce(before, F.lit(0)) - F.col("first_")).alias("offset_"))
+    return placed.join(F.broadcast(offsets), "part_").withColumn("place", F.col("mid_") + F.col("offset_")).drop("part_", "mid_", "offset_")
+
+
+def broadcast_if_few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, written, and broadcast in a join while it has so many rows at most."""
+    held = materialize(df, "few")
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

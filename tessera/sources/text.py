@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.motifs import trimmed_right
 from tessera.operators.align import contig_ids
+from tessera.session import broadcast_if_few
 
 
 def path_suffix(path: str) -> str:
@@ -28,14 +29,14 @@ def numbered(rows: DataFrame, where: Column | None = None) -> DataFrame:
     """
     placed = rows.withColumn("mid", F.monotonically_increasing_id())
     firsts = placed.groupBy("file", "block").agg(F.min("mid").alias("first"))
-    marked = placed.join(F.broadcast(firsts), ["file", "block"])  # a row per split of the scan
+    marked = placed.join(broadcast_if_few(firsts), ["file", "block"])  # a row per split of the scan
     marked = marked.withColumn("head", (F.col("block") == 0) & (F.col("mid") == F.col("first")))
     kept = marked if where is None else marked.where(where)
     within = kept.withColumn("mid", F.monotonically_increasing_id())
     blocks = within.groupBy("file", "block").agg(F.min("mid").alias("first_kept"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("file", "block", "first_kept", F.coalesce(before, F.lit(0)).alias("offset"))
-    return within.join(F.broadcast(offsets), ["file", "block"]).withColumn("id", F.col("mid") - F.col("first_kept") + F.col("offset")).drop("mid", "first", "first_kept", "offset")
+    return within.join(broadcast_if_few(offsets), ["file", "block"]).withColumn("id", F.col("mid") - F.col("first_kept") + F.col("offset")).drop("mid", "first", "first_kept", "offset")
 
 
 def _scan(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
