@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import fresh_path, materialize
+from tessera.session import fresh_path, materialize, until_exit
 
 #: Magic of the skippable frame that holds a dictionary, as the format for .warc.zst has it (fixed value).
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -174,6 +174,8 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 def write_archives(pages: DataFrame, folder: str | None = None, *, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
     """Write ``pages`` as archives below ``folder`` (a URI that all executors share); gives their manifest.
 
+    Without a folder they go to the shared one and are deleted when the driver's JVM ends.
+
     The manifest, ``(path, n_records, n_bytes)``, is written as Parquet and names the archives of tasks that
     ended well; each try of a task writes files of its own name, so a lost executor leaves at most a file that
     the manifest lacks. A record whose payload equals that of a smaller id is a revisit, one of a null id too; rows that repeat both
@@ -182,7 +184,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, archive_bytes
     A task holds one archive's records.
     """
     spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
+    given, folder = folder, folder or fresh_path(spark, "warc")
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("n_records", T.LongType()), T.StructField("n_bytes", T.LongType())])
 
@@ -219,7 +221,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, archive_bytes
         if held:
             yield close()
 
-    return materialize(with_revisits(pages, **columns).mapInArrow(run, schema), "warc-manifest")
+    manifest = materialize(with_revisits(pages, **columns).mapInArrow(run, schema), "warc-manifest")
+    if given is None:
+        until_exit(spark, folder)
+    return manifest
 
 
 def read_archives(manifest: DataFrame, id_type: T.DataType | None = None, payloads: bool = False) -> DataFrame:
