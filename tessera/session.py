@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; without it this fails there. On a
+    ``spark.checkpoint.dir``, or the context's checkpoint folder, names it on a cluster; without either this fails there. On a
     single machine (tests) a temporary folder is made once for the session.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not re.fullmatch(r"local(\[.*\])?", context.master):
+    if not path and context.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tessera-"))

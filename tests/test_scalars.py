@@ -1,8 +1,11 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import motifs as M
 from tessera.plans import cli
+from tessera.session import in_order, shared_dir
 
 
 def test_names_and_motifs():
@@ -27,3 +30,24 @@ def test_numbers_of_options():
         assert (cli.leading_int(text), cli.leading_float(text)) == (whole, number)
     args = cli.parser().parse_args("draft -f a -m b -o c -e MboI -q 10abc -r none".split())
     assert (args.mapq, args.enzyme_range) == (10, 0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, conf=None, folder=None):
+        made = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else folder, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: conf))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://n/shared/")) == "hdfs://n/shared"
+        assert shared_dir(session(master, None, "hdfs://n/own")) == "hdfs://n/own"
+    assert shared_dir(session("local[4]")).startswith("file://")
+
+
+def test_places_without_one_task(spark):
+    rows = spark.range(1000).selectExpr("id", "(id * 7919) % 13 AS w")
+    got = sorted((r.place, r.w, r.id) for r in in_order(rows, F.desc("w"), F.col("id")).collect())
+    assert [g[0] for g in got] == list(range(1000)) and [(-w, i) for _, w, i in got] == sorted((-w, i) for _, w, i in got)
+    assert in_order(rows.limit(0), "id").count() == 0
