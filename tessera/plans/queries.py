@@ -267,18 +267,18 @@ def _(spark, sf_dir):
     return segments.narrow_regions(wide, grid, NARROW)
 
 
-# Every third text is cut at characters 41-60, and every sixth at 101-150 as well.
+# Texts of more than 200 characters are cut at characters 41-60, and those of more than 400 at 101-150 as well.
 @query(
     "split_sequences",
-    """WITH cut AS (SELECT doc_id AS id, 41 AS a, 61 AS b, 0 AS base FROM documents WHERE doc_id % 3 = 0 AND n_chars > 200 UNION ALL SELECT doc_id, 101, 151, 60 FROM documents WHERE doc_id % 6 = 0 AND n_chars > 200),
+    """WITH cut AS (SELECT doc_id AS id, 41 AS a, 61 AS b, 0 AS base FROM documents WHERE n_chars > 200 UNION ALL SELECT doc_id, 101, 151, 60 FROM documents WHERE n_chars > 400),
 piece AS (SELECT id, base AS s, a - 1 AS e, '_' || (base + 1) || '_' || (a - 1) AS label FROM cut UNION ALL SELECT id, a - 1, b - 1, '_' || a || '_' || (b - 1) FROM cut
   UNION ALL SELECT id, max(b) - 1, n_chars, '_' || (max(b) - 1) || '_' || n_chars FROM cut JOIN documents ON doc_id = id GROUP BY id, n_chars HAVING max(b) - 1 < n_chars
   UNION ALL SELECT doc_id, 0, length(text), '' FROM documents WHERE doc_id NOT IN (SELECT id FROM cut))
 SELECT id, 'doc' || id || label AS name, md5(substr(text, s + 1, e - s)) AS seq FROM piece JOIN documents ON doc_id = id""",
 )
 def _(spark, sf_dir):
-    long = table(spark, sf_dir, "documents").where("n_chars > 200").select(F.col("doc_id").alias("contig_id"))
-    cuts = long.where("contig_id % 3 = 0").select("contig_id", F.lit(41).alias("a"), F.lit(61).alias("b")).union(long.where("contig_id % 6 = 0").select("contig_id", F.lit(101), F.lit(151)))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig_id"), "n_chars")
+    cuts = docs.where("n_chars > 200").select("contig_id", F.lit(41).alias("a"), F.lit(61).alias("b")).union(docs.where("n_chars > 400").select("contig_id", F.lit(101), F.lit(151)))
     return split.split_sequences(texts(spark, sf_dir), cuts).select("id", "name", F.md5("seq").alias("seq"))
 
 
@@ -363,12 +363,12 @@ def _(spark, sf_dir):
     return G.kernel_intersections(G.numbered_candidates(kernels(spark, sf_dir))).select("set_a", "set_b", F.array_join("ids", ",").alias("ids"))
 
 
-GROUP_SQL = "grp AS (SELECT (s_suppkey % 5)::INT AS group_id, s_suppkey::INT AS contig_id FROM supplier WHERE s_suppkey % 7 <> 0)"
+GROUP_SQL = "grp AS (SELECT (s_suppkey % 5)::INT AS group_id, s_suppkey::INT AS contig_id FROM supplier WHERE s_acctbal >= 1000)"
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers in five groups; every seventh in none."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0")
+    """Suppliers in five groups; those with a balance under 1000 in none."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal >= 1000")
     return s.select((F.col("s_suppkey") % 5).cast("int").alias("group_id"), F.col("s_suppkey").cast("int").alias("contig_id"))
 
 
@@ -458,16 +458,16 @@ def _(spark, sf_dir):
 # Suppliers by names that several share and some of which nobody has; those of few lines are invalid.
 @query(
     "named_records",
-    f"""WITH {PAIR_SQL}, named AS (SELECT 'c' || (ref_id % 70) AS ref_name, pos, 'c' || (next_ref_id % 70) AS next_ref_name, next_pos, mapq FROM pair),
-known AS (SELECT 'c' || (s_suppkey % 70) AS name, min(s_suppkey)::INT AS id FROM supplier WHERE s_suppkey % 70 < 60 GROUP BY 1),
+    f"""WITH {PAIR_SQL}, named AS (SELECT 'c' || (ref_id % 80) AS ref_name, pos, 'c' || (next_ref_id % 80) AS next_ref_name, next_pos, mapq FROM pair),
+known AS (SELECT 'c' || (s_suppkey % 70) AS name, min(s_suppkey)::INT AS id FROM supplier GROUP BY 1),
 invalid AS (SELECT l_suppkey::INT AS contig_id FROM lineitem GROUP BY 1 HAVING count(*) < 600)
 SELECT a.id AS ref_id, pos, b.id AS next_ref_id, next_pos, mapq FROM named JOIN known a ON a.name = ref_name JOIN known b ON b.name = next_ref_name
 WHERE a.id NOT IN (FROM invalid) AND b.id NOT IN (FROM invalid)""",
 )
 def _(spark, sf_dir):
-    name = lambda c: F.concat(F.lit("c"), F.col(c) % 70)
+    name = lambda c, names=80: F.concat(F.lit("c"), F.col(c) % names)
     records = pairs(spark, sf_dir).select(name("ref_id").alias("ref_name"), "pos", name("next_ref_id").alias("next_ref_name"), "next_pos", "mapq")
-    contigs = table(spark, sf_dir, "supplier").where("s_suppkey % 70 < 60").select(F.col("s_suppkey").cast("int").alias("id"), name("s_suppkey").alias("name"))
+    contigs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), name("s_suppkey", 70).alias("name"))
     invalid = motif.invalid_contigs(supplier_sites(spark, sf_dir), 600)
     return align.without_contigs(align.named_to_ids(records, contigs), invalid).select("ref_id", "pos", "next_ref_id", "next_pos", "mapq")
 
