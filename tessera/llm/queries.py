@@ -1,4 +1,4 @@
-"""The queries of this package, op1 to op10, and their SQL for DuckDB."""
+"""The queries of this package, op1 to op13, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from tessera.llm import sql
 from tessera.llm.decontaminate import contamination
 from tessera.llm.neardup import near_duplicates
+from tessera.llm.negatives import mine_hard_negatives, relabelled
 from tessera.llm.packing import pack
 from tessera.llm.quality import classify
 from tessera.llm.quotes import link_quotes
+from tessera.llm.resample import resample
 from tessera.llm.rules import judge
+from tessera.llm.secrets import report
 from tessera.llm.substring import repeat_report
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.urls import default_model, filter_urls, unigrams
@@ -90,3 +93,18 @@ def _(spark, sf_dir):
 @query("op4_quality")
 def _(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_secrets", sql.SECRETS)
+def _(spark, sf_dir):
+    return report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_resampling", sql.RESAMPLING)
+def _(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_hard_negatives", sql.HARD_NEGATIVES)
+def _(spark, sf_dir):
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), label=relabelled())
