@@ -1,21 +1,29 @@
 """Mates: records s -> d in file order become pairs.
 
 As defined, a record s -> d that finds d's entry absent enters d as the mate of s, unless s has one; a record that
-finds s there makes a pair, and d's entry is spent; any other record is dropped. A record touches no positions but
-its own two, so components of the graph of positions are independent.
+finds s there makes a pair, and d's entry is spent; any other record is dropped. So an entry is made once and spent once:
+
+* A record makes an entry if neither s nor d has one by then. Of equal records only the first can.
+* A pair is made for each entry s of a d that some record s -> d comes after, and how many do is of no account.
+
+What is left to find is which records make entries, a greedy choice in file order. It is made by deterministic reservations,
+for all positions at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.components import connected_components
+from tessera.session import Scratch, materialize
 
+#: Open records that one task may go through at the end.
+TAIL = 250_000
 _RECORD = ("file", "rec_no", "ref_id", "pos", "next_ref_id", "next_pos")
 
 
@@ -50,58 +58,83 @@ def simple_pairs(simple: DataFrame) -> DataFrame:
     return out.select(F.col("s.id").alias("ref_id"), F.col("s.at").alias("pos"), F.col("d.id").alias("next_ref_id"), F.col("d.at").alias("next_pos"))
 
 
-class Fold:
-    """The mates of positions as records (s, d) come in order."""
+def fold(records: list[tuple]) -> list[tuple]:
+    """Pairs (s, d) of records (s, d) in order, as defined."""
+    mate: dict = {}
+    pairs = []
+    for s, d in records:
+        if d not in mate:
+            mate.setdefault(s, d)
+        elif mate[d] == s:
+            mate[d] = None
+            pairs.append((s, d))
+    return pairs
 
-    def __init__(self) -> None:
-        self.mate: dict = {}
 
-    def pairs(self, s: object, d: object) -> bool:
-        """Whether this record makes a pair."""
-        if d not in self.mate:
-            self.mate.setdefault(s, d)
-        elif self.mate[d] == s:
-            self.mate[d] = None
-            return True
-        return False
+def _entering(live: DataFrame) -> DataFrame:
+    """(p, at, mate) of the records that surely make an entry: first in line at s, and before all that d itself has in line."""
+    heads = live.groupBy("s").agg(F.min(F.struct("at", "d")).alias("head")).select("s", "head.*")
+    turns = heads.select(F.col("s").alias("d"), F.col("at").alias("turn"))
+    return heads.join(turns, "d", "left").where("turn IS NULL OR turn > at OR s = d").select(F.col("s").alias("p"), "at", F.col("d").alias("mate"))
 
 
-def fold(records: list[tuple]) -> list[tuple]:
-    """Pairs (s, d) of records (s, d) in order."""
-    state = Fold()
-    return [(s, d) for s, d in records if state.pairs(s, d)]
+def _still_open(live: DataFrame, entered: DataFrame) -> DataFrame:
+    """The records that may yet make an entry: their s has none, and their d none that came before them."""
+    own, other = entered.select(F.col("p").alias("s")), entered.select(F.col("p").alias("d"), F.col("at").alias("since"))
+    return live.join(own, "s", "left_anti").join(other, "d", "left").where("since IS NULL OR since > at").select("s", "d", "at")
 
 
-def complex_pairs(records: DataFrame) -> DataFrame:
-    """Pairs of any records, each component of positions folded in order.
-
-    A task streams its components one after another, in record order, and holds the positions of one. Components of
-    sparse reads are small; one that holds most positions is one task, as its order demands.
-    """
-    comps = connected_components(records, "s", "d").select(F.col("node").alias("s"), "component")
-    schema = T.StructType([records.schema[c] for c in _RECORD[2:]])
+def _rest(live: DataFrame) -> DataFrame:
+    """(p, at, mate) of all records that make an entry, one after another in a task."""
+    schema = T.StructType([T.StructField("p", live.schema["s"].dataType), T.StructField("at", T.LongType()), T.StructField("mate", live.schema["d"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, now = Fold(), None
+        has: set = set()
         for batch in batches:
-            component, *rest = (c.to_pylist() for c in batch.columns)
+            s, d = ([tuple(x.values()) for x in batch.column(i).to_pylist()] for i in (0, 1))
             hits = []
-            for i, (of, a, x, b, y) in enumerate(zip(component, *rest, strict=True)):
-                if of != now:
-                    state, now = Fold(), of
-                if state.pairs((a, x), (b, y)):
+            for i, (x, y) in enumerate(zip(s, d, strict=True)):
+                if x not in has and y not in has:
+                    has.add(x)
                     hits.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(hits, pa.int64())) for c in batch.columns[1:]], names=schema.names)
+            made = batch.take(pa.array(hits, pa.int64()))
+            yield pa.RecordBatch.from_arrays([made.column(0), made.column(2), made.column(1)], names=schema.names)
+
+    return live.repartition(1).sortWithinPartitions("at").select("s", "d", "at").mapInArrow(run, schema)
 
-    placed = records.join(comps, "s").select("component", *_RECORD[1:])
-    ordered = placed.repartition("component").sortWithinPartitions("component", "rec_no")
-    return ordered.select("component", *_RECORD[2:]).mapInArrow(run, schema)
 
+def complex_pairs(records: DataFrame, tail: int = TAIL) -> DataFrame:
+    """Pairs of any records, whatever the graph of positions.
 
-def mate_pairs(records: DataFrame) -> DataFrame:
+    Of the records from one position to another the first and the last are kept, by a partial aggregate. Then come rounds: of
+    each position the first record in line is looked at, and if the position that it goes to has nothing in line before it, the
+    record makes an entry, as in file order it would. All records that this decides leave: those from such a position, and later ones to
+    it. The first record of all is decided in each round, and in any order but an adverse one a share of all is; a position with very many
+    records costs no round for each, as only its first in line and its entry count. Joins have one row a position on one side.
+
+    Each round's tables are written, so a lost executor costs no round. Once ``tail`` records at most are open, one task
+    goes through them in order; with 0 there are rounds to the end.
+    """
+    with Scratch(records.sparkSession) as scratch:
+        pairs = scratch.table(_positions(records).groupBy("s", "d").agg(F.min("rec_no").alias("first"), F.max("rec_no").alias("last")), "mates")
+        live = scratch.table(pairs.select("s", "d", F.col("first").alias("at")), "open")
+        entries = scratch.folder("entries")
+        for done in count():
+            if (n := live.count()) <= tail:
+                break
+            entered = scratch.part(_entering(live), entries, done)
+            live = scratch.table(_still_open(live, entered), "open")
+        entered = scratch.part(_rest(live) if n else _entering(live), entries, done)
+        every = records.sparkSession.read.schema(entered.schema).parquet(entries)
+        met = pairs.join(every.select(F.col("p").alias("d"), F.col("mate").alias("s"), "at"), ["s", "d"]).where("last > at")
+        out = met.select(F.col("s.id").alias("ref_id"), F.col("s.at").alias("pos"), F.col("d.id").alias("next_ref_id"), F.col("d.at").alias("next_pos"))
+        return materialize(out, "mate-pairs")
+
+
+def mate_pairs(records: DataFrame, tail: int = TAIL) -> DataFrame:
     """``(ref_id, pos, next_ref_id, next_pos)`` of all pairs of records (file, rec_no, ref_id, pos, next_ref_id, next_pos).
 
     Files don't mix. ``rec_no`` orders a file's records. Positions with one mate each need an aggregate only.
     """
     simple, rest = single_mate(records)
-    return simple_pairs(simple).unionByName(complex_pairs(rest))
+    return simple_pairs(simple).unionByName(complex_pairs(rest, tail))

@@ -71,6 +71,18 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, tag: str) -> str:
+        """A folder for tables of one kind, read together."""
+        path = fresh_path(self.spark, tag)
+        self.paths.append(path)
+        return path
+
+    def part(self, df: DataFrame, folder: str, number: int) -> DataFrame:
+        """One of the tables of a folder, written."""
+        path = f"{folder}/part={number}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def __enter__(self) -> Scratch:
         return self
 

@@ -43,6 +43,38 @@ def test_against_the_fold(spark, rows):
     assert rows(pairing.mate_pairs(records(spark, moves))) == sorted((*s, *d) for s, d in pairing.fold(moves))
 
 
+@pytest.mark.parametrize("tail", [0, 40])
+def test_rounds_on_one_component(spark, rows, tail):
+    # All positions hang together; one has a third of the records, repeats and self records are among them.
+    random.seed(7)
+    nodes = [(i % 5, i) for i in range(60)]
+    moves = []
+    for _ in range(900):
+        s, d = random.choice(nodes), random.choice(nodes)
+        kind = random.random()
+        moves.append((nodes[0], d) if kind < 0.17 else (s, nodes[0]) if kind < 0.34 else (d, s) if kind < 0.6 and moves else (s, d))
+        if kind > 0.9:
+            moves.append(random.choice(moves)[::-1])
+    df = records(spark, moves)
+    assert rows(pairing.complex_pairs(df, tail)) == sorted((*s, *d) for s, d in pairing.fold(moves))
+    assert rows(pairing.complex_pairs(df.union(records(spark, moves[::-1], "g")), tail)) == sorted((*s, *d) for x in (moves, moves[::-1]) for s, d in pairing.fold(x))
+
+
+def test_small_orders_by_rounds(spark, rows):
+    # Every sequence of three records of three positions, each as a file of its own.
+    from itertools import product
+
+    kinds = list(product((A, B, C), (A, B, C)))
+    files = {f"f{k}": [*x, x[1][::-1], x[0][::-1]] for k, x in enumerate(product(kinds, repeat=3))}
+    df = spark.createDataFrame([(f, i, *s, *d) for f, moves in files.items() for i, (s, d) in enumerate(moves)], RECORD)
+    assert rows(pairing.complex_pairs(df, 0)) == sorted((*s, *d) for moves in files.values() for s, d in pairing.fold(moves))
+
+
+def test_a_chain_against_the_order(spark, rows):
+    moves = [((0, i), (0, i + 1)) for i in range(12, 0, -1)] + [((0, i + 1), (0, i)) for i in range(1, 13)]
+    assert rows(pairing.complex_pairs(records(spark, moves), 0)) == sorted((*s, *d) for s, d in pairing.fold(moves))
+
+
 def test_edges(spark, rows):
     pairs = spark.createDataFrame([(0, 1)] * 2 + [(1, 0)] * 4 + [(2, 2)] * 6, "ref_id int, next_ref_id int")
     sites = spark.createDataFrame([(0, 2), (1, 4), (2, 3)], "contig_id int, n_sites long")
