@@ -20,9 +20,8 @@ from tessera.session import Scratch, materialize
 
 #: Bytes of a chunk at least and at most; a cut after white space has a hash below SPACE_CUT, any other one below OTHER_CUT.
 LEAST, MOST, SPACE_CUT, OTHER_CUT = 16, 256, 1 << 30, 1 << 24
-#: Words that a repeated passage must hold to be removed, and those that the whole chunks inside it must: a few chunks, of
-#: about seven words each. A passage of 50 words has them unless its first and its last cut lie 38 words inside it.
-MIN_WORDS, RUN_WORDS = 50, 12
+#: Words that a repeated passage must hold to be removed, and those that the whole chunks inside it must: a chunk, of about seven words.
+MIN_WORDS, RUN_WORDS = 20, 5
 #: Bytes on the outer side of a run's end that are compared with the first document's: more than a chunk, in which the passage may end.
 CONTEXT = 384
 #: Digests of more repeats than this, and than one in so many of all repeats, are joined in parts; so there are at most as many of them.
@@ -30,6 +29,8 @@ HOT, MAX_HOT = 1_000, 100_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 _SPACES = frozenset((9, 10, 11, 12, 13, 32))
 _SPACE = np.isin(np.arange(256), list(_SPACES))
+#: Bytes in another order, white space first: of all contexts in order, the two next to an end's own then share most with it, up to a word's end.
+_RANK = np.argsort(np.argsort(~_SPACE, kind="stable"), kind="stable").astype(np.uint8).tobytes()
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -87,40 +88,43 @@ def digests(data: bytes, ends: list[int]) -> list[int]:
     return (hashes & ~np.uint64(63) | words).view(np.int64).tolist()
 
 
-def _shared(own: bytes, theirs: bytes, all_own: bool, all_theirs: bool) -> int:
-    """How many bytes at the end of ``own`` are whole words that ``theirs`` ends with too.
+def outward(data: bytes, at: int, before: bool) -> tuple[bytes, bool]:
+    """The bytes on one side of a place, away from it, in the order of ``_RANK``; and whether the text ends there."""
+    if before:
+        return data[max(0, at - CONTEXT) : at][::-1].translate(_RANK), at <= CONTEXT
+    return data[at : at + CONTEXT].translate(_RANK), at + CONTEXT >= len(data)
 
-    ``all_own`` and ``all_theirs`` tell whether the bytes start where their text does.
+
+def shared(own: bytes, theirs: bytes, all_own: bool, all_theirs: bool) -> int:
+    """How many bytes, both outward from a place, are whole words of both.
+
+    ``all_own`` and ``all_theirs`` tell whether the bytes reach the end of their text.
     """
-    n, most = 0, min(len(own), len(theirs))
-    while n < most and own[-1 - n] == theirs[-1 - n]:
-        n += 1
+    n, over = 0, min(len(own), len(theirs)) + 1
+    while n + 1 < over:
+        middle = (n + over) // 2
+        n, over = (middle, over) if own[:middle] == theirs[:middle] else (n, middle)
+    spaces = len(_SPACES)
     while n:
-        first = all_own if n == len(own) else own[-1 - n] in _SPACES
-        second = all_theirs if n == len(theirs) else theirs[-1 - n] in _SPACES
-        if first and second or own[-n] in _SPACES:
+        first = all_own if n == len(own) else own[n] < spaces
+        second = all_theirs if n == len(theirs) else theirs[n] < spaces
+        if first and second or own[n - 1] < spaces:
             break
         n -= 1
     return n
 
 
-def repeated_spans(data: bytes, chunks: list[int], min_words: int = MIN_WORDS, around: list[tuple[int, bool, list[bytes]]] = ()) -> list[tuple[int, int]]:
+def repeated_spans(data: bytes, chunks: list[int], min_words: int = MIN_WORDS, grown: list[tuple[int, bool, int]] = ()) -> list[tuple[int, int]]:
     """The spans (start, stop) in bytes that runs of the given chunks and what is shared around them make, of ``min_words`` words or more.
 
-    ``around``: (chunk, whether before it, contexts) for the ends of runs, each context the bytes on that side of the
-    same chunk in the first document; of those after a chunk the order is turned round.
+    ``grown``: (chunk, whether before it, bytes) for the ends of runs.
     """
     ends = chunk_ends(data)
     b = np.frombuffer(data, np.uint8)
     word = ~_SPACE[b]
     word[1:] &= _SPACE[b[:-1]]
     words = np.concatenate([[0], np.cumsum(word)])
-    grow: dict[tuple[int, bool], int] = {}
-    for k, before, contexts in around:
-        at = (ends[k - 1] if k else 0) if before else ends[k]
-        own = data[max(0, at - CONTEXT) : at] if before else data[at : at + CONTEXT][::-1]
-        whole = at <= CONTEXT if before else at + CONTEXT >= len(data)
-        grow[k, before] = max([grow.get((k, before), 0), *(_shared(own, x, whole, len(x) < CONTEXT) for x in contexts)])
+    grow = {(k, before): n for k, before, n in grown}
     spans: list[tuple[int, int]] = []
     for k in sorted(set(chunks)):
         start, stop = (ends[k - 1] if k else 0) - grow.get((k, True), 0), ends[k] + grow.get((k, False), 0)
@@ -132,18 +136,23 @@ def repeated_spans(data: bytes, chunks: list[int], min_words: int = MIN_WORDS, a
     return [(s + int(np.argmin(_SPACE[b[s:e]])), e) for s, e in spans if words[e] - words[s] >= min_words]
 
 
-def contexts_of(data: bytes, wanted: set[int]) -> list[tuple[int, bool, bytes]]:
-    """(digest, whether before it, context) for each chunk of a wanted digest, in the form of :func:`repeated_spans`."""
+def contexts_of(data: bytes, wanted: set[tuple[int, bool]]) -> list[tuple[int, bool, bytes, bool]]:
+    """(digest, whether before it, bytes outward, whether the text ends) for each chunk of a wanted digest and side, equal ones once."""
     ends = chunk_ends(data)
-    found: dict[tuple[int, bool, bytes], None] = {}
+    found: dict[tuple[int, bool, bytes, bool], None] = {}
     for k, g in enumerate(digests(data, ends)):
-        if g in wanted:
-            start = ends[k - 1] if k else 0
-            found[g, True, data[max(0, start - CONTEXT) : start]] = None
-            found[g, False, data[ends[k] : ends[k] + CONTEXT][::-1]] = None
+        for before in (True, False):
+            if (g, before) in wanted:
+                found[g, before, *outward(data, (ends[k - 1] if k else 0) if before else ends[k], before)] = None
     return list(found)
 
 
+def own_bytes(data: bytes, sides: list[tuple[int, bool]]) -> list[tuple[bytes, bool]]:
+    """What :func:`outward` gives for each (chunk, whether before it)."""
+    ends = chunk_ends(data)
+    return [outward(data, (ends[k - 1] if k else 0) if before else ends[k], before) for k, before in sides]
+
+
 def without(data: bytes, spans: list[tuple[int, int]]) -> str:
     """A text without some spans of its bytes."""
     kept, last = [], 0
@@ -203,25 +212,95 @@ def _runs(again: DataFrame) -> DataFrame:
     return whole.where(F.col("words") >= RUN_WORDS).select(*text, "pos", "digest", "first", "low", "high")
 
 
-def _answered(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """(first, digest, before, contexts) for each digest that ``asked`` (first, digests) wants of a document."""
-    schema = T.StructType([T.StructField("first", rows.schema["id_"].dataType), T.StructField("digest", T.LongType()), T.StructField("before", T.BooleanType()), T.StructField("context", T.BinaryType())])
+#: An end of a run, or a context of a first document: what is compared, outward, with all of the same first document, digest and side.
+_PLACED = "first {id}, digest bigint, before boolean, bytes binary, own boolean, whole boolean, id_ {id}, mark_ int, pos int"
+
+
+def _told(texts: DataFrame, requests: DataFrame, keys: list[str], answer) -> DataFrame:
+    """Rows of ``_PLACED``: ``answer`` of (id, mark, text, request) for the texts that ``requests`` (keys, request) asks of."""
+    schema = _PLACED.format(id=texts.schema["id_"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.bool_(), batch.schema.field(0).type, pa.int32(), pa.int32())
             found: list[tuple] = []
-            ids = batch.column(0)
             for k in range(batch.num_rows):
-                found += [(k, *x) for x in contexts_of(batch.column(1)[k].as_py().encode(), set(batch.column(2)[k].as_py()))]
+                found += answer(*(batch.column(c)[k].as_py() for c in range(4)))
                 if found and (len(found) >= 4_000 or k == batch.num_rows - 1):
-                    at, *rest = zip(*found, strict=True)
-                    kinds = (pa.int64(), pa.bool_(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], names=schema.names)
+                    names = [f.split()[0] for f in schema.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
                     found = []
 
-    holders = touching(rows, asked.withColumnRenamed("first", "id_"), ["id_"])[0]
-    told = holders.join(asked.withColumnRenamed("first", "id_"), "id_").select("id_", "text_", "digests").mapInArrow(run, schema)
-    return told.groupBy("first", "digest", "before").agg(F.collect_set("context").alias("contexts"))
+    met = touching(texts, requests, keys)[0].join(requests, keys)
+    return met.select("id_", "mark_", "text_", "request").mapInArrow(run, schema)
+
+
+def _contexts(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """The contexts in first documents of what ``asked`` (first, digest, before) asks of them."""
+    requests = asked.groupBy(F.col("first").alias("id_")).agg(F.collect_set(F.struct("digest", "before")).alias("request"))
+
+    def answer(id_: object, mark: int, text: str, request: list[dict]) -> list[tuple]:
+        wanted = {(r["digest"], r["before"]) for r in request}
+        return [(id_, g, before, x, False, whole, None, None, None) for g, before, x, whole in contexts_of(text.encode(), wanted)]
+
+    return _told(texts, requests, ["id_"], answer).distinct()
+
+
+def _own(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """What stands outward of the ends of runs (id_, mark_, pos, digest, first, before) in their own documents."""
+    requests = ends.groupBy("id_", "mark_").agg(F.collect_set(F.struct("first", "digest", "before", "pos")).alias("request"))
+
+    def answer(id_: object, mark: int, text: str, request: list[dict]) -> list[tuple]:
+        around = own_bytes(text.encode(), [(r["pos"], r["before"]) for r in request])
+        return [(r["first"], r["digest"], r["before"], x, True, whole, id_, mark, r["pos"]) for r, (x, whole) in zip(request, around, strict=True)]
+
+    return _told(texts, requests, ["id_", "mark_"], answer)
+
+
+def _grown(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id_, mark_, pos, before, n): how many bytes each end shares outward with the context that shares most with it.
+
+    All ends and contexts are put in order, in ranges that no first document, digest or value of bytes holds together; the
+    context next to an end, on either side, shares most. A range borrows the last context before it and the first one after it.
+    """
+    order = ["first", "digest", "before", "bytes", "own", "whole", "id_", "mark_", "pos"]
+    dealt = scratch.table(placed.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "placed")
+    # Ordered by part_ alone, a row a range: what is borrowed.
+    row = F.struct(*order)
+    edge = dealt.groupBy("part_").agg(F.max(F.when(~F.col("own"), row)).alias("last"), F.min(F.when(~F.col("own"), row)).alias("head"))
+    by_part = Window.orderBy("part_")
+    earlier = F.last("last", True).over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.last("head", True).over(Window.orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1))
+    near = edge.select("part_", earlier.alias("earlier"), later.alias("later"))
+    lent = near.select("part_", F.explode(F.array_compact(F.array("earlier", "later"))).alias("x")).select(*(F.col(f"x.{c}").alias(c) for c in order), "part_")
+    schema = f"id_ {placed.schema['id_'].dataType.simpleString()}, mark_ int, pos int, before boolean, n int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the last context the key and the bytes; and the ends that wait for the next one, with what they share with the last.
+        now, last, waiting = None, None, []
+        for batch in batches:
+            done: list[tuple] = []
+            for part, first, digest, before, data, own, whole, id_, mark, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = (part, first, digest, before)
+                if key != now:
+                    done += [w[:5] for w in waiting]
+                    now, last, waiting = key, None, []
+                if own:
+                    n = shared(data, last[0], whole, last[1]) if last else 0
+                    waiting.append((id_, mark, pos, before, n, data, whole))
+                    continue
+                last = data, whole
+                done += [(*w[:4], max(w[4], shared(w[5], data, w[6], whole))) for w in waiting]
+                waiting = []
+            kinds = (batch.schema.field(7).type, pa.int32(), pa.int32(), pa.bool_(), pa.int32())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*(w[:5] for w in waiting), strict=True), kinds, strict=True)], names=names)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    together = dealt.unionByName(lent).repartition("part_").sortWithinPartitions("part_", *order)
+    return together.select("part_", *order).mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -232,7 +311,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     then hold ``min_words`` words or more are repeated passages. What repeats only inside a document is left.
 
     Digests, ids and places are shuffled for all chunks, the texts only of documents with such a run, or with the
-    first chunk of a run's end. The result reads tables that it wrote, which are deleted with the session.
+    first chunk of a run's end. A chunk that a document has very often costs a row each time, and a run's end as much: ends and
+    contexts are compared in their order. The result reads tables that it wrote, which are deleted with the session.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(f"`{id_col}`").alias("id_"), F.hash(text).alias("mark_"))
@@ -245,19 +325,20 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         runs = scratch.table(_runs(_first_elsewhere(chunks, scratch)), "runs")
         side = F.explode(F.array_compact(F.array(F.when(F.col("low"), F.lit(True)), F.when(F.col("high"), F.lit(False))))).alias("before")
         ends = runs.where("low OR high").select("id_", "mark_", "pos", "digest", "first", side)
-        asked = scratch.table(ends.groupBy("first").agg(F.collect_set("digest").alias("digests")), "asked")
-        answers = scratch.table(_answered(asked, texts), "answers")
-        around = ends.join(answers, ["first", "digest", "before"]).select("id_", "mark_", "pos", F.struct("pos", "before", "contexts").alias("around"))
-        entries = runs.select("id_", "mark_", "pos", F.lit(None).cast(around.schema["around"].dataType).alias("around")).union(around)
-        info = materialize(entries.groupBy("id_", "mark_").agg(F.collect_set("pos").alias("again_"), F.collect_list("around").alias("around_")), "repeats")
+        ends = scratch.table(ends, "ends")
+        asked = ends.select("first", "digest", "before").distinct()
+        placed = _contexts(asked, texts).unionByName(_own(ends, texts))
+        grown = _grown(placed, scratch).select("id_", "mark_", "pos", F.struct("pos", "before", "n").alias("grown"))
+        entries = runs.select("id_", "mark_", "pos", F.lit(None).cast(grown.schema["grown"].dataType).alias("grown")).union(grown)
+        info = materialize(entries.groupBy("id_", "mark_").agg(F.collect_set("pos").alias("again_"), F.collect_set("grown").alias("grown_")), "repeats")
     kind = "struct<text: string, spans: array<struct<start: int, stop: int>>>"
 
     @F.arrow_udf(kind)
-    def cut(texts: pa.Array, chunk_sets: pa.Array, arounds: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, chunk_sets: pa.Array, growths: pa.Array) -> pa.Array:
         left, spans = [], []
-        for text, again_, around_ in zip(texts, chunk_sets, arounds, strict=True):
+        for text, again_, grown_ in zip(texts, chunk_sets, growths, strict=True):
             data = text.as_py().encode()
-            found = repeated_spans(data, again_.as_py(), min_words, [(a["pos"], a["before"], a["contexts"]) for a in around_.as_py()])
+            found = repeated_spans(data, again_.as_py(), min_words, [(g["pos"], g["before"], g["n"]) for g in grown_.as_py()])
             left.append(without(data, found))
             spans.append([{"start": s, "stop": e} for s, e in found])
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
@@ -266,7 +347,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     maybe, clean = touching(rows, info, ["id_", "mark_"])
     none = F.array().cast("array<struct<start:int,stop:int>>")
     both = maybe.join(info, ["id_", "mark_"], "left").withColumn("text_", inner)
-    changed = both.where("again_ IS NOT NULL").withColumn("cut_", cut("text_", "again_", "around_"))
+    changed = both.where("again_ IS NOT NULL").withColumn("cut_", cut("text_", "again_", "grown_"))
     alone = clean.select("doc_").union(both.where("again_ IS NULL").select("doc_")).select("doc_", inner.alias("text_"), none.alias("spans_"))
     found = alone.unionByName(changed.select("doc_", F.col("cut_.text").alias("text_"), F.col("cut_.spans").alias("spans_")))
     return found.withColumn("bytes_", F.octet_length(inner).cast("long"))

@@ -90,39 +90,45 @@ def test_equal_ids_with_other_texts_are_told_apart(texts):
     assert sorted((r.doc_id, r.repeated) for r in rows) == [(1, False), (2, False), (2, True)]
 
 
-def around_of(first, second, again):
-    """What the operator gathers for the runs of ``again`` chunks of ``second`` whose first document is ``first``."""
+def grown_of(first, second, again):
+    """What the operator finds for the runs of ``again`` chunks of ``second`` whose first document is ``first``: each end against each context."""
     own = S.digests(second, S.chunk_ends(second))
     at = set(again)
-    low, high = [k for k in again if k - 1 not in at], [k for k in again if k + 1 not in at]
-    told = S.contexts_of(first, {own[k] for k in [*low, *high]})
-    return [(k, side, [c for g, s, c in told if g == own[k] and s == side]) for side, ks in ((True, low), (False, high)) for k in ks]
+    sides = [(k, True) for k in again if k - 1 not in at] + [(k, False) for k in again if k + 1 not in at]
+    told = S.contexts_of(first, {(own[k], side) for k, side in sides})
+    mine = S.own_bytes(second, sides)
+    return [(k, side, max((S.shared(x, c, whole, all_) for g, s, c, all_ in told if g == own[k] and s == side), default=0)) for (k, side), (x, whole) in zip(sides, mine)]
 
 
-@pytest.mark.parametrize("words", [50, 51, 55, 60, 75])
-def test_planted_passages_are_cut_at_their_ends(words):
-    rng = random.Random(words)
+@pytest.mark.parametrize("words, most_missed", [(20, 30), (30, 3), (40, 0), (50, 0), (60, 0), (75, 0)])
+def test_planted_passages_are_cut_at_their_ends(words, most_missed):
+    """All of 300; of the shortest a few have no whole chunk inside."""
+    rng, missed = random.Random(words), 0
     for n in range(300):
         passage = prose(rng, words)
         gap = rng.choice([" ", "\n", "\n\n"])
         first, second = (f"{prose(rng, rng.randint(0, 60))}{gap}{passage} {prose(rng, 60)}".strip().encode() for _ in range(2))
         known = set(S.digests(first, S.chunk_ends(first)))
         again = [k for k, d in enumerate(S.digests(second, S.chunk_ends(second))) if d in known]
-        spans = S.repeated_spans(second, again, S.MIN_WORDS, around_of(first, second, again))
+        spans = S.repeated_spans(second, again, S.MIN_WORDS, grown_of(first, second, again))
         start = second.index(passage.encode())
+        if not spans:
+            missed += 1
+            continue
         assert len(spans) == 1, n
         assert second[slice(*spans[0])].strip() == passage.encode()
         assert abs(spans[0][0] - start) <= 2
+    assert missed <= most_missed
 
 
 def test_shorter_passages_stay():
     rng = random.Random(6)
     for _ in range(100):
-        passage = prose(rng, 49)
+        passage = prose(rng, 19)
         first, second = (f"{prose(rng, 60)} {passage} {prose(rng, 60)}".encode() for _ in range(2))
         known = set(S.digests(first, S.chunk_ends(first)))
         again = [k for k, d in enumerate(S.digests(second, S.chunk_ends(second))) if d in known]
-        assert again and not S.repeated_spans(second, again, S.MIN_WORDS, around_of(first, second, again))
+        assert not S.repeated_spans(second, again, S.MIN_WORDS, grown_of(first, second, again))
 
 
 def test_operator_against_brute_force(texts, monkeypatch):
@@ -130,7 +136,7 @@ def test_operator_against_brute_force(texts, monkeypatch):
     monkeypatch.setattr(S, "HOT", 3)
     monkeypatch.setattr(sift, "SLOTS", 16)
     rng = random.Random(12)
-    passages = [prose(rng, rng.randint(50, 90)) for _ in range(6)] + [prose(rng, 30)]
+    passages = [prose(rng, rng.randint(50, 90)) for _ in range(6)] + [prose(rng, 19)]
     docs = []
     for i in range(120):
         parts = [prose(rng, rng.randint(5, 60))]
@@ -149,3 +155,30 @@ def test_operator_against_brute_force(texts, monkeypatch):
         spans = rows[key].spans
         assert sum(len(told.encode()[s.start : s.stop].split()) for s in spans) == want[key], key
         assert len(rows[key].text.split()) == len(told.split()) - want[key]
+
+
+def test_ends_in_order_share_what_they_share_with_all_contexts(spark):
+    """Neighbours in order against every pair, over many ranges, with ends and contexts that tie."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(600):
+        words = b"".join(rng.choice([b"ab", b"a", b" ", b"\n", b"!", b"b c "]) for _ in range(rng.randint(0, 9)))
+        data, whole = S.outward(words + b" tail" * rng.choice([0, 90]), 0, False)
+        own = rng.random() < 0.6
+        rows.append((rng.choice([1, 2]), rng.choice([5, 6]), rng.random() < 0.5, data, own, whole, *((k, 7, k) if own else (None, None, None))))
+    df = spark.createDataFrame(rows, S._PLACED.format(id="long"))
+    with S.Scratch(spark) as scratch:
+        got = {r["id_"]: r["n"] for r in S._grown(df, scratch).collect()}
+    want = {r[6]: max((S.shared(r[3], c[3], r[5], c[5]) for c in rows if not c[4] and c[:3] == r[:3]), default=0) for r in rows if r[4]}
+    assert got == want
+
+
+@pytest.mark.parametrize("lines", [300, 2_000])
+def test_a_line_that_is_there_very_often(texts, lines):
+    """Two documents share one line of 30 words, each time before eight other words: ends and contexts add up, and don't multiply."""
+    rng = random.Random(14)
+    line = prose(rng, 30)
+    docs = [(k, "\n".join(f"{line} " + " ".join(f"{rng.getrandbits(40):x}{k}" for _ in range(8)) for _ in range(lines))) for k in (1, 2)]
+    rows = {r.doc_id: r for r in S.repeat_report(texts(docs)).collect()}
+    assert not rows[1].repeated and rows[2].n_spans == lines
+    assert len(rows[2].text.split()) == 8 * lines
