@@ -65,16 +65,22 @@ def edge_votes(ranked: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
     return own.unionAll(pairs).groupBy("start", "end").agg(F.sort_array(F.collect_set("host")).alias("supporters"))
 
 
-def kernel_candidates(votes: DataFrame) -> DataFrame:
-    """``(ids, subsets)``: supporter sets that no other contains, and how many further votes' sets each contains.
+def contained(sets: DataFrame) -> DataFrame:
+    """``(child, parent)`` for each two of the distinct ``sets`` (ids) of which the second contains the first, itself included.
 
     A set can only lie in sets that have its rarest member, so that member is the join's key.
     """
-    sets = materialize(votes.groupBy(F.col("supporters").alias("ids")).agg(F.count("*").alias("m")).where("size(ids) > 0"), "sets")
     members = sets.select("ids", F.explode("ids").alias("member"))
     counts = members.groupBy("member").agg(F.count("*").alias("df"))
     rarest = members.join(counts, "member").groupBy("ids").agg(F.min(F.struct("df", "member")).alias("r")).select(F.col("ids").alias("child"), F.col("r.member").alias("member"))
     inside = rarest.join(members.select(F.col("ids").alias("parent"), "member"), "member").where("size(parent) >= size(child) AND size(array_except(child, parent)) = 0")
+    return inside.select("child", "parent")
+
+
+def kernel_candidates(votes: DataFrame) -> DataFrame:
+    """``(ids, subsets)``: supporter sets that no other contains, and how many further votes' sets each contains."""
+    sets = materialize(votes.groupBy(F.col("supporters").alias("ids")).agg(F.count("*").alias("m")).where("size(ids) > 0"), "sets")
+    inside = contained(sets)
     below = inside.where("child <> parent").select(F.col("child").alias("ids")).distinct()
     counted = inside.join(sets.select(F.col("ids").alias("child"), "m"), "child").groupBy(F.col("parent").alias("ids")).agg((F.sum("m") - 1).alias("subsets"))
     return counted.join(below, "ids", "left_anti")

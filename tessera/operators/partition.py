@@ -1,7 +1,7 @@
 """Partition of the contact graph into K groups: kernels by votes, merging, greedy assignment, sweep of windows.
 
-Ranks, seeds, votes, candidates and their intersections are DataFrames. What follows are ordered folds over kernels
-and the adjacency of contigs: those come to the driver, behind a check of their number.
+All of it is in DataFrames. Merging and assignment are greedy by definition, one step after another: here a step is a job over the
+edges, and an assignment makes many moves in one where none can change another. For a graph of few edges the same steps are made at once.
 """
 
 from __future__ import annotations
@@ -10,15 +10,18 @@ import bisect
 import heapq
 import math
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
+from tessera.operators.components import connected_components
 from tessera.operators.edges import directed
+from tessera.session import Scratch, in_order, materialize
 
-#: Rows of intersections, and of directed edges, that the driver may hold.
-MAX_INTERSECTIONS, MAX_EDGES = 1_000_000, 20_000_000
+#: Directed edges and contigs of a graph whose steps are made at once, and moves that a round looks at.
+FEW, AHEAD = 1_000_000, 64
 
 
 @dataclass
@@ -34,44 +37,35 @@ class Neighbours:
         self._maps = {a: dict(reversed(n)) for a, n in self.order.items()}
 
 
-def _bounded(df: DataFrame, most: int, what: str) -> list:
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} {what}")
-    return rows
-
-
-def absorbed(intersections: list[tuple[int, int, tuple[int, ...]]]) -> list[tuple[set[int], set[int]]]:
-    """(contigs, candidates) of the intersections, largest first, each joined to the first that contains it."""
-    marks: list[tuple[set[int], set[int]]] = []
-    for a, b, ids in sorted(intersections, key=lambda x: (-len(x[2]), x[2], x[0], x[1])):
-        home = next((m for m in marks if m[0].issuperset(ids)), None)
-        if home is None:
-            marks.append((set(ids), {a, b}))
-        else:
-            home[1].update((a, b))
-    return marks
+def absorbed(intersections: DataFrame) -> DataFrame:
+    """``(mark, ids, set_ids)``: intersections (set_a, set_b, ids), largest first, each joined to the first that contains it.
 
+    Marks are numbered in that order; ``set_ids`` are the candidates of all that a mark has taken in. An intersection is a mark if
+    none before it contains it, so marks are the sets that lie in no other, and the first mark that contains another one
+    is a minimum: no step of this depends on the one before.
+    """
+    intersections = materialize(intersections, "intersections")
+    sets = materialize(intersections.select("ids").distinct(), "intersected")
+    inside = materialize(G.contained(sets), "contained")
+    below = inside.where("child <> parent").select(F.col("child").alias("ids")).distinct()
+    marks = in_order(sets.join(below, "ids", "left_anti"), F.desc(F.size("ids")), F.col("ids")).select(F.col("place").alias("mark"), "ids")
+    homes = inside.join(marks.withColumnRenamed("ids", "parent"), "parent").groupBy(F.col("child").alias("ids")).agg(F.min("mark").alias("mark"))
+    taken = intersections.join(homes, "ids").select("mark", F.explode(F.array("set_a", "set_b")).alias("set_id"))
+    return marks.join(taken.groupBy("mark").agg(F.sort_array(F.collect_set("set_id")).alias("set_ids")), "mark").select("mark", "ids", "set_ids")
 
-def connected(marks: list[tuple[set[int], set[int]]]) -> list[set[int]]:
-    """Unions of the contigs of marks that share a candidate, directly or through others."""
-    head: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while head.setdefault(x, x) != x:
-            head[x] = head[head[x]]
-            x = head[x]
-        return x
+def connected(marks: DataFrame) -> DataFrame:
+    """``(group_id, contig_id)``: unions of the contigs of :func:`absorbed` marks that share a candidate, directly or through others.
 
-    for _, sets in marks:
-        first, *rest = sorted(sets)
-        for s in rest:
-            a, b = sorted((root(first), root(s)))
-            head[b] = a
-    groups: dict[int, set[int]] = {}
-    for ids, sets in marks:
-        groups.setdefault(root(min(sets)), set()).update(ids)
-    return sorted(groups.values(), key=lambda g: (min(g), sorted(g)))
+    Groups are numbered by their least contig, then by their first mark. A contig may be in several.
+    """
+    marks = materialize(marks.select((-F.col("mark") - 1).alias("node"), "ids", "set_ids"), "marks")
+    links = marks.select("node", F.explode(F.col("set_ids").cast("array<bigint>")).alias("set_id"))
+    reached = connected_components(links, "node", "set_id")
+    told = materialize(marks.join(reached, "node").select("node", "component", F.explode("ids").alias("contig_id")), "core")
+    order = told.groupBy("component").agg(F.min("contig_id").alias("least"), F.max("node").alias("first"))
+    numbered = in_order(order, F.col("least"), F.desc("first")).select("component", F.col("place").cast("int").alias("group_id"))
+    return told.join(numbered, "component").select("group_id", "contig_id").distinct()
 
 
 def relation(left: set[int], right: set[int], near: Neighbours, limit: int) -> float:
@@ -187,52 +181,160 @@ def _assigned_apart(groups: list[set[int]], contigs: list[int], near: Neighbours
     return groups
 
 
-def balance(groups: list[set[int]], lengths: dict[int, int]) -> float:
-    sums = [float(sum(lengths[c] for c in g)) for g in groups]
-    mean = sum(sums) / len(sums)
-    return math.sqrt(sum((s - mean) ** 2 for s in sums) / len(sums))
+def merge_groups(groups: DataFrame, both: DataFrame, k: int) -> DataFrame:
+    """:func:`merged` for groups (group_id, contig_id) and directed edges, each step an aggregate over the edges between groups.
+
+    Of a step the driver holds the two groups that become one, and their number. The groups are numbered from 0 again.
+    """
+    members = groups.select("contig_id").distinct()
+    within = both.join(members.withColumnRenamed("contig_id", "src"), "src", "left_semi").join(members.withColumnRenamed("contig_id", "dst"), "dst", "left_semi")
+    within = materialize(within.groupBy("src", "dst").agg(F.max("weight").alias("weight")), "within")
+    groups = materialize(groups, "groups")
+    while True:
+        sizes = materialize(groups.groupBy("group_id").agg(F.count("*").alias("n")), "sizes")
+        left, limit, first = sizes.agg(F.count("*"), F.min("n"), F.min("group_id")).first()
+        if left <= k:
+            break
+        a, b = sizes.select(F.col("group_id").alias("group_a"), F.col("n").alias("n_a")), sizes.select(F.col("group_id").alias("group_b"), F.col("n").alias("n_b"))
+        scored = G.group_relation(groups, within, limit).join(a, "group_a").join(b, "group_b").withColumn("score", F.col("relation") / F.least("n_a", "n_b"))
+        best = scored.where("score > 0").orderBy(F.desc("score"), "group_a", "group_b").select("group_a", "group_b").first()
+        pair = best or (first, sizes.where(F.col("group_id") > first).agg(F.min("group_id")).first()[0])
+        home = F.when(F.col("group_id") == pair[1], F.lit(pair[0])).otherwise(F.col("group_id"))
+        groups = materialize(groups.select(home.cast("int").alias("group_id"), "contig_id").distinct(), "groups")
+    numbers = in_order(sizes.select("group_id"), F.col("group_id")).select("group_id", F.col("place").cast("int").alias("number"))
+    return groups.join(numbers, "group_id").select(F.col("number").alias("group_id"), "contig_id")
+
 
+def marks_of(ranked: DataFrame, groups: DataFrame, limit: int, apart: bool) -> DataFrame:
+    """``(contig_id, group_id, mark)``: each contig's best group and its evidence, as of :func:`evidence`; contigs without any are left out.
 
-def core_groups(ranked: DataFrame, seeds: DataFrame, window: int, k: int, near: Neighbours) -> list[set[int]]:
-    """Core groups of one window; none where no two kernels share two contigs."""
+    While no contig is in two groups (``apart``) this is an aggregate; else a contig's neighbours are gone through in their order.
+    """
+    if apart:
+        found = G.group_evidence(ranked, groups, limit)
+    else:
+        homes = groups.groupBy(F.col("contig_id").alias("dst")).agg(F.sort_array(F.collect_set("group_id")).alias("homes"))
+        near = ranked.join(homes, "dst").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rnk", "weight", "homes"))).alias("near"))
+
+        @F.udf("array<struct<group_id: int, mark: double>>", useArrow=True)
+        def evidence_of(near: list) -> list:
+            marks: dict[int, float] = {}
+            used: dict[int, int] = {}
+            for _, weight, homes in near:
+                home = next((g for g in homes if used.get(g, 0) < limit), None)
+                if home is not None:
+                    marks[home] = marks.get(home, 0.0) + weight
+                    used[home] = used.get(home, 0) + 1
+            return sorted(marks.items())
+
+        found = near.select(F.col("src").alias("contig_id"), F.explode(evidence_of("near")).alias("x")).select("contig_id", "x.*")
+    best = found.groupBy("contig_id").agg(F.max(F.struct("mark", (-F.col("group_id")).alias("g"))).alias("best"))
+    return best.select("contig_id", (-F.col("best.g")).cast("int").alias("group_id"), F.col("best.mark").alias("mark"))
+
+
+def assign_rest(groups: DataFrame, ranked: DataFrame, ahead: int = AHEAD) -> DataFrame:
+    """:func:`assigned` for groups (group_id, contig_id) and ranked edges (src, dst, weight, rnk), in rounds.
+
+    A round finds each remaining contig's best group and makes, of the first ``ahead`` moves in order, all those that no
+    move before them can change: evidence only grows, so a contig that has edges to contigs that move can at most gain their
+    weights. What that could bring before a later move, or the smallest group's growth, ends the round. One move is
+    always made. The driver holds those moves and the groups' sizes.
+    """
+    spark = groups.sparkSession
+    homed = groups.groupBy("contig_id").count()
+    apart = not homed.where("count > 1").limit(1).count()
+    sizes = {r["group_id"]: r["n"] for r in groups.groupBy("group_id").agg(F.count("*").alias("n")).collect()}
+    with Scratch(spark) as scratch:
+        folder = scratch.folder("assigned")
+        groups = scratch.part(groups.select(F.col("group_id").cast("int"), F.col("contig_id").cast("bigint")), folder, 0)
+        schema = groups.schema
+        open_ = scratch.table(ranked.join(groups.select(F.col("contig_id").alias("src")), "src", "left_anti"), "open")
+        for done in count(1):
+            held = spark.read.schema(schema).parquet(folder).select("group_id", "contig_id")
+            limit = min(sizes.values())
+            marks = scratch.table(marks_of(open_, held, limit, apart), "marks")
+            moves = marks.orderBy(F.desc("mark"), "contig_id").limit(ahead).collect()
+            if not moves:
+                break
+            if len(moves) > 1:
+                moves = moves[: _settled(open_, marks, moves)]
+            taken = []
+            for m in moves:
+                taken.append((m["group_id"], m["contig_id"]))
+                sizes[m["group_id"]] += 1
+                if min(sizes.values()) > limit:
+                    break
+            gone = scratch.part(spark.createDataFrame(taken, schema), folder, done)
+            open_ = scratch.table(open_.join(F.broadcast(gone.select(F.col("contig_id").alias("src"))), "src", "left_anti"), "open")
+        return materialize(spark.read.schema(schema).parquet(folder).select("group_id", "contig_id"), "assigned")
+
+
+def _settled(open_: DataFrame, marks: DataFrame, moves: list) -> int:
+    """How many of the first moves in order surely come in that order, with these groups and marks."""
+    spark = open_.sparkSession
+    at = spark.createDataFrame([(m["contig_id"], i, m["mark"]) for i, m in enumerate(moves)], "dst bigint, i int, key double")
+    order = F.array(*(F.struct(F.lit(m["mark"]).alias("mark"), F.lit(m["contig_id"]).alias("id")) for m in moves))
+    gain = open_.join(F.broadcast(at), "dst").groupBy("src").agg(F.min("i").alias("i"), F.sum("weight").alias("gain"))
+    most = gain.join(marks.select(F.col("contig_id").alias("src"), "mark"), "src", "left").select("src", "i", (F.coalesce("mark", F.lit(0.0)) + F.col("gain")).alias("most"))
+    before = F.size(F.filter(order, lambda m: (m["mark"] > F.col("most")) | (m["mark"] == F.col("most")) & (m["id"] < F.col("src"))))
+    return most.agg(F.min(F.greatest(F.col("i") + 1, before))).first()[0] or len(moves)
+
+
+def core_groups(ranked: DataFrame, seeds: DataFrame, window: int) -> DataFrame | None:
+    """Core groups (group_id, contig_id) of one window, before they are merged; None where no two kernels share two contigs."""
     numbered = G.numbered_candidates(G.kernel_candidates(G.edge_votes(ranked, seeds, window)))
-    rows = _bounded(G.kernel_intersections(numbered), MAX_INTERSECTIONS, "intersections of kernels")
-    if not rows:
-        return []
-    return merged(connected(absorbed([(r.set_a, r.set_b, tuple(r.ids)) for r in rows])), k, near)
+    shared = materialize(G.kernel_intersections(numbered), "intersections")
+    return None if shared.isEmpty() else materialize(connected(absorbed(shared)), "core-groups")
 
 
-def partition(contigs: DataFrame, edges: DataFrame, k: int, *, heaviest_first: bool = False, steepest: bool = False) -> DataFrame:
+def _in_steps(core: DataFrame, both: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    return assign_rest(merge_groups(core, both, k), ranked)
+
+
+def _at_once(core: DataFrame, ranked: list, ids: list[int], k: int) -> DataFrame:
+    """:func:`_in_steps` for a graph of few edges, whose steps cost less than a job each: they are made one after another."""
+    order: dict[int, list[tuple[int, float]]] = {}
+    for r in ranked:
+        order.setdefault(r.src, []).append((r.dst, r.weight))
+    near = Neighbours(order)
+    sets: dict[int, set[int]] = {}
+    for g, c in core.collect():
+        sets.setdefault(g, set()).add(c)
+    groups = assigned(merged([sets[g] for g in sorted(sets)], k, near), ids, near)
+    return core.sparkSession.createDataFrame([(g, c) for g, held in enumerate(groups) for c in sorted(held)], "group_id int, contig_id bigint")
+
+
+def partition(contigs: DataFrame, edges: DataFrame, k: int, *, heaviest_first: bool = False, steepest: bool = False, few: int = FEW) -> DataFrame:
     """``(group_id, contig_id)``: contigs (id, length) in ``k`` groups by their edges (start, end, weight).
 
     Windows from ``min(k, 3)`` to the greater of ``k`` and the largest trusted position are tried in turn; the most
     balanced result stays, and the first window that is no better ends the search. Windows without core groups are
     passed over. With k < 2 all contigs are one group. Contigs without evidence stay out.
+
+    The driver holds a number for each group. A graph of ``few`` directed edges and contigs at most is merged and assigned at
+    once; the results are the same.
     """
-    spark = contigs.sparkSession
-    lengths = {r.id: r.length for r in _bounded(contigs.select("id", "length"), MAX_EDGES, "contigs")}
+    kind = contigs.schema["id"].dataType
     if k < 2:
         return contigs.select(F.lit(0).alias("group_id"), F.col("id").alias("contig_id"))
-    both = directed(edges)
-    ranked = G.adjacency_rank(both).persist()
-    order: dict[int, list[tuple[int, float]]] = {}
-    for r in sorted(_bounded(ranked, MAX_EDGES, "directed edges"), key=lambda r: (r.src, r.rnk)):
-        order.setdefault(r.src, []).append((r.dst, r.weight))
-    near = Neighbours(order)
-    seeds = G.seed_contigs(G.top_trust_edges(both, len(lengths)), len(lengths), heaviest_first).persist()
+    contigs = materialize(contigs.select(F.col("id").cast("bigint"), "length"), "contigs")
+    n = contigs.count()
+    both = materialize(directed(edges).select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"), "weight"), "directed")
+    ranked = materialize(G.adjacency_rank(both), "ranked")
+    small = ranked.count() + n <= few
+    near, ids = (ranked.orderBy("src", "rnk").collect(), [r.id for r in contigs.select("id").collect()]) if small else ([], [])
+    seeds = materialize(G.seed_contigs(G.top_trust_edges(both, n), n, heaviest_first), "seeds")
     top = G.trust_positions(ranked, contigs, steepest).agg(F.max("trust_pos")).first()[0] or 1
-    result: list[set[int]] = []
-    best = math.inf
+    result, best = None, math.inf
     for window in range(min(k, 3), max(k, top) + 1):
-        core = core_groups(ranked, seeds, window, k, near)
-        if not core:
+        core = core_groups(ranked, seeds, window)
+        if core is None:
             continue
-        groups = assigned(core, list(lengths), near)
-        mark = balance(groups, lengths)
-        if mark >= best:
+        groups = _at_once(core, near, ids, k) if small else _in_steps(core, both, ranked, k)
+        mark = G.partition_balance(G.group_lengths(groups, contigs)).first()[0]
+        if mark is None or mark >= best:
             break
         best, result = mark, groups
-    ranked.unpersist()
-    seeds.unpersist()
-    rows = [(g, c) for g, ids in enumerate(result) for c in sorted(ids)]
-    return spark.createDataFrame(rows, "group_id int, contig_id int")
+    if result is None:
+        return contigs.select(F.lit(0).alias("group_id"), F.col("id").cast(kind).alias("contig_id")).limit(0)
+    return result.select("group_id", F.col("contig_id").cast(kind).alias("contig_id"))

@@ -12,7 +12,7 @@ from tessera.operators import align, contacts, motif, pairing, segments, split
 from tessera.operators import edges as E
 from tessera.operators import graph as G
 from tessera.operators.components import connected_components
-from tessera.operators.partition import partition
+from tessera.operators.partition import absorbed, assign_rest, connected, merge_groups, partition
 from tessera.session import fresh_path, materialize, table, until_exit
 from tessera.sources import binary
 from tessera.sources.text import allele_table, read_fasta, read_fastq_pairs, read_lines, write_fasta, write_lines
@@ -422,6 +422,67 @@ def _(spark, sf_dir):
     return connected_components(edge_table(spark, sf_dir).where("start <> end"), "start", "end")
 
 
+MARK_SQL = KERNEL_SQL + """, fixed AS (SELECT DISTINCT ids FROM shared),
+mark AS (SELECT ids, row_number() OVER (ORDER BY len(ids) DESC, ids) - 1 AS mark FROM fixed s WHERE NOT EXISTS (SELECT 1 FROM fixed p WHERE p.ids <> s.ids AND list_has_all(p.ids, s.ids))),
+homed AS (SELECT s.set_a, s.set_b, min(m.mark) AS mark FROM shared s JOIN mark m ON list_has_all(m.ids, s.ids) GROUP BY ALL),
+taken AS (SELECT mark, set_a AS set_id FROM homed UNION SELECT mark, set_b FROM homed)"""
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return absorbed(G.kernel_intersections(G.numbered_candidates(kernels(spark, sf_dir))))
+
+
+@query("absorbed_kernels", f"WITH {MARK_SQL} SELECT mark, array_to_string(ids, ',') AS ids, string_agg(set_id, ',' ORDER BY set_id) AS set_ids FROM mark JOIN taken USING (mark) GROUP BY ALL")
+def _(spark, sf_dir):
+    return marked(spark, sf_dir).select("mark", F.array_join("ids", ",").alias("ids"), F.array_join("set_ids", ",").alias("set_ids"))
+
+
+@query("core_groups", f"""WITH RECURSIVE {MARK_SQL}, joined AS (SELECT DISTINCT x.mark AS a, y.mark AS b FROM taken x JOIN taken y USING (set_id)),
+reach AS (SELECT a, b FROM joined UNION SELECT r.a, j.b FROM reach r JOIN joined j ON j.a = r.b),
+comp AS (SELECT a AS mark, min(b) AS c FROM reach GROUP BY a), member AS (SELECT DISTINCT c, unnest(ids) AS contig_id FROM mark JOIN comp USING (mark)),
+num AS (SELECT c, row_number() OVER (ORDER BY min(contig_id), c) - 1 AS group_id FROM member GROUP BY c)
+SELECT group_id::INT AS group_id, contig_id FROM member JOIN num USING (c)""")
+def _(spark, sf_dir):
+    return connected(marked(spark, sf_dir))
+
+
+# Contacts between suppliers as they are counted: whole numbers, whose sums depend on no order.
+COUNT_SQL = PAIR_SQL + """, counted AS (SELECT least(ref_id, next_ref_id) AS a, greatest(ref_id, next_ref_id) AS b, count(*)::DOUBLE AS weight FROM pair GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM counted WHERE a <> b UNION ALL SELECT b, a, weight FROM counted WHERE a <> b)"""
+
+
+def counted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = E.edge_counts(E.inter_contig(pairs(spark, sf_dir)))
+    return materialize(E.directed(counts.select(F.col("start").cast("bigint"), F.col("end").cast("bigint"), F.col("n").cast("double").alias("weight"))), "counted")
+
+
+# The suppliers of 25 nations merged to 15 groups. The SQL holds a list of each supplier's group and goes a step a row.
+@query("merged_groups", f"""WITH RECURSIVE {COUNT_SQL}, st AS (SELECT 0 AS k, (SELECT list(s_nationkey ORDER BY s_suppkey) FROM supplier) AS g, (SELECT list(s_suppkey ORDER BY s_suppkey) FROM supplier) AS c
+  UNION ALL SELECT st.k + 1, list_transform(st.g, lambda x: CASE WHEN x = best.b THEN best.a ELSE x END), st.c FROM st, (
+    WITH m AS (SELECT unnest(c) AS c, unnest(g) AS g FROM st), sz AS (SELECT g, count(*) AS n FROM m GROUP BY g),
+    e AS (SELECT x.g AS a, y.g AS b, weight, row_number() OVER (PARTITION BY x.g, y.g ORDER BY weight DESC) AS r FROM near JOIN m x ON x.c = dst JOIN m y ON y.c = src WHERE x.g < y.g),
+    sc AS (SELECT a, b, sum(weight) AS w FROM e WHERE r <= (SELECT min(n) FROM sz) GROUP BY a, b)
+    SELECT a, b FROM sc JOIN sz p ON p.g = a JOIN sz q ON q.g = b WHERE (SELECT count(*) FROM sz) > 15 ORDER BY w / least(p.n, q.n) DESC, a, b LIMIT 1) best),
+m AS (SELECT unnest(c) AS c, unnest(g) AS g FROM (SELECT * FROM st ORDER BY k DESC LIMIT 1))
+SELECT (dense_rank() OVER (ORDER BY g) - 1)::INT AS group_id, c::BIGINT AS contig_id FROM m""")
+def _(spark, sf_dir):
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("group_id"), F.col("s_suppkey").cast("bigint").alias("contig_id"))
+    return merge_groups(nations, counted_edges(spark, sf_dir), 15)
+
+
+# Suppliers of no group go to one by their contacts, in the order of their evidence. The SQL holds a list of the groups and goes a move a row.
+@query("assigned_groups", f"""WITH RECURSIVE {COUNT_SQL}, {GROUP_SQL}, one AS (SELECT s_suppkey AS c, coalesce(group_id, -1) AS g FROM supplier LEFT JOIN grp ON contig_id = s_suppkey),
+st AS (SELECT 0 AS k, (SELECT list(g ORDER BY c) FROM one) AS g, (SELECT list(c ORDER BY c) FROM one) AS c
+  UNION ALL SELECT st.k + 1, list_transform(st.g, lambda x, i: CASE WHEN st.c[i] = best.src THEN best.g ELSE x END), st.c FROM st, (
+    WITH m AS (SELECT unnest(c) AS c, unnest(g) AS g FROM st), lim AS (SELECT min(n) AS l FROM (SELECT count(*) AS n FROM m WHERE g >= 0 GROUP BY g)),
+    e AS (SELECT src, y.g, weight, row_number() OVER (PARTITION BY src, y.g ORDER BY weight DESC, dst) AS r FROM near JOIN m x ON x.c = src AND x.g = -1 JOIN m y ON y.c = dst AND y.g >= 0)
+    SELECT src, g FROM e WHERE r <= (SELECT l FROM lim) GROUP BY src, g ORDER BY sum(weight) DESC, src, g LIMIT 1) best),
+m AS (SELECT unnest(c) AS c, unnest(g) AS g FROM (SELECT * FROM st ORDER BY k DESC LIMIT 1))
+SELECT g::INT AS group_id, c::BIGINT AS contig_id FROM m WHERE g >= 0""")
+def _(spark, sf_dir):
+    return assign_rest(groups(spark, sf_dir), materialize(G.adjacency_rank(counted_edges(spark, sf_dir)), "ranked"))
+
+
 @query("partition_groups")
 def _(spark, sf_dir):
     return partition(lengths(spark, sf_dir), materialize(edge_table(spark, sf_dir), "edges"), 3)

@@ -98,12 +98,113 @@ def test_assignment_against_the_definition():
         assert P.assigned(groups, list(range(n)), near) == slow_assigned(groups, list(range(n)), near)
 
 
+def absorbed_model(intersections):
+    """As defined: largest first, each joins the first mark that contains it."""
+    marks = []
+    for a, b, ids in sorted(intersections, key=lambda x: (-len(x[2]), x[2], x[0], x[1])):
+        home = next((m for m in marks if m[0].issuperset(ids)), None)
+        if home is None:
+            marks.append((set(ids), {a, b}))
+        else:
+            home[1].update((a, b))
+    return marks
+
+
+def connected_model(marks):
+    """As defined: marks that share a candidate are united until none do."""
+    left = [(set(ids), set(sets), k) for k, (ids, sets) in enumerate(marks)]
+    groups = []
+    while left:
+        ids, sets, first = left.pop(0)
+        while near := [m for m in left if m[1] & sets]:
+            for m in near:
+                ids |= m[0]
+                sets |= m[1]
+                left.remove(m)
+        groups.append((min(ids), first, ids))
+    return [g[2] for g in sorted(groups, key=lambda g: g[:2])]
+
+
+def intersections_of(rng, n):
+    found = {(a, b): tuple(sorted(rng.sample(range(15), rng.choice([2, 2, 3, 5])))) for a in range(n) for b in range(a + 1, n) if rng.random() < 2.5 / n}
+    return [(a, b, ids) for (a, b), ids in found.items()]
+
+
+def long_form(spark, groups):
+    return spark.createDataFrame([(g, c) for g, ids in enumerate(groups) for c in ids], "group_id int, contig_id long")
+
+
+def sets_of(df):
+    groups = {}
+    for g, c in df.select("group_id", "contig_id").collect():
+        groups.setdefault(g, set()).add(c)
+    return [groups[g] for g in sorted(groups)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_absorption_and_components(spark, seed):
+    found = intersections_of(random.Random(seed), 14)
+    df = P.absorbed(spark.createDataFrame([(a, b, list(ids)) for a, b, ids in found], "set_a int, set_b int, ids array<int>"))
+    want = absorbed_model(found)
+    assert [(set(r["ids"]), set(r["set_ids"])) for r in df.orderBy("mark").collect()] == want
+    assert sets_of(P.connected(df)) == connected_model(want)
+
+
+def graph(spark, rng, n, share, weights=4):
+    edges = [(a, b, float(rng.randint(1, weights))) for a in range(n) for b in range(a) if rng.random() < share]
+    both = directed(spark.createDataFrame(edges, "start long, end long, weight double"))
+    ranked = G.adjacency_rank(both).persist()
+    order = {}
+    for r in ranked.orderBy("src", "rnk").collect():
+        order.setdefault(r.src, []).append((r.dst, r.weight))
+    return both, ranked, P.Neighbours(order)
+
+
+@pytest.mark.parametrize("seed, overlap", [(1, False), (2, True)])
+def test_merging_in_steps(spark, seed, overlap):
+    rng = random.Random(seed)
+    both, _, near = graph(spark, rng, 16, 0.2)
+    groups = [{2 * i, 2 * i + 1} | ({rng.randrange(16)} if overlap else set()) for i in range(6)]
+    assert sets_of(P.merge_groups(long_form(spark, groups), both, 3)) == P.merged(groups, 3, near)
+
+
+def test_merging_without_edges(spark):
+    both, _, near = graph(spark, random.Random(3), 16, 0.03)
+    groups = [{2 * i, 2 * i + 1} for i in range(5)]
+    assert sets_of(P.merge_groups(long_form(spark, groups), both, 2)) == P.merged(groups, 2, near)
+
+
+@pytest.mark.parametrize("seed, groups, share, weights", [(4, [{0, 1}, {2, 3, 4}], 0.15, 3), (5, [{0, 1, 2}, {2, 3, 4}], 0.3, 2), (6, [{0}, {5}, {9}], 0.08, 50)])
+def test_assignment_in_rounds(spark, seed, groups, share, weights):
+    _, ranked, near = graph(spark, random.Random(seed), 22, share, weights)
+    assert sets_of(P.assign_rest(long_form(spark, groups), ranked)) == slow_assigned(groups, list(range(22)), near)
+
+
+def test_rounds_make_many_moves(spark, monkeypatch):
+    # Two stars: no contig that moves has an edge to another, so all moves are one round's but for the growth of the smallest group.
+    edges = [(c % 2, c, float(c)) for c in range(2, 42)]
+    ranked = G.adjacency_rank(directed(spark.createDataFrame(edges, "start long, end long, weight double")))
+    rounds = []
+    settled = P._settled
+    monkeypatch.setattr(P, "_settled", lambda *a: rounds.append(1) or settled(*a))
+    got = sets_of(P.assign_rest(long_form(spark, [{0}, {1, 50, 51, 52}]), ranked))
+    assert got == [{c for c in range(42) if c % 2 == 0}, {c for c in range(42) if c % 2} | {50, 51, 52}]
+    assert len(rounds) < 25
+
+
 def test_merging():
     near = P.Neighbours({0: [(2, 5.0)], 2: [(0, 5.0)], 4: [(0, 1.0)], 1: [], 3: []})
     assert P.merged([{0, 1}, {2, 3}, {4}], 2, near) == [{0, 1, 2, 3}, {4}]
-    assert P.absorbed([(0, 1, (1, 2, 3)), (1, 2, (1, 2)), (3, 4, (8, 9))]) == [({1, 2, 3}, {0, 1, 2}), ({8, 9}, {3, 4})]
-    assert P.connected([({1, 2}, {0, 1}), ({5, 6}, {3, 4}), ({2, 7}, {1, 2})]) == [{1, 2, 7}, {5, 6}]
-    assert P.balance([{0}, {1, 2}], {0: 4, 1: 1, 2: 1}) == 1.0
+
+
+def test_partition_in_steps_is_partition_at_once(spark):
+    rng = random.Random(9)
+    edges = [(a, b, float(rng.randint(1, 3) + 6 * (a // 9 == b // 9))) for a in range(18) for b in range(a) if a // 9 == b // 9 and rng.random() < 0.8 or rng.random() < 0.1]
+    contigs = spark.createDataFrame([(i, 100 + i) for i in range(18)], "id int, length int")
+    table = spark.createDataFrame(edges, "start int, end int, weight double")
+    want = P.partition(contigs, table, 2, heaviest_first=True).collect()
+    got = P.partition(contigs, table, 2, heaviest_first=True, few=0).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_blocks_are_not_mixed(spark):
