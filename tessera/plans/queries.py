@@ -551,12 +551,12 @@ def written(spark: SparkSession, name: str, write: Callable[[str], None]) -> str
 
 @query("flat_edges", f'WITH {EDGE_SQL} SELECT "start", "end", weight FROM edge')
 def _(spark, sf_dir):
-    return binary.read_edges(spark, written(spark, "edges", lambda path: binary.write_edges(edge_table(spark, sf_dir), path)))
+    return binary.load_flat(spark, written(spark, "edges", lambda path: binary.save_flat(edge_table(spark, sf_dir), path, "edges")), "edges")
 
 
 @query("flat_pairs", f"WITH {PAIR_SQL} SELECT ref_id, pos, next_ref_id, next_pos FROM pair WHERE ref_id <> next_ref_id")
 def _(spark, sf_dir):
-    return binary.read_pairs(spark, written(spark, "pairs", lambda path: binary.write_pairs(E.inter_contig(pairs(spark, sf_dir)), path)))
+    return binary.load_flat(spark, written(spark, "pairs", lambda path: binary.save_flat(E.inter_contig(pairs(spark, sf_dir)), path, "pairs")), "pairs")
 
 
 @query("flat_invalid", "SELECT l_suppkey::INT AS contig_id FROM lineitem GROUP BY 1 HAVING count(*) < 600")
@@ -581,6 +581,14 @@ def _(spark, sf_dir):
     return binary.read_mapping(spark, paths).select("ref_name", "pos", "next_ref_name", "next_pos", "mapq")
 
 
+@query("bam_good_records", f"WITH {RECORD_SQL} SELECT ref_name, CASE WHEN pos >= 0 THEN pos END AS pos, mapq::SMALLINT AS mapq FROM record WHERE mapq >= 40 AND mapq <> 255")
+def _(spark, sf_dir):
+    contigs = [(r["name"], 1 << 20) for r in flags(spark, sf_dir).orderBy("id").collect()]  # three flags
+    paths: list[str] = []
+    written(spark, "bam", lambda path: paths.extend(binary.write_bam(flagged(spark, sf_dir), contigs, path)))
+    return align.quality_filter(binary.read_mapping(spark, paths, ["ref_name", "pos", "mapq"]), 40)
+
+
 @query(
     "fasta_round_trip",
     "SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS id, p_name || ' ' || p_brand AS name, repeat(p_type, 3) AS seq, 3 * length(p_type)::INT AS length FROM part",

@@ -13,7 +13,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    IsNotNull,
+    Not,
+    WriterCommitMessage,
+)
 
 #: Bytes read at a time, and of a BAM file for one task.
 READ, SPLIT = 4 << 20, 64 << 20
@@ -164,9 +176,9 @@ def _bam_header(stream) -> tuple[list[str], int]:
     return names, size + text
 
 
-def _fields(data: bytes, at: list[int], names: pa.Array) -> list[pa.Array]:
-    """ref_name, pos, next_ref_name, next_pos and mapq of the records that start at places of ``data``; an unknown one is null."""
-    raw, start = np.frombuffer(data, np.uint8), np.asarray(at, np.int64)
+def _fields(data: bytes, start: np.ndarray, names: pa.Array, columns: list[str]) -> dict[str, pa.Array]:
+    """Those of ref_name, pos, next_ref_name, next_pos and mapq that are asked for, of the records that start at places of ``data``; an unknown one is null."""
+    raw = np.frombuffer(data, np.uint8)
 
     def number(offset: int) -> np.ndarray:
         return np.ascontiguousarray(raw[start[:, None] + np.arange(offset, offset + 4)]).view("<i4").ravel()
@@ -174,12 +186,22 @@ def _fields(data: bytes, at: list[int], names: pa.Array) -> list[pa.Array]:
     def known(values: np.ndarray) -> pa.Array:
         return pa.array(values, pa.int32(), mask=values < 0)
 
-    return [names.take(known(number(4))), known(number(8)), names.take(known(number(24))), known(number(28)), pa.array(raw[start + 13].astype(np.int16))]
+    decoded = {
+        "ref_name": lambda: names.take(known(number(4))),
+        "pos": lambda: known(number(8)),
+        "next_ref_name": lambda: names.take(known(number(24))),
+        "next_pos": lambda: known(number(28)),
+        "mapq": lambda: pa.array(raw[start + 13].astype(np.int16)),
+    }
+    return {c: decode() for c, decode in decoded.items() if c in columns}
 
 
-def bam_range(file, size: int, low: int, high: int, names: list[str], header: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+def bam_range(
+    file, size: int, low: int, high: int, names: list[str], header: int, columns: list[str], least: int = 0, without: set[int] = frozenset()
+) -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
     """(virtual places, fields) of the records that start in a block of [low, high); ``header`` bytes of data precede the first one.
 
+    Of records with a quality below ``least``, or one of ``without``, no field is decoded.
     Fails where the last record doesn't end at the place at which the next range takes its first one to start.
     """
     if low:
@@ -199,7 +221,7 @@ def bam_range(file, size: int, low: int, high: int, names: list[str], header: in
         of = np.searchsorted(inner, k, side="right") - 1
         return outer[of] << 16 | (k - inner[of])
 
-    def taken() -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    def taken() -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
         nonlocal data, starts, at, last
         found: list[int] = []
         limit = next((k for k, place in starts if place >= high), None)
@@ -212,7 +234,11 @@ def bam_range(file, size: int, low: int, high: int, names: list[str], header: in
         if limit is not None and limit <= at < len(data):
             last = int(virtual(np.array([at]))[0])
         if found:
-            yield virtual(np.array(found)), _fields(data, found, values)
+            kept = np.array(found, np.int64)
+            if least or without:
+                quality = np.frombuffer(data, np.uint8)[kept + 13].astype(np.int64)
+                kept = kept[(quality >= least) & ~np.isin(quality, list(without))]
+            yield virtual(kept), _fields(data, kept, values, columns)
         # What is left of the data begins with the block in which the next record starts, if that is there.
         keep = max((i for i, (k, _) in enumerate(starts) if k <= at), default=0)
         cut = starts[keep][0] if starts else 0
@@ -235,8 +261,27 @@ def bam_range(file, size: int, low: int, high: int, names: list[str], header: in
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], split: int) -> None:
+    """``columns`` are those that are read. Bounds on the quality that a query pushes drop records before their other fields are decoded."""
+
+    def __init__(self, paths: list[str], split: int, columns: list[str] | None = None) -> None:
         self.paths, self.split = paths, split
+        self.columns = columns or [f.split()[0] for f in BAM_SCHEMA.split(", ")]
+        self.least, self.without = 0, set()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes mapq >= x, mapq > x and mapq <> x, which need a record's quality byte alone; gives back all others."""
+        for f in filters:
+            match f:
+                case GreaterThanOrEqual(("mapq",), value):
+                    self.least = max(self.least, value)
+                case GreaterThan(("mapq",), value):
+                    self.least = max(self.least, value + 1)
+                case Not(EqualTo(("mapq",), value)):
+                    self.without.add(value)
+                case IsNotNull(("mapq",)):
+                    pass  # it never is
+                case _:
+                    yield f
 
     def partitions(self) -> list[InputPartition]:
         """(path, low, high) of each range of each file; a file that isn't in BGZF blocks is one."""
@@ -255,15 +300,17 @@ class BamReader(DataSourceReader):
         with store.open_input_stream(at, compression=None) as stream:
             names, header = _bam_header(stream)
         with store.open_input_file(at) as file:
-            for places, fields in bam_range(file, file.size(), low, high, names, header):
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(places), pa.string()), pa.array(places), *fields], schema=schema)
+            for places, fields in bam_range(file, file.size(), low, high, names, header, self.columns, self.least, self.without):
+                found = {"file": pa.array([path] * len(places), pa.string()), "rec_no": pa.array(places), **fields}
+                yield pa.RecordBatch.from_arrays([found[c] for c in self.columns], schema=pa.schema([schema.field(c) for c in self.columns]))
 
 
 class BamSource(DataSource):
     """``spark.read.format("bam")`` with the option ``paths``, separated by commas.
 
     A task reads a range of ``split`` bytes of a file (0: a whole file), which begins and ends where records do. ``rec_no`` is a
-    record's virtual place: it grows along the file, but isn't dense.
+    record's virtual place: it grows along the file, but isn't dense. The option ``columns``, separated by commas, names those to
+    decode (all); bounds on ``mapq`` reach the reader while ``spark.sql.python.filterPushdown.enabled`` is set.
     """
 
     @classmethod
@@ -271,19 +318,24 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return BAM_SCHEMA
+        kinds = dict(f.split() for f in BAM_SCHEMA.split(", "))
+        return ", ".join(f"{c} {kinds[c]}" for c in self._columns() or kinds)
+
+    def _columns(self) -> list[str]:
+        return [c for c in (self.options.get("columns") or "").split(",") if c]
 
     def reader(self, schema) -> DataSourceReader:
-        return BamReader([p for p in (self.options.get("paths") or self.options["path"]).split(",") if p], int(self.options.get("split") or SPLIT))
+        return BamReader([p for p in (self.options.get("paths") or self.options["path"]).split(",") if p], int(self.options.get("split") or SPLIT), self._columns())
 
 
-def read_mapping(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Alignment records of files, by their suffix (.bam)."""
+def read_mapping(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Alignment records of files, by their suffix (.bam). ``columns`` are those that are decoded; filters on mapq are pushed into the scan."""
     for p in paths:
         if not p.endswith(".bam") and not os.path.basename(p).startswith("part-"):
             raise ValueError(f"no reader for {p!r}")
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("paths", ",".join(paths)).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("bam").option("paths", ",".join(paths)).option("columns", ",".join(columns or [])).load()
 
 
 def _records(spark: SparkSession, path: str, kind: np.dtype, head: int, per_task: int = 1 << 20) -> DataFrame:
@@ -411,6 +463,112 @@ def write_contigs(contigs: DataFrame, path: str) -> None:
     _written(contigs.select("id", "name", F.col("length").cast("int").alias("length")).orderBy("id"), path, encode, True)
 
 
+#: Flat tables by kind.
+KINDS = {"edges": _EDGE, "pairs": _PAIR, "invalid": _INVALID}
+_LIST = "_parts"
+
+
+class _Part(WriterCommitMessage):
+    def __init__(self, name: str, n: int) -> None:
+        self.name, self.n = name, n
+
+
+class FlatWriter(DataSourceArrowWriter):
+    """A part file for each task; the list of those that are part of the table is written when all tasks have ended well."""
+
+    def __init__(self, folder: str, kind: str, overwrite: bool) -> None:
+        self.folder, self.kind, self.overwrite = folder, kind, overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, root = open_path(self.folder)
+        store.create_dir(root, recursive=True)
+        encode, name, n = _fixed(KINDS[self.kind]), f"part-{uuid.uuid4().hex}", 0
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+            for batch in iterator:
+                out.write(encode(batch))
+                n += batch.num_rows
+        return _Part(name, n)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, root = open_path(self.folder)
+        store.create_dir(root, recursive=True)
+        old = [] if self.overwrite else listed(self.folder)
+        parts = sorted((m.name, m.n) for m in messages if m is not None)
+        with store.open_output_stream(f"{root}/{_LIST}", compression=None) as out:
+            out.write("".join(f"{name} {n}\n" for name, n in [*old, *parts]).encode())
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Deletes the parts of tasks that ended; those of killed tries stay, but no list names them."""
+        store, root = open_path(self.folder)
+        for m in messages:
+            if m is not None:
+                store.delete_file(f"{root}/{m.name}")
+
+
+def listed(folder: str) -> list[tuple[str, int]]:
+    """(name, records) of the parts of a table; none where no write has ended."""
+    store, root = open_path(folder)
+    if not store.get_file_info(f"{root}/{_LIST}").is_file:
+        return []
+    with store.open_input_stream(f"{root}/{_LIST}", compression=None) as held:
+        return [(name, int(n)) for name, n in (line.split() for line in held.read().decode().splitlines())]
+
+
+class FlatReader(DataSourceReader):
+    def __init__(self, folder: str, kind: str, per_task: int) -> None:
+        self.folder, self.kind, self.per_task = folder, kind, per_task
+
+    def partitions(self) -> list[InputPartition]:
+        """(name, first record, records) of ranges of the listed parts."""
+        ranges = [InputPartition((name, k, min(self.per_task, n - k))) for name, n in listed(self.folder) for k in range(0, n, self.per_task)]
+        return ranges or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition.value is None:
+            return
+        (name, first, n), kind = partition.value, KINDS[self.kind]
+        store, root = open_path(self.folder)
+        with store.open_input_file(f"{root}/{name}") as file:
+            file.seek(first * kind.itemsize)
+            rows = np.frombuffer(file.read(n * kind.itemsize), kind)
+        if len(rows) < n:
+            raise ValueError(f"{name} ends before its last record")
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in kind.names], names=list(kind.names))
+
+
+class FlatSource(DataSource):
+    """``format("flat")`` with the options ``path``, a folder, and ``kind``, one of ``KINDS``: records of a fixed size in part files.
+
+    A write is seen once its list of parts is there, whole or not at all; nothing but names and counts passes the driver.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "flat"
+
+    def schema(self) -> str:
+        kind = KINDS[self.options["kind"]]
+        return ", ".join(f"{n} {'double' if kind[n].kind == 'f' else 'int'}" for n in kind.names)
+
+    def reader(self, schema) -> DataSourceReader:
+        return FlatReader(self.options["path"], self.options["kind"], int(self.options.get("records") or 1 << 20))
+
+    def writer(self, schema, overwrite: bool) -> FlatWriter:
+        return FlatWriter(self.options["path"], self.options["kind"], overwrite)
+
+
+def save_flat(df: DataFrame, folder: str, kind: str, mode: str = "append") -> None:
+    """The columns of a kind of flat table, in part files of a folder. A null id or position is -1."""
+    df.sparkSession.dataSource.register(FlatSource)
+    _typed(df, KINDS[kind]).write.format("flat").option("kind", kind).mode(mode).save(folder)
+
+
+def load_flat(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """What :func:`save_flat` wrote; an empty table where no write has ended."""
+    spark.dataSource.register(FlatSource)
+    return spark.read.format("flat").option("kind", kind).load(folder)
+
+
 def _block(data: bytes) -> bytes:
     """A BGZF block of at most 64 KiB of data."""
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)

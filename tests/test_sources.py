@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import cli
 from tessera.sources import binary, text
@@ -164,3 +165,40 @@ def test_paths_and_options():
         cli.P.PartitionConfig(0)
     with pytest.raises(ValueError):
         cli.P.PartitionConfig(2, 1)
+
+
+def test_flat_parts_are_committed_together(spark, rows, tmp_path):
+    folder = str(tmp_path / "pairs")
+    pairs = spark.range(0, 1000, 1, 7).selectExpr("int(id) AS ref_id", "int(id * 2) AS pos", "int(id % 5) AS next_ref_id", "IF(id % 3 = 0, NULL, int(id)) AS next_pos")
+    want = rows(pairs.selectExpr("ref_id", "pos", "next_ref_id", "coalesce(next_pos, -1)"))
+    assert binary.load_flat(spark, folder, "pairs").count() == 0
+    binary.save_flat(pairs, folder, "pairs")
+    assert rows(binary.load_flat(spark, folder, "pairs")) == want and len(binary.listed(folder)) == 7
+    # A write that fails in one task leaves what was there, and no part of its own is seen.
+    fails = pairs.withColumn("pos", F.expr("IF(ref_id = 990, raise_error('no'), pos)").cast("int"))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="no"):
+            binary.save_flat(fails, folder, "pairs", mode)
+        assert rows(binary.load_flat(spark, folder, "pairs")) == want
+    binary.save_flat(pairs.limit(0), folder, "pairs")
+    binary.save_flat(pairs.where("ref_id < 10"), folder, "pairs")
+    assert binary.load_flat(spark, folder, "pairs").count() == 1010
+    binary.save_flat(pairs.where("ref_id < 10"), folder, "pairs", "overwrite")
+    assert rows(binary.load_flat(spark, folder, "pairs")) == want[:10]
+
+
+def test_bam_filters_and_columns_are_pushed(spark, rows, tmp_path):
+    made = spark.range(0, 3000, 1, 2).selectExpr("'c' || (id % 3) AS ref_name", "int(id) AS pos", "'c0' AS next_ref_name", "int(id + 1) AS next_pos", "int(IF(id % 10 = 0, 255, id % 60)) AS mapq")
+    paths = binary.write_bam(made, [("c0", 10_000), ("c1", 10_000), ("c2", 10_000)], str(tmp_path / "bam"))
+    some = binary.read_mapping(spark, paths, ["ref_name", "pos", "mapq"])
+    assert some.columns == ["ref_name", "pos", "mapq"]
+    good = some.where("mapq >= 40 AND mapq <> 255 AND pos < 2000")
+    assert rows(good) == rows(made.where("mapq >= 40 AND mapq <> 255 AND pos < 2000").select("ref_name", "pos", "mapq"))
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    # The bounds on the quality are the scan's; the one on the position is left to Spark.
+    assert "mapq" not in plan.split("Filter", 1)[1].split("\n")[0] and "pos" in plan.split("Filter", 1)[1].split("\n")[0]
+    reader = binary.BamReader(paths, 0, ["pos", "mapq"])
+    left = list(reader.pushFilters([binary.GreaterThanOrEqual(("mapq",), 40), binary.Not(binary.EqualTo(("mapq",), 255)), binary.EqualTo(("pos",), 3)]))
+    assert left == [binary.EqualTo(("pos",), 3)] and (reader.least, reader.without) == (40, {255})
+    read = [b for p in reader.partitions() for b in reader.read(p)]
+    assert {b.schema.names[0] for b in read} == {"pos"} and sum(b.num_rows for b in read) == made.where("mapq >= 40 AND mapq <> 255").count()
