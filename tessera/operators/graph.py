@@ -91,12 +91,26 @@ def numbered_candidates(candidates: DataFrame) -> DataFrame:
     return in_order(candidates, F.desc("subsets"), F.col("ids")).select(F.col("place").cast("int").alias("set_id"), "ids")
 
 
+def sharing_pairs(numbered: DataFrame) -> DataFrame:
+    """``(set_a, set_b)`` for each two sets that share a contig which is neither's commonest: all that share two, and few others.
+
+    Two sets that share two contigs share the rarer of these, and of neither set that is the commonest one. So a
+    contig that very many sets have is the commonest of most of them, and joins none of those.
+    """
+    long = numbered.select("set_id", F.explode("ids").alias("member"))
+    counts = long.groupBy("member").agg(F.count("*").alias("df"))
+    most = long.join(counts, "member").groupBy("set_id").agg(F.max(F.struct("df", "member")).alias("most"))
+    rarer = numbered.join(most, "set_id").select("set_id", F.explode(F.array_remove("ids", F.col("most.member"))).alias("member"))
+    a, b = rarer.select(F.col("set_id").alias("set_a"), "member"), rarer.select(F.col("set_id").alias("set_b"), "member")
+    return a.join(b, "member").where("set_a < set_b").select("set_a", "set_b").distinct()
+
+
 def kernel_intersections(numbered: DataFrame) -> DataFrame:
     """``(set_a, set_b, ids)`` for each two candidates that share more than one contig."""
-    long = numbered.select("set_id", F.explode("ids").alias("member"))
-    a, b = long.select(F.col("set_id").alias("set_a"), "member"), long.select(F.col("set_id").alias("set_b"), "member")
-    shared = a.join(b, "member").where("set_a < set_b").groupBy("set_a", "set_b").agg(F.sort_array(F.collect_list("member")).alias("ids"))
-    return shared.where("size(ids) > 1")
+    numbered = materialize(numbered, "numbered")
+    a, b = numbered.select(F.col("set_id").alias("set_a"), F.col("ids").alias("ids_a")), numbered.select(F.col("set_id").alias("set_b"), F.col("ids").alias("ids_b"))
+    met = sharing_pairs(numbered).join(a, "set_a").join(b, "set_b")
+    return met.select("set_a", "set_b", F.sort_array(F.array_intersect("ids_a", "ids_b")).alias("ids")).where("size(ids) > 1")
 
 
 def group_relation(groups: DataFrame, directed: DataFrame, k: int) -> DataFrame:

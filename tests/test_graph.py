@@ -38,6 +38,15 @@ def test_candidates_and_intersections_against_sets(spark):
     assert got == {k: v for k, v in shared.items() if len(v) > 1}
 
 
+def test_a_contig_of_every_set_makes_no_pairs(spark):
+    # 200 sets have contig 0, and twenty pairs of them one more in common.
+    sets = [(i, [0, 1000 + i // 2 if i < 40 else 2000 + i, 3000 + i]) for i in range(200)]
+    numbered = spark.createDataFrame(sets, "set_id int, ids array<int>")
+    want = [(i, i + 1) for i in range(0, 40, 2)]
+    assert sorted(map(tuple, G.sharing_pairs(numbered).collect())) == want
+    assert sorted((a, b, tuple(ids)) for a, b, ids in G.kernel_intersections(numbered).collect()) == [(a, b, (0, 1000 + a // 2)) for a, b in want]
+
+
 def test_seeds(spark, rows):
     random.seed(6)
     edges = list({(random.randint(0, 19), random.randint(0, 19)): float(random.randint(1, 5)) for _ in range(40)}.items())
