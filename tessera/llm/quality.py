@@ -13,8 +13,9 @@ from tessera.session import materialize
 
 #: Labelled rows that the classifier is fitted to, at most, chosen by hashes of their ids.
 MAX_LABELLED = 20_000
-#: Standard errors by which a word's log odds of a toxic text must exceed 0 to count: chance words of the labelled rows don't.
-MIN_ERRORS = 3.0
+#: The signed root of the likelihood ratio (in normal deviates) from which a word tells of a toxic text: chance words of the labelled
+#: rows lie below. Unlike a bound on standard errors it holds for small counts: a word of 4 of 11 toxic rows and no other is one.
+MIN_ROOT = 4.0
 #: The classifier's features: shares of counts from :func:`tessera.llm.rules.features`, and the evidence of :func:`toxic_evidence`.
 NAMES = ("log_words", "word_length", "symbols", "spaces", "upper", "digits", "other_ascii", "other", "dup_lines", "repeat_words", "common", "toxic_words")
 #: Bounds of the log odds that one text's own evidence can have.
@@ -97,8 +98,8 @@ def _word_hashes(text: Column) -> Column:
 def toxic_words(texts: DataFrame) -> dict[int, float]:
     """The log odds of a toxic text by hashes of words, from (text, toxic) of labelled rows.
 
-    A word counts once a text. Of the words, only those come to the driver whose log odds are ``MIN_ERRORS`` standard
-    errors above 0, so few labelled rows tell few words or none.
+    A word counts once a text. Only those words come to the driver that toxic texts have more often by a likelihood ratio whose root
+    is ``MIN_ROOT`` or more, so few labelled rows tell few words or none.
     """
     n = texts.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in n}
@@ -107,8 +108,15 @@ def toxic_words(texts: DataFrame) -> dict[int, float]:
     met = texts.select("toxic", F.explode(F.array_distinct(_word_hashes(F.col("text")))).alias("word"))
     seen = met.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a > 0")
     odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    told = seen.select("word", odds.alias("odds"), error.alias("error")).where(F.col("odds") >= MIN_ERRORS * F.col("error"))
+    all_, met_ = float(n[0] + n[1]), F.col("a") + F.col("b")
+
+    def part(seen_: Column, expected: Column) -> Column:
+        return F.when(seen_ > 0, seen_ * F.log(seen_ / expected)).otherwise(0.0)
+
+    cells = [(F.col("a"), met_, n[1]), (F.col("b"), met_, n[0]), (n[1] - F.col("a"), all_ - met_, n[1]), (n[0] - F.col("b"), all_ - met_, n[0])]
+    ratio = 2 * sum((part(x, of * size / all_) for x, of, size in cells), F.lit(0.0))
+    more = F.col("a") * n[0] > F.col("b") * n[1]
+    told = seen.where(more & (ratio >= MIN_ROOT**2)).select("word", odds.alias("odds"))
     return {r["word"]: r["odds"] for r in told.orderBy("word").collect()}
 
 

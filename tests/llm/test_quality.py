@@ -83,6 +83,16 @@ def test_few_toxic_labels_tell_no_words(spark):
     assert Q.toxic_words(spark.createDataFrame(rows[1:], "text string, toxic int")) == {}
 
 
+def test_words_of_few_toxic_rows(spark):
+    """Four of eleven toxic rows and none of 76 others tell a word, three don't; nor does one that a sixth of the others have too."""
+    toxic = [("boor lout" if k < 3 else "boor" if k < 4 else "plain", 1) for k in range(11)]
+    rows = [(f"{t} word", x) for t, x in toxic] + [("plain word" if k % 6 else "plain word odd", 0) for k in range(76)]
+    found = Q.toxic_words(spark.createDataFrame(rows, "text string, toxic int"))
+    hashed = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in ("boor", "lout", "odd", "plain", "word")}
+    assert found.keys() == {hashed["boor"]}
+    assert abs(found[hashed["boor"]] - (np.log(4.5 / 12) - np.log(0.5 / 77))) < 1e-9
+
+
 def test_a_text_is_no_evidence_for_its_own_section(spark):
     rows, labels = corpus(400)
     rows = [(i, t, lang, f"alone{i}" if i < 5 else s) for i, t, lang, s in rows]
@@ -102,5 +112,5 @@ def test_held_out_labels_of_the_tables(spark):
     print(of)
     assert of[1, 0][0] > 0.99 * of[1, 0][1]
     toxic = [sum(x) for x in zip(*(v for (_, t), v in of.items() if t), strict=True)]
-    assert toxic[0] < 0.2 * toxic[1]
+    assert toxic[0] <= 0.1 * toxic[1]
     assert of[0, 0][0] < 0.2 * of[0, 0][1]
