@@ -372,22 +372,99 @@ def read_invalid(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path, _INVALID, 8)
 
 
-def read_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, name, length)``: ids are places in the file. One task reads it, as its records differ in size."""
+def _contig_range(path: str, low: int, high: int, entry: int | None = None, rows: list | None = None) -> tuple[int, int, int]:
+    """(first, n, end): where the first record at or after ``low`` starts, how many start before ``high``, and where the last of these ends.
+
+    Without ``entry``, the first record's place is taken to be the first from which one record follows another through the range's
+    end: a guess, which the caller proves. ``n`` is -1 where no whole records follow from ``entry``. ``rows`` gets (name, length) of each record.
+    """
+    store, at = open_path(path)
+    size = store.get_file_info(at).size
+    with store.open_input_file(at) as file:
+        file.seek(low)
+        held = file.read(min(high, size) - low)
+
+        def bytes_at(place: int, n: int) -> bytes:
+            if low <= place and place + n <= low + len(held):
+                return held[place - low : place - low + n]
+            file.seek(place)
+            return file.read(n)
+
+        def follow(place: int, proven: bool) -> tuple[int, int] | None:
+            n = 0
+            while place < min(high, size):
+                head = bytes_at(place, 4)
+                count = struct.unpack("<i", head)[0] if len(head) == 4 else -1
+                whole = count >= 0 and place + 8 + count <= size
+                if not whole or not proven and bytes_at(place + 4 + count, 4)[3] > 127:
+                    return None
+                if rows is not None:
+                    rows.append((bytes_at(place + 4, count).decode(), struct.unpack("<i", bytes_at(place + 4 + count, 4))[0]))
+                place, n = place + 8 + count, n + 1
+            return n, place
+
+        if entry is not None:
+            return entry, *(follow(entry, True) or (-1, high))
+        for place in range(low, min(high, size)):
+            if found := follow(place, False):
+                return place, *found
+    return high, 0, high
+
+
+def contig_ranges(spark: SparkSession, path: str, split: int = READ) -> list[tuple[int, int, int, int]]:
+    """(low, high, first, id) of each range of a contig file: where its first record starts, and that record's id.
+
+    Ranges look for their first record by themselves. It is proven where the range before ends there; a range for which
+    that fails is read again from the place it should start at, until all are proven; each round proves one more at least. A row a
+    range reaches the driver.
+    """
+    store, at = open_path(path)
+    size = store.get_file_info(at).size
+    with store.open_input_file(at) as file:
+        expected = struct.unpack("<q", file.read(8))[0]
+    lows = list(range(8, max(size, 9), split))
+    told: dict[int, tuple[int, int, int]] = {}
+    asked: dict[int, int | None] = dict.fromkeys(lows) | {8: 8}
+    while asked:
+        given = [(low, min(low + split, size), entry) for low, entry in asked.items()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(r["low"], *_contig_range(path, r["low"], r["high"], r["entry"])) for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_pylist([dict(zip(("low", "first", "n", "end"), f, strict=True)) for f in found])
+
+        rows = spark.createDataFrame(given, "low bigint, high bigint, entry bigint").repartition(len(given), "low")
+        told |= {r.low: (r.first, r.n, r.end) for r in rows.mapInArrow(run, "low bigint, first bigint, n bigint, end bigint").collect()}
+        ends = [8, *(told[low][2] for low in lows)]
+        asked = {low: end for low, end in zip(lows, ends, strict=False) if told[low][0] != end}
+    if broken := [told[low][0] for low in lows if told[low][1] < 0]:
+        raise ValueError(f"{path}: no whole records from {broken[0]} on")
+    if sum(told[low][1] for low in lows) != expected or ends[-1] != size:
+        raise ValueError(f"{path}: {expected} records are announced, {sum(t[1] for t in told.values())} are there")
+    out, ids = [], 0
+    for low in lows:
+        out.append((low, min(low + split, size), told[low][0], ids))
+        ids += told[low][1]
+    return out
+
+
+def read_contigs(spark: SparkSession, path: str, split: int = READ) -> DataFrame:
+    """``(id, name, length)``: ids are places in the file. Ranges of ``split`` bytes are read in tasks of their own, see :func:`contig_ranges`.
+
+    A file that ends within a record, or holds other records than it announces, is an error.
+    """
+    ranges = contig_ranges(spark, path, split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                store, at = open_path(name)
-                with store.open_input_stream(at) as stream:
-                    data = _Bytes(iter(lambda: stream.read(READ), b""))
-                    rows = []
-                    for i in range(struct.unpack("<q", data.take(8))[0]):
-                        text = data.take(struct.unpack("<i", data.take(4))[0]).decode()
-                        rows.append({"id": i, "name": text, "length": struct.unpack("<i", data.take(4))[0]})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int32()), ("name", pa.string()), ("length", pa.int32())]))
-
-    return spark.createDataFrame([(path,)], "path string").mapInArrow(run, "id int, name string, length int")
+            for r in batch.to_pylist():
+                rows: list[tuple[str, int]] = []
+                _contig_range(path, r["low"], r["high"], r["first"], rows)
+                ids = np.arange(r["id"], r["id"] + len(rows), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([n for n, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.int32())], names=["id", "name", "length"])
+
+    dealt = spark.createDataFrame(ranges, "low bigint, high bigint, first bigint, id bigint").repartition(len(ranges), "low")
+    return dealt.mapInArrow(run, "id int, name string, length int")
 
 
 def _parts(df: DataFrame, folder: str, encode: Callable[[pa.RecordBatch], bytes], head: bytes = b"") -> list[tuple[str, int]]:

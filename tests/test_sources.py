@@ -119,6 +119,33 @@ def test_bam(spark, tmp_path, rows):
         binary.read_mapping(spark, [str(tmp_path / "bad.bam")]).collect()
 
 
+def packed(contigs):
+    return struct.pack("<q", len(contigs)) + b"".join(struct.pack("<i", len(n.encode())) + n.encode() + struct.pack("<i", x) for n, x in contigs)
+
+
+@pytest.mark.parametrize("split", [25, 150, 1 << 20])
+def test_contigs_in_ranges(spark, rows, tmp_path, split):
+    rng = random.Random(4)
+    # Names of null bytes look like records of their own, so that guesses fail; some are longer than a range.
+    names = ["".join(rng.choices("ab\x00\x01é", k=rng.choice([0, 1, 5, 12]))) for _ in range(40)] + ["\x00" * 90, "long" * 50]
+    contigs = [(n, rng.randint(0, 2**31 - 1)) for n in names]
+    path = tmp_path / "c.bin"
+    path.write_bytes(packed(contigs))
+    got = rows(binary.read_contigs(spark, str(path), split))
+    assert got == [(i, *c) for i, c in enumerate(contigs)]
+    assert len(binary.contig_ranges(spark, str(path), split)) == -(-(path.stat().st_size - 8) // split)
+
+
+def test_contigs_that_end_too_early(spark, tmp_path):
+    data = packed([("a", 1), ("bc", 2)])
+    for k, bad in enumerate((data[:-1], data + b"\x00", data[:-10])):
+        (tmp_path / f"{k}").write_bytes(bad)
+        with pytest.raises(Exception, match="record"):
+            binary.read_contigs(spark, str(tmp_path / f"{k}"))
+    (tmp_path / "none").write_bytes(packed([]))
+    assert binary.read_contigs(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_flat_tables(spark, tmp_path, rows):
     edges = spark.createDataFrame([(i, i + 1, i / 3) for i in range(50)], "start int, end int, weight double")
     binary.write_edges(edges, str(tmp_path / "e.bin"))
