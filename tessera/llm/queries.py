@@ -19,7 +19,7 @@ from tessera.llm.rules import judge
 from tessera.llm.secrets import report
 from tessera.llm.substring import repeat_report
 from tessera.llm.token_counts import count_tokens
-from tessera.llm.urls import default_model, filter_urls, unigrams
+from tessera.llm.urls import filter_urls
 from tessera.llm.warc import read_archives, write_archives
 from tessera.session import table
 
@@ -76,8 +76,7 @@ def _(spark, sf_dir):
 
 @query("op9_url_filter")
 def _(spark, sf_dir):
-    model = default_model(unigrams(table(spark, sf_dir, "documents")))
-    return filter_urls(table(spark, sf_dir, "pages"), model=model).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).drop("log_odds")
 
 
 @query("op2_quote_links")

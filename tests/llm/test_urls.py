@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -17,90 +20,123 @@ def test_parts_and_rules():
     assert U.rule_for("x.org", "/fr/") is None
 
 
-def best_split(model, name):
-    """The cheapest split by trying all of them; unknown letters cost one by one."""
-    if not name:
-        return 0.0
-    costs = [model.unknown + best_split(model, name[1:])]
-    costs += [model.cost[name[:k]] + best_split(model, name[k:]) for k in range(2, len(name) + 1) if name[:k] in model.cost]
-    return min(costs)
+def cost_of_best_split(costs, unknown, name):
+    """The cheapest split by trying all of them."""
+    best = [0.0]
+    for i in range(1, len(name) + 1):
+        best.append(min(best[j] + min(costs.get(name[j:i], math.inf) if i - j > 1 else math.inf, unknown + U.LETTER * (i - j - 1)) for j in range(i)))
+    return best[-1]
+
+
+def model(texts, labelled):
+    """(costs, an unknown word's cost, odds) by plain counts."""
+    words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if 1 < len(w) <= U.LONGEST)
+    bad, good = (Counter(w for x, unwanted in labelled if unwanted is kind and x for w in x) for kind in (True, False))
+    both = bad + good
+    n, m = max(sum(words.values()), 1), max(sum(both.values()), 1)
+    costs = {w: -math.log((words[w] / n + both[w] / m) / 2) for w in words.keys() | both.keys() if len(w) > 1}
+    nb, ng = sum(bad.values()) + 0.5 * len(both), sum(good.values()) + 0.5 * len(both)
+    odds = {w: round((math.log((bad[w] + 0.5) / nb) - math.log((good[w] + 0.5) / ng)) * U.UNIT) for w in both}
+    return costs, math.log(2 * max(n, m)), odds
+
+
+def log_odds(made, url, prior=U.PRIOR):
+    costs, unknown, odds = made
+    total = round(math.log(prior / (1 - prior)) * U.UNIT)
+    for token in U.tokens_of(*U.host_and_path(url)):
+        total += sum(odds.get(w, 0) for w in ([token[1:]] if token.startswith(".") else U.segment(token, costs, unknown)))
+    return total / U.UNIT
+
+
+NAMES = [(x.split(), bad) for text, bad in ((U.UNWANTED, True), (U.USUAL, False)) for x in re.split(r"[|\n]", text)]
 
 
 def test_segmentation_is_the_cheapest():
-    model = U.default_model()
-    assert model.segment("cheappills") == ["cheap", "pills"]
-    assert model.segment("zzcasinowinqq") == ["zz", "casino", "win", "qq"]
-    assert model.segment("x") == ["x"] and model.segment("tionxsh") == ["tionxsh"]
+    costs, unknown, _ = model([], NAMES)
+    assert U.segment("cheappills", costs, unknown) == ["cheap", "pills"] and U.segment("zzcasinowinqq", costs, unknown) == ["zz", "casino", "win", "qq"]
+    assert U.segment("x", costs, unknown) == ["x"] and U.segment("malware", {}, 3.0) == ["malware"] and U.segment("", costs, unknown) == []
     rng = random.Random(0)
-    known = sorted(w for w in model.cost if len(w) > 1)
-    for _ in range(40):
-        name = "".join(rng.choice(known)[: rng.randint(2, 6)] if rng.random() < 0.6 else rng.choice("qzxk") for _ in range(3))[:12]
-        words = model.segment(name)
+    known = sorted(costs)
+    for _ in range(200):
+        name = "".join(rng.choice(known)[: rng.randint(2, 6)] if rng.random() < 0.6 else rng.choice("qzxk") for _ in range(rng.randint(1, 5)))
+        words = U.segment(name, costs, unknown)
         assert "".join(words) == name
-        if name in model.cost:
-            continue
-        cost = sum(model.cost[w] if len(w) > 1 and w in model.cost else model.unknown * len(w) for w in words)
-        assert abs(cost - best_split(model, name)) < 1e-9
+        cost = sum(min(costs.get(w, math.inf) if len(w) > 1 else math.inf, unknown + U.LETTER * (len(w) - 1)) for w in words)
+        assert abs(cost - cost_of_best_split(costs, unknown, name)) < 1e-9
+
+
+def documents(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_all_pages_against_the_plain_model(spark):
+    """Words of all documents and names of every kind; a word's rarity leaves none out."""
+    docs, pages = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "pages"))
+    urls = [f"http://www.{''.join(x)}.example.fr/{y[0]}{k}" for k, ((x, _), (y, _)) in enumerate(zip(NAMES, NAMES[::-1], strict=True))]
+    urls += ["http://x.com/" + "".join(w for x, _ in NAMES[:30] for w in x) * 3, "http://casino", "http://a.casino/", "http://.bets/x_bets-Win9win"]
+    both = pages.select("page_id", "url").union(spark.createDataFrame([(-1 - k, u) for k, u in enumerate(urls)], "page_id long, url string"))
+    made = model([r.text for r in docs.select("text").collect()], NAMES)
+    got = {r.page_id: r for r in U.filter_urls(both, docs).collect()}
+    held = both.collect()
+    assert len(got) == len(held)
+    for r in held:
+        want = log_odds(made, r.url)
+        assert abs(got[r.page_id].log_odds - want) < 1e-9, r.url
+        assert got[r.page_id].rule or got[r.page_id].verdict == ("block" if want > 0 else "allow")
+    assert sum(r.verdict == "block" and r.rule is None for r in got.values()) > 20
 
 
 def test_verdicts(spark):
     pages = [(1, "http://www.cheappills.example.org/fr/1"), (2, "https://blog.tionsh.example.net/en/2"), (3, None), (4, "mailto:x"), (5, "http://a.org/es/"), (6, "http://y.com/" + "a/" * 20_000), (None, "http://free-bets.net/"), (2, "https://blog.tionsh.example.net/en/2")]
-    df = spark.createDataFrame(pages, "page_id long, url string").withColumns({"html": F.lit(None).cast("string"), "host": F.lit("h"), "rule": F.lit("r")})
-    rows = U.filter_urls(df).collect()
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumns({"html": F.lit(None).cast("string"), "host": F.lit("h"), "rule": F.lit("r"), "key": F.lit(1), "tokens": F.lit(2)})
+    docs = documents(spark, "words of prose", None, "")
+    rows = U.filter_urls(df, docs).collect()
     got = sorted((str(r.page_id), r.rule, r.verdict) for r in rows)
     assert got == sorted([("1", None, "block"), ("2", None, "allow"), ("2", None, "allow"), ("3", None, "allow"), ("4", None, "allow"), ("5", "org/es/", "block"), ("6", None, "allow"), ("None", None, "block")], key=lambda x: (x[0], str(x[1])))
-    assert U.filter_urls(df.limit(0)).count() == 0
+    assert U.filter_urls(df.limit(0), docs).count() == 0
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in U.filter_urls(df, docs.limit(0)).collect()) == got
 
 
-def test_naive_bayes_by_hand():
-    model = U.UrlModel.fit([["a", "b"]], [["b", "c", "c"]], prior=0.5, smoothing=1.0)
-    assert abs(model.odds["a"] - (__import__("math").log(2 / 5) - __import__("math").log(1 / 6))) < 1e-12
-    assert model.log_odds(["never"]) == 0.0
+def test_labels_by_hand(spark):
+    labelled = spark.createDataFrame([(["aa", "bb"], True), (["bb", "cc", "cc", None], False), (None, True), (["aa"], None)], "words array<string>, unwanted boolean")
+    pages = spark.createDataFrame([(1, "http://aa.xx/never"), (2, "http://never/")], "page_id long, url string")
+    got = {r.page_id: r.log_odds for r in U.filter_urls(pages, documents(spark), labelled=labelled, prior=0.5, smoothing=1.0).collect()}
+    assert abs(got[1] - (math.log(2 / 5) - math.log(1 / 6))) < 1e-6 and got[2] == 0.0
+    none = U.filter_urls(pages, documents(spark), labelled=labelled.limit(0)).collect()
+    assert {r.verdict for r in none} == {"allow"}
 
 
-def test_long_tokens_are_segmented(spark):
+def test_long_tokens_and_last_labels(spark):
     words = ["casino", "bonus", "freespins", "jackpot", "slots"] * 3
-    pages = [(k, f"http://h.example.org/fr/{''.join(words)[:k]}") for k in (64, 65, 80)] + [(9, "http://h.example.org/fr/" + "q" * 5_000)]
-    rows = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
-    assert [rows[k].verdict for k in (64, 65, 80, 9)] == ["block"] * 3 + ["allow"]
-    assert {"casino", "bonus", "spins", "jackpot"} <= set(rows[80].words)
+    pages = [(k, f"http://h.example.org/fr/{''.join(words)[:k]}") for k in (64, 65, 80)] + [(9, "http://h.example.org/fr/" + "q" * 5_000 + "casinowinbonus" + "q" * 5_000)]
+    pages += [(1, "http://play.casino/"), (2, "http://h.bets/a"), (3, "http://play.casino.de/"), (4, "http://h.com/"), (5, "http://h.de/")]
+    rows = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), documents(spark, "the")).collect()}
+    assert [rows[k].verdict for k in (64, 65, 80, 9, 1, 2, 3, 4, 5)] == ["block"] * 7 + ["allow"] * 2
+    assert rows[4].log_odds == rows[5].log_odds
 
 
-def test_last_label_counts_unless_a_country(spark):
-    pages = [(1, "http://play.casino/"), (2, "http://h.bets/a"), (3, "http://play.casino.de/"), (4, "http://h.com/"), (5, "http://h.de/")]
-    rows = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
-    assert [rows[k].verdict for k in range(1, 6)] == ["block"] * 3 + ["allow"] * 2
-    assert "de" not in rows[3].words and rows[4].log_odds == rows[5].log_odds
+def test_words_of_a_corpus_keep_names_whole(spark):
+    docs = documents(spark, "Sussex Sussex sussex, essex " * 5, None, "", "x y once")
+    assert {r.piece: r.n for r in U.unigrams(docs).collect()} == {"sussex": 15, "essex": 5, "once": 1}
+    pages = spark.createDataFrame([(1, "http://sussexnews.com/"), (2, "http://adultsex.com/")], "page_id long, url string")
+    alone, known = ({r.page_id: r.log_odds for r in U.filter_urls(pages, d).collect()} for d in (docs.limit(0), docs))
+    assert known[1] < alone[1] and known[2] == alone[2] > 0
 
 
-def test_words_of_a_corpus_keep_names_whole(spark):
-    docs = spark.createDataFrame([(1, "Sussex Sussex sussex, essex " * 5), (2, None), (3, ""), (4, "x y once")], "doc_id long, text string")
-    corpus = U.unigrams(docs)
-    assert corpus == {"sussex": 15, "essex": 5}
-    assert "sex" in U.default_model().segment("sussexnews")
-    model = U.default_model(corpus)
-    assert model.segment("sussexnews") == ["sussex", "news"] and model.segment("cheappills") == ["cheap", "pills"]
-    rng = random.Random(1)
-    known = sorted(w for w in model.cost if len(w) > 1)
-    for _ in range(20):
-        name = "".join(rng.choice(known)[: rng.randint(2, 6)] for _ in range(3))[:12]
-        cost = sum(model.cost[w] if len(w) > 1 and w in model.cost else model.unknown * len(w) for w in model.segment(name))
-        assert name in model.cost or abs(cost - best_split(model, name)) < 1e-9
-    assert U.unigrams(docs.limit(0)) == {} and U.unigrams(docs, max_words=1) == {"sussex": 15}
+def test_common_keys_join_once(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    values = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.lit(1))
+    assert U._with(rows, values, "k", "n").agg(F.sum("v")).first()[0] == 30_000
 
 
 def test_held_out_names():
     """Each labelled name judged by a model that doesn't know it, its words run together."""
-    unwanted, usual = U.labelled_names()
-    caught = wrong = 0
-    for k, words in enumerate(unwanted):
-        model = U.UrlModel.fit(unwanted[:k] + unwanted[k + 1 :], usual)
-        caught += model.log_odds(model.segment("".join(words))) > 0
-    for k, words in enumerate(usual):
-        model = U.UrlModel.fit(unwanted, usual[:k] + usual[k + 1 :])
-        wrong += model.log_odds(model.segment("".join(words))) > 0
-    print(caught, len(unwanted), wrong, len(usual))
-    assert caught >= 0.6 * len(unwanted) and wrong <= 0.1 * len(usual)
+    found = Counter()
+    for k, (words, unwanted) in enumerate(NAMES):
+        made = model([], NAMES[:k] + NAMES[k + 1 :])
+        found[unwanted, log_odds(made, "http://h.de/" + "".join(words)) > 0] += 1
+    print(found)
+    assert found[True, True] >= 27 and found[False, True] <= 1
 
 
 def test_parts_and_rules_of_all_pages_against_sql(spark):
@@ -115,5 +151,5 @@ def test_parts_and_rules_of_all_pages_against_sql(spark):
       FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
     SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN (FROM fit WHERE k = 1) USING (page_id)"""
     want = sorted(duckdb.sql(sql).fetchall())
-    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in U.filter_urls(spark.read.parquet(where)).collect())
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in U.filter_urls(spark.read.parquet(where), spark.read.parquet(where.replace("pages", "documents"))).collect())
     assert got == want and sum(w[3] is not None for w in want) > 50
