@@ -24,12 +24,12 @@ from tessera.session import Scratch, materialize
 
 #: Open records that one task may go through at the end.
 TAIL = 250_000
-_RECORD = ("file", "rec_no", "ref_id", "pos", "next_ref_id", "next_pos")
+RECORD = ("file", "rec_no", "ref_id", "pos", "next_ref_id", "next_pos")
 
 
 def _positions(records: DataFrame) -> DataFrame:
     s, d = F.struct("file", F.col("ref_id").alias("id"), F.col("pos").alias("at")), F.struct("file", F.col("next_ref_id").alias("id"), F.col("next_pos").alias("at"))
-    return records.select(*_RECORD, s.alias("s"), d.alias("d"))
+    return records.select(*RECORD, s.alias("s"), d.alias("d"))
 
 
 def single_mate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,6 +103,33 @@ def _rest(live: DataFrame) -> DataFrame:
     return live.repartition(1).sortWithinPartitions("at").select("s", "d", "at").mapInArrow(run, schema)
 
 
+def directions(records: DataFrame) -> DataFrame:
+    """``(s, d, first, last)``: the first and the last record from one position to another."""
+    return _positions(records).groupBy("s", "d").agg(F.min("rec_no").alias("first"), F.max("rec_no").alias("last"))
+
+
+def entries_of(scratch: Scratch, pairs: DataFrame, tail: int = TAIL) -> DataFrame:
+    """``(p, at, mate)``: all entries that :func:`directions` make where there is none yet, in rounds; the table goes with ``scratch``."""
+    live = scratch.table(pairs.select("s", "d", F.col("first").alias("at")), "open")
+    entries = scratch.folder("entries")
+    for done in count():
+        if (n := live.count()) <= tail:
+            break
+        entered = scratch.part(_entering(live), entries, done)
+        live = scratch.table(_still_open(live, entered), "open")
+    entered = scratch.part(_rest(live) if n else _entering(live), entries, done)
+    return scratch.spark.read.schema(entered.schema).parquet(entries).select("p", "at", "mate")
+
+
+def met(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(s, d)`` of the entries s of a d that some record s -> d comes after."""
+    return pairs.join(entries.select(F.col("p").alias("d"), F.col("mate").alias("s"), "at"), ["s", "d"]).where("last > at").select("s", "d")
+
+
+def as_pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.col("s.id").alias("ref_id"), F.col("s.at").alias("pos"), F.col("d.id").alias("next_ref_id"), F.col("d.at").alias("next_pos"))
+
+
 def complex_pairs(records: DataFrame, tail: int = TAIL) -> DataFrame:
     """Pairs of any records, whatever the graph of positions.
 
@@ -116,19 +143,8 @@ def complex_pairs(records: DataFrame, tail: int = TAIL) -> DataFrame:
     goes through them in order; with 0 there are rounds to the end.
     """
     with Scratch(records.sparkSession) as scratch:
-        pairs = scratch.table(_positions(records).groupBy("s", "d").agg(F.min("rec_no").alias("first"), F.max("rec_no").alias("last")), "mates")
-        live = scratch.table(pairs.select("s", "d", F.col("first").alias("at")), "open")
-        entries = scratch.folder("entries")
-        for done in count():
-            if (n := live.count()) <= tail:
-                break
-            entered = scratch.part(_entering(live), entries, done)
-            live = scratch.table(_still_open(live, entered), "open")
-        entered = scratch.part(_rest(live) if n else _entering(live), entries, done)
-        every = records.sparkSession.read.schema(entered.schema).parquet(entries)
-        met = pairs.join(every.select(F.col("p").alias("d"), F.col("mate").alias("s"), "at"), ["s", "d"]).where("last > at")
-        out = met.select(F.col("s.id").alias("ref_id"), F.col("s.at").alias("pos"), F.col("d.id").alias("next_ref_id"), F.col("d.at").alias("next_pos"))
-        return materialize(out, "mate-pairs")
+        pairs = scratch.table(directions(records), "mates")
+        return materialize(as_pairs(met(pairs, entries_of(scratch, pairs, tail))), "mate-pairs")
 
 
 def mate_pairs(records: DataFrame, tail: int = TAIL) -> DataFrame:
