@@ -177,6 +177,19 @@ def test_merging_in_steps(spark, seed, overlap):
     assert sets_of(P.merge_groups(long_form(spark, groups), both, 3)) == P.merged(groups, 3, near)
 
 
+@pytest.mark.parametrize("few", [0, P.FEW])
+def test_merging_goes_over_the_edges_once(spark, monkeypatch, few):
+    rng = random.Random(7)
+    both, _, near = graph(spark, rng, 20, 0.3)
+    groups = [{3 * i, 3 * i + 1, 3 * i + 2, rng.randrange(20)} for i in range(6)]
+
+    def called(*_):
+        raise AssertionError("edges are gone over in each step")
+
+    monkeypatch.setattr(P.G, "group_relation", called)
+    assert sets_of(P.merge_groups(long_form(spark, groups), both, 3, few=few)) == P.merged(groups, 3, near)
+
+
 def test_merging_without_edges(spark):
     both, _, near = graph(spark, random.Random(3), 16, 0.03)
     groups = [{2 * i, 2 * i + 1} for i in range(5)]
@@ -189,6 +202,29 @@ def test_assignment_in_rounds(spark, seed, groups, share, weights):
     assert sets_of(P.assign_rest(long_form(spark, groups), ranked)) == slow_assigned(groups, list(range(22)), near)
 
 
+@pytest.mark.parametrize("overlap", [False, True])
+def test_components_are_assigned_apart(spark, monkeypatch, overlap):
+    # Groups of 30 contigs: no limit counts, and three blocks of remaining contigs don't concern one another. No round is needed.
+    rng = random.Random(12)
+    groups = [set(range(30)), set(range(29 if overlap else 30, 60))]
+    blocks = [range(60 + 10 * i, 70 + 10 * i) for i in range(3)]
+    edges = [(c, o, float(rng.randint(1, 4))) for b in blocks for c in b for o in [*rng.sample(range(28, 60), 4), *(x for x in b if x < c and rng.random() < 0.6)]]
+    ranked = G.adjacency_rank(directed(spark.createDataFrame(edges, "start long, end long, weight double")))
+    near = P.Neighbours(P._by_source(ranked.orderBy("src", "rnk").collect()))
+
+    def called(*_):
+        raise AssertionError("moves one after another")
+
+    monkeypatch.setattr(P, "marks_of", called)
+    assert sets_of(P.assign_rest(long_form(spark, groups), ranked)) == slow_assigned(groups, list(range(90)), near)
+
+
+def test_rounds_are_what_components_are(spark):
+    _, ranked, near = graph(spark, random.Random(5), 14, 0.3, 2)
+    groups = [{0, 1, 2}, {3, 4, 5}]
+    assert sets_of(P.assign_rest(long_form(spark, groups), ranked, few=0, held=0)) == slow_assigned(groups, list(range(14)), near)
+
+
 def test_rounds_make_many_moves(spark, monkeypatch):
     # Two stars: no contig that moves has an edge to another, so all moves are one round's but for the growth of the smallest group.
     edges = [(c % 2, c, float(c)) for c in range(2, 42)]
