@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.motifs import truncated5
+from tessera.session import dealt
 
 
-def contact_histogram(records: DataFrame, bins: list[int], contig: str = "contig_id") -> DataFrame:
+def contact_histogram(records: DataFrame, bins: list[int], contig: str = "contig_id", parts: int | None = None) -> DataFrame:
     """``(contig_id, res, a, b, cnt)``: records (contig, pos, next_pos) counted by bins of both positions.
 
-    All bin sizes come from one pass. The direction is kept: (a, b) and (b, a) are two bins.
+    All bin sizes come from one pass. The direction is kept: (a, b) and (b, a) are two bins. ``parts`` tasks count, if given.
     """
     each = records.select(F.col(contig).alias("contig_id"), "pos", "next_pos", F.explode(F.array(*map(F.lit, bins))).alias("res"))
     binned = each.select("contig_id", "res", (F.col("pos") - F.col("pos") % F.col("res")).alias("a"), (F.col("next_pos") - F.col("next_pos") % F.col("res")).alias("b"))
-    return binned.groupBy("contig_id", "res", "a", "b").agg(F.count("*").alias("cnt"))
+    return dealt(binned, parts, "contig_id", "res", "a", "b").groupBy("contig_id", "res", "a", "b").agg(F.count("*").alias("cnt"))
 
 
 def saturation(hist: DataFrame, percent: float) -> DataFrame:
