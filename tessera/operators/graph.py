@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import in_order, materialize
+from tessera.session import broadcast_if_few, in_order, materialize
 
 
 def adjacency_rank(directed: DataFrame) -> DataFrame:
@@ -40,11 +40,14 @@ def seed_contigs(trusted: DataFrame, n_contigs: int, heaviest_first: bool = Fals
     """``(contig_id)``: ends of trusted edges, lightest edge first, until half of the contigs are met.
 
     The last edge may bring one more. Each end keeps the first edge that it appears on; only those, a row per
-    contig, are put in order.
+    contig, are put in order. Least weights come first, as a number is kept by hash; a least edge is found by sorting, which is
+    left to the edges that have their contig's least weight.
     """
     w = -F.col("weight") if heaviest_first else F.col("weight")
-    key = F.struct(w.alias("w"), F.col("src").alias("s"), F.col("dst").alias("d"))
-    ends = trusted.select(F.explode(F.array("src", "dst")).alias("contig_id"), key.alias("key")).groupBy("contig_id").agg(F.min("key").alias("key"))
+    met = trusted.select(F.explode(F.array("src", "dst")).alias("contig_id"), w.alias("w"), F.col("src").alias("s"), F.col("dst").alias("d"))
+    least = broadcast_if_few(met.groupBy("contig_id").agg(F.min("w").alias("least")).withColumnRenamed("contig_id", "of"))
+    first = met.join(least, F.col("contig_id").eqNullSafe(F.col("of")) & F.col("w").eqNullSafe(F.col("least")))
+    ends = materialize(first.groupBy("contig_id").agg(F.min(F.struct("w", "s", "d")).alias("key")), "ends")
     last = ends.orderBy("key").limit(n_contigs // 2).agg(F.max("key")).first()[0]
     if last is None:
         return ends.select("contig_id").limit(0)

@@ -52,7 +52,8 @@ def absorbed(intersections: DataFrame) -> DataFrame:
     sets = materialize(intersections.select("ids").distinct(), "intersected")
     inside = materialize(G.contained(sets), "contained")
     below = inside.where("child <> parent").select(F.col("child").alias("ids")).distinct()
-    marks = in_order(sets.join(below, "ids", "left_anti"), F.desc(F.size("ids")), F.col("ids")).select(F.col("place").alias("mark"), "ids")
+    whole = materialize(sets.join(below, "ids", "left_anti"), "whole")
+    marks = in_order(whole, F.desc(F.size("ids")), F.col("ids")).select(F.col("place").alias("mark"), "ids")
     homes = inside.join(marks.withColumnRenamed("ids", "parent"), "parent").groupBy(F.col("child").alias("ids")).agg(F.min("mark").alias("mark"))
     taken = intersections.join(homes, "ids").select("mark", F.explode(F.array("set_a", "set_b")).alias("set_id"))
     return marks.join(taken.groupBy("mark").agg(F.sort_array(F.collect_set("set_id")).alias("set_ids")), "mark").select("mark", "ids", "set_ids")
@@ -67,7 +68,7 @@ def connected(marks: DataFrame) -> DataFrame:
     links = marks.select("node", F.explode(F.col("set_ids").cast("array<bigint>")).alias("set_id"))
     reached = connected_components(links, "node", "set_id")
     told = materialize(marks.join(reached, "node").select("node", "component", F.explode("ids").alias("contig_id")), "core")
-    order = told.groupBy("component").agg(F.min("contig_id").alias("least"), F.max("node").alias("first"))
+    order = materialize(told.groupBy("component").agg(F.min("contig_id").alias("least"), F.max("node").alias("first")), "components")
     numbered = in_order(order, F.col("least"), F.desc("first")).select("component", F.col("place").cast("int").alias("group_id"))
     return told.join(numbered, "component").select("group_id", "contig_id").distinct()
 

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.operators import graph as G
 from tessera.operators import partition as P
 from tessera.operators.edges import directed
@@ -60,6 +62,27 @@ def test_seeds(spark, rows):
         assert {r[0] for r in rows(G.seed_contigs(both, n))} == seen
 
 
+def test_seeds_sort_only_least_edges(spark, monkeypatch):
+    # A least edge is found by sorting; what is sorted must have met the contigs' least weights first.
+    plans = []
+    written = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, tag: plans.append(df) or written(df, tag))
+    both = spark.createDataFrame([(a, b, float(a * b % 7)) for a in range(9) for b in range(9) if a != b], "src int, dst int, weight double")
+    plans.append(G.seed_contigs(both, 9))
+    told = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert all("Join" in plan for plan in told if "SortAggregate" in plan)
+
+
+def test_ranges_of_an_order_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(2_000).select((F.col("id") * 7 % 2_000).alias("x"))
+    few, written = session.parts_of, []
+    monkeypatch.setattr(session, "parts_of", lambda df: few(df, 100))
+    held = session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, tag: written.append(df.rdd.getNumPartitions()) or held(df, tag))
+    assert all(x == place for x, place in session.in_order(df, F.col("x")).select("x", "place").collect())
+    assert written == [20]
+
+
 def test_evidence_and_relation(spark, rows):
     random.seed(8)
     edges = [(a, b, float(random.randint(1, 9))) for a in range(8) for b in range(a + 1, 8) if random.random() < 0.7]
