@@ -7,7 +7,8 @@ finds s there makes a pair, and d's entry is spent; any other record is dropped.
 * A pair is made for each entry s of a d that some record s -> d comes after, and how many do is of no account.
 
 What is left to find is which records make entries, a greedy choice in file order. It is made by deterministic reservations,
-for all positions at once.
+for all positions at once. Contigs that mate only within themselves and have few records don't concern one another: these are gone
+through one after another, many in a task.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from collections.abc import Iterator
 from itertools import count
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import Scratch, materialize
+from tessera.session import Scratch, broadcast_if_few, materialize
 
 #: Open records that one task may go through at the end.
 TAIL = 250_000
+#: Records of a contig that are gone through in order, and of contigs that a task has.
+HELD, DEALT = 250_000, 1_000_000
 RECORD = ("file", "rec_no", "ref_id", "pos", "next_ref_id", "next_pos")
 
 
@@ -147,10 +151,67 @@ def complex_pairs(records: DataFrame, tail: int = TAIL) -> DataFrame:
         return materialize(as_pairs(met(pairs, entries_of(scratch, pairs, tail))), "mate-pairs")
 
 
-def mate_pairs(records: DataFrame, tail: int = TAIL) -> DataFrame:
+def _joined_contigs(records: DataFrame, held: int) -> tuple[DataFrame | None, int]:
+    """(file, contig) of the contigs that have a mate on another one, nulls or more than ``held`` records, None without any; and the number of all records."""
+    inside = F.col("ref_id") == F.col("next_ref_id")
+    for c in ("file", "rec_no", "pos", "next_pos"):
+        inside &= F.col(c).isNotNull()
+    outside = ~F.coalesce(inside, F.lit(False))
+    of = materialize(records.groupBy("file", F.col("ref_id").alias("contig")).agg(F.count("*").alias("n"), F.max(outside).alias("outside")), "contigs")
+    joined = of.where(F.col("outside") | (F.col("n") > held)).select("file", "contig")
+    total, led, several = of.agg(F.sum("n"), F.max("outside"), F.max("n")).first()
+    if not led and (several or 0) <= held:
+        return None, total or 0
+    if led:
+        joined = joined.union(records.where(outside).select("file", F.col("next_ref_id").alias("contig")))
+    return joined.distinct(), total
+
+
+def _folded(records: DataFrame, parts: int) -> DataFrame:
+    """:func:`fold` of each contig's records, none of which leads to another contig."""
+    fields = {f.name: f.dataType for f in records.schema.fields}
+    schema = T.StructType([T.StructField("ref_id", fields["ref_id"]), T.StructField("pos", fields["pos"]), T.StructField("next_pos", fields["next_pos"])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mate: dict = {}
+        before = None
+        for batch in batches:
+            file, ref, s, d = (batch.column(c) for c in ("file", "ref_id", "pos", "next_pos"))
+            fresh = [True] * len(s)
+            if len(s):
+                same = pc.and_(pc.equal(file[1:], file[:-1]), pc.equal(ref[1:], ref[:-1]))
+                fresh[1:] = pc.invert(same).to_pylist()
+                fresh[0] = before != (file[0].as_py(), ref[0].as_py())
+                before = (file[-1].as_py(), ref[-1].as_py())
+            hits = []
+            for i, (new, x, y) in enumerate(zip(fresh, s.to_pylist(), d.to_pylist(), strict=True)):
+                if new:
+                    mate = {}
+                if y not in mate:
+                    mate.setdefault(x, y)
+                elif mate[y] == x:
+                    mate[y] = None
+                    hits.append(i)
+            yield batch.select(["ref_id", "pos", "next_pos"]).take(pa.array(hits, pa.int64()))
+
+    own = records.select("file", "ref_id", "rec_no", "pos", "next_pos").repartition(parts, "file", "ref_id").sortWithinPartitions("file", "ref_id", "rec_no")
+    return own.mapInArrow(run, schema).select("ref_id", "pos", F.col("ref_id").alias("next_ref_id"), "next_pos")
+
+
+def mate_pairs(records: DataFrame, tail: int = TAIL, held: int = HELD) -> DataFrame:
     """``(ref_id, pos, next_ref_id, next_pos)`` of all pairs of records (file, rec_no, ref_id, pos, next_ref_id, next_pos).
 
-    Files don't mix. ``rec_no`` orders a file's records. Positions with one mate each need an aggregate only.
+    Files don't mix. ``rec_no`` orders a file's records. A contig whose records, ``held`` at most, all stay on it is gone through in order
+    in a task, with others like it; that shuffles a record once. Of the other contigs positions with one mate each need an aggregate only,
+    and the rest rounds. ``records`` is gone over twice, or four times where there are others.
     """
-    simple, rest = single_mate(records)
-    return simple_pairs(simple).unionByName(complex_pairs(rest, tail))
+    records = records.select(*RECORD)
+    joined, n = _joined_contigs(records, held)
+    parts = max(-(-n // DEALT), 1)
+    parts = max(parts, records.sparkSession.sparkContext.defaultParallelism) if parts > 1 else 1
+    if joined is None:
+        return _folded(records, parts)
+    joined = broadcast_if_few(joined.select(F.col("file").alias("of_file"), "contig"))
+    met = F.col("file").eqNullSafe(F.col("of_file")) & F.col("ref_id").eqNullSafe(F.col("contig"))
+    simple, rest = single_mate(records.join(joined, met, "left_semi"))
+    return _folded(records.join(joined, met, "left_anti"), parts).unionByName(simple_pairs(simple)).unionByName(complex_pairs(rest, tail))

@@ -60,6 +60,35 @@ def test_rounds_on_one_component(spark, rows, tail):
     assert rows(pairing.complex_pairs(df.union(records(spark, moves[::-1], "g")), tail)) == sorted((*s, *d) for x in (moves, moves[::-1]) for s, d in pairing.fold(x))
 
 
+@pytest.mark.parametrize("held", [0, 30, 250_000])
+def test_contigs_apart_and_joined(spark, rows, held):
+    # Contigs 0 to 3 mate within themselves, 4 and 5 with one another and 6 with 5; 7 has a null. The same ids again in another file.
+    random.seed(13)
+    moves = []
+    for _ in range(400):
+        s = (random.randrange(8), random.randrange(6))
+        other = random.choice([4, 5]) if s[0] in (4, 5) else 5 if s[0] == 6 else s[0]
+        moves.append((s, (other, random.randrange(6))))
+        if random.random() < 0.4:
+            moves.append(moves[random.randrange(len(moves))][::-1])
+    df = records(spark, moves).union(records(spark, moves[::-1], "g")).union(spark.createDataFrame([("f", 5_000, 7, None, 7, 1)], RECORD))
+    want = sorted((*s, *d) for x in (moves, moves[::-1]) for s, d in pairing.fold(x))
+    assert rows(pairing.mate_pairs(df, 0, held)) == want
+
+
+def test_contigs_apart_need_no_rounds(spark, rows, monkeypatch):
+    def called(*_):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(pairing, "single_mate", called)
+    monkeypatch.setattr(pairing, "complex_pairs", called)
+    monkeypatch.setattr(pairing, "DEALT", 20)
+    random.seed(14)
+    moves = [((g, random.randrange(5)), (g, random.randrange(5))) for _ in range(60) for g in range(12)]
+    assert rows(pairing.mate_pairs(records(spark, moves))) == sorted((*s, *d) for s, d in pairing.fold(moves))
+    assert pairing.mate_pairs(records(spark, [])).count() == 0
+
+
 def test_small_orders_by_rounds(spark, rows):
     # Every sequence of three records of three positions, each as a file of its own.
     from itertools import product
