@@ -9,11 +9,13 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from tessera.session import Scratch, broadcast_if_few, in_order, materialize
 
 #: Directed edges and contigs of a graph whose steps are made at once, and moves that a round looks at.
 FEW, AHEAD = 1_000_000, 64
-#: Edges between remaining contigs that a task may go through.
-HELD = 4_000_000
+#: Edges between remaining contigs that a task may go through, and edges from them where the limit counts.
+HELD, ALONE = 4_000_000, 16_000_000
 
 
 @dataclass
@@ -317,20 +319,27 @@ def marks_of(ranked: DataFrame, groups: DataFrame, limit: int, apart: bool) -> D
     return best.select("contig_id", (-F.col("best.g")).cast("int").alias("group_id"), F.col("best.mark").alias("mark"))
 
 
-def assign_rest(groups: DataFrame, ranked: DataFrame, ahead: int = AHEAD, *, few: int = FEW, held: int = HELD) -> DataFrame:
+def assign_rest(groups: DataFrame, ranked: DataFrame, ahead: int = AHEAD, *, few: int = FEW, held: int = HELD, alone: int = ALONE) -> DataFrame:
     """:func:`assigned` for groups (group_id, contig_id) and ranked edges (src, dst, weight, rnk).
 
     Evidence in the groups as they are is an aggregate. What moves change goes over edges between remaining contigs only, so
     their connected components don't concern one another as long as no contig has more edges into a group than the smallest group's
     size allows: a component is gone through in a task, where it has ``held`` edges at most. Where a contig has more (the limit counts, and
-    joins all components), or a component is larger, moves are made in the order of all: at once if remaining contigs have
-    ``few`` edges at most, else in rounds. The results are the same.
+    joins all components), or a component is larger, moves are made in the order of all: in a task if no contig is in two groups and remaining
+    contigs have ``alone`` edges at most, at once if they have ``few``, else in rounds. The results are the same.
     """
     groups = groups.select(F.col("group_id").cast("int"), F.col("contig_id").cast("bigint"))
     with Scratch(groups.sparkSession) as scratch:
         groups = scratch.table(groups, "groups")
         open_ = scratch.table(ranked.join(groups.select(F.col("contig_id").alias("src")), "src", "left_anti"), "open")
-        moved = _in_components(groups, open_, scratch, held)
+        sizes = {r["group_id"]: r["n"] for r in groups.groupBy("group_id").agg(F.count("*").alias("n")).collect()}
+        edges, contigs, most = open_.groupBy("src").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.max("n")).first()
+        fits = max(edges, contigs * len(sizes)) <= alone and not groups.groupBy("contig_id").count().where("count > 1").limit(1).count()
+        # Where a contig has more edges than all groups' limits, components would most likely be gone through in vain.
+        counts = bool(sizes) and (most or 0) > min(sizes.values()) * len(sizes)
+        moved = None if fits and counts else _in_components(groups, open_, scratch, held)
+        if moved is None and fits:
+            moved = _alone(groups, open_, sizes)
         if moved is not None:
             return materialize(groups.unionByName(moved), "assigned")
         if open_.count() + groups.count() <= few:
@@ -419,6 +428,98 @@ def _component_moves(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.DataFrame(moves, columns=["group_id", "contig_id"]).astype({"group_id": "int32", "contig_id": "int64"}) if moves else none
 
 
+def _alone(groups: DataFrame, open_: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(group_id, contig_id) of all moves, made in a task that holds the edges ``open_`` as arrays. No contig is in two groups."""
+    homes = groups.select(F.col("contig_id").alias("dst"), "group_id")
+    rows = open_.join(homes, "dst", "left").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"), F.col("weight").cast("double"), F.col("rnk").cast("int"), F.coalesce("group_id", F.lit(-1)).alias("group_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        moves = _moves_in_order(*map(np.concatenate, zip(*held, strict=True)), sizes) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in moves], pa.int32()), pa.array([c for _, c in moves], pa.int64())], names=["group_id", "contig_id"])
+
+    return rows.repartition(1).mapInArrow(run, "group_id int, contig_id bigint")
+
+
+def _moves_in_order(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, rank: np.ndarray, group: np.ndarray, sizes: dict[int, int]) -> list[tuple[int, int]]:
+    """:func:`assigned` for groups of these sizes that share no contig: (group, contig) of each move, from the remaining contigs' edges.
+
+    Of each contig and group are held how many edges there are, the sum of the first ``limit`` and the last of these. An edge that a move brings
+    pushes the last one out, and the one before it is looked for; where the limit grows, the next one is.
+    """
+    numbers = np.array(sorted(sizes))
+    size, k = np.array([sizes[g] for g in numbers.tolist()]), len(numbers)
+    ids, src = np.unique(src, return_inverse=True)
+    order = np.lexsort((rank, src))
+    src, dst, weight, group = src[order], dst[order], weight[order], group[order]
+    start = np.searchsorted(src, np.arange(len(ids) + 1))
+    label = np.where(group < 0, -1, np.searchsorted(numbers, group)).astype("int32")
+    to = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+    inward = np.flatnonzero(ids[to] == dst)
+    inward = inward[np.argsort(to[inward], kind="stable")]
+    reach = np.searchsorted(to[inward], np.arange(len(ids) + 1))
+    del order, group, dst, rank
+
+    limit = int(size.min())
+    n, sums, last = np.zeros(len(ids) * k, "int64"), np.zeros(len(ids) * k), np.full(len(ids) * k, -1, "int64")
+    known = np.flatnonzero(label >= 0)
+    key = src[known] * k + label[known]
+    by = np.argsort(key, kind="stable")
+    known, key = known[by], key[by]
+    counted = np.arange(len(key)) - np.searchsorted(key, key) < limit
+    n += np.bincount(key, minlength=len(n))
+    sums += np.bincount(key[counted], weight[known[counted]], minlength=len(n))
+    np.maximum.at(last, key[counted], known[counted])
+
+    def best_of(of: np.ndarray | slice) -> np.ndarray:
+        return np.where(n.reshape(-1, k)[of] > 0, sums.reshape(-1, k)[of], -1.0).max(axis=1)
+
+    def seek(at: np.ndarray, wanted: np.ndarray, step: int) -> np.ndarray:
+        """The nearest edges from ``at`` on that lead into the wanted groups."""
+        left = np.flatnonzero(label[at] != wanted)
+        while len(left):
+            at[left] += step
+            left = left[label[at[left]] != wanted[left]]
+        return at
+
+    open_, best = np.ones(len(ids), bool), best_of(slice(None))
+    moves: list[tuple[int, int]] = []
+    while best[move := int(best.argmax())] >= 0:
+        own = slice(move * k, move * k + k)
+        to_group = int(np.where(n[own] > 0, sums[own], -1.0).argmax())
+        moves.append((int(numbers[to_group]), int(ids[move])))
+        open_[move], best[move] = False, -np.inf
+        size[to_group] += 1
+        edges = inward[reach[move] : reach[move + 1]]
+        edges = edges[open_[src[edges]]]
+        while len(edges):
+            # Edges of one contig come one after another.
+            again = np.r_[False, src[edges[1:]] == src[edges[:-1]]]
+            now, edges = edges[~again], edges[again]
+            label[now] = to_group
+            near = src[now]
+            key = near * k + to_group
+            n[key] += 1
+            room = n[key] <= limit
+            sums[key[room]] += weight[now[room]]
+            last[key[room]] = np.maximum(last[key[room]], now[room])
+            pushes = ~room & (now < last[key])
+            if pushes.any():
+                key, now = key[pushes], now[pushes]
+                sums[key] += weight[now] - weight[last[key]]
+                last[key] = seek(last[key] - 1, np.full(len(key), to_group), -1)
+            best[near] = best_of(near)
+        if size.min() > limit:
+            limit += 1
+            key = np.flatnonzero((n >= limit) & np.repeat(open_, k))
+            if len(key):
+                last[key] = seek(last[key] + 1, key % k, 1)
+                sums[key] += weight[last[key]]
+                near = np.unique(key // k)
+                best[near] = best_of(near)
+    return moves
+
+
 def _in_rounds(groups: DataFrame, open_: DataFrame, scratch: Scratch, ahead: int) -> DataFrame:
     """:func:`assign_rest` in rounds, for the ranked edges ``open_`` of the contigs in no group.
 
@@ -507,8 +608,12 @@ def partition(contigs: DataFrame, edges: DataFrame, k: int, *, heaviest_first: b
     seeds = materialize(G.seed_contigs(G.top_trust_edges(both, n), n, heaviest_first), "seeds")
     top = G.trust_positions(ranked, contigs, steepest).agg(F.max("trust_pos")).first()[0] or 1
     result, best = None, math.inf
+    voting = ranked.where(F.col("rnk") <= max(k, top))
+    for end in ("src", "dst"):
+        voting = voting.join(broadcast_if_few(seeds.select(F.col("contig_id").alias(end))), end, "left_semi")
+    voting = materialize(voting.select("src", "dst", "weight", "rnk"), "voting")
     for window in range(min(k, 3), max(k, top) + 1):
-        core = core_groups(ranked, seeds, window)
+        core = core_groups(voting, seeds, window)
         if core is None:
             continue
         groups = _at_once(core, near, ids, k) if small else _in_steps(core, both, ranked, k, few)

@@ -242,6 +242,38 @@ def test_components_are_assigned_apart(spark, monkeypatch, overlap):
     assert sets_of(P.assign_rest(long_form(spark, groups), ranked)) == slow_assigned(groups, list(range(90)), near)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_moves_in_a_task_against_the_definition(seed):
+    rng = random.Random(seed)
+    n = 40
+    weight = {(a, b): float(rng.randint(1, 5)) for a in range(n) for b in range(a) if rng.random() < rng.choice([0.2, 0.6])}
+    edges = [e for (a, b), w in weight.items() for e in ((a, b, w), (b, a, w))]
+    order = {a: sorted(((b, w) for x, b, w in edges if x == a), key=lambda e: (-e[1], e[0])) for a in range(n)}
+    near = P.Neighbours(order)
+    picked = rng.sample(range(n), 9)
+    groups = [set(picked[:2]), set(picked[2:4]), set(picked[4 : 5 + seed % 5])]
+    home = {c: 10 * g for g, ids in enumerate(groups) for c in ids}
+    rows = [(a, b, w, i, home.get(b, -1)) for a, bs in order.items() if a not in home for i, (b, w) in enumerate(bs)]
+    rng.shuffle(rows)
+    columns = [P.np.array(c) for c in zip(*rows, strict=True)]
+    for g, c in P._moves_in_order(*columns, {10 * g: len(ids) for g, ids in enumerate(groups)}):
+        home[c] = g
+    assert [{c for c, h in home.items() if h == 10 * g} for g in range(3)] == slow_assigned(groups, list(range(n)), near)
+
+
+def test_a_limit_that_counts_needs_no_rounds(spark, monkeypatch):
+    _, ranked, near = graph(spark, random.Random(15), 24, 0.6, 3)
+    groups = [{0, 1}, {2, 3}]
+    want = slow_assigned(groups, list(range(24)), near)
+    assert sets_of(P.assign_rest(long_form(spark, groups), ranked, few=0, held=0, alone=0)) == want
+
+    def called(*_):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(P, "_in_rounds", called)
+    assert sets_of(P.assign_rest(long_form(spark, groups), ranked, few=0)) == want
+
+
 def test_rounds_are_what_components_are(spark):
     _, ranked, near = graph(spark, random.Random(5), 14, 0.3, 2)
     groups = [{0, 1, 2}, {3, 4, 5}]
