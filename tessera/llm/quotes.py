@@ -9,8 +9,14 @@ from tessera.session import Scratch, materialize
 
 #: A line's quote marks, a class in a loop, so that matching needs no stack however many there are.
 MARKS = r"^([ \t>]*>)"
-#: Lines that only announce a quote (fixed forms of mail programs), and how long such a line may be.
-ANNOUNCES, ANNOUNCEMENT = r"^\s*(?:On|Am|Le|El)\b.*\b(?:wrote|schrieb\b.*|a écrit|escribió)\s*:\s*$", 1000
+#: Lines that only announce a quote (fixed forms of mail programs). A line is gone over once however long it is: literals come before
+#: their boundary, the first "schrieb" is as good as any other, and white space is looked at from the start of its run only.
+ANNOUNCES = (
+    r"^\s*(?:On|Am|Le|El)\b(?:.*(?:wrote(?<=\bwrote)|a écrit(?<=\ba écrit)|escribió(?<=\bescribió))\s*:\s*$"
+    r"|(?>.*?schrieb(?<=\bschrieb)\b).*(?<!\s)\s*:\s*$)"
+)
+#: White space of one line, as ``\s`` has it.
+WHITE = " \t\x0b\f\r"
 
 
 def normalised(text: Column) -> Column:
@@ -83,7 +89,8 @@ def link_quotes(
     the own passages and lines of its conversation; the earliest earlier message that has it is its source. A
     message replies to the source of most quoted characters of level 1 (of the next level where none of level 1
     is found), the latest of several. ``thread`` is the turn that a chain of replies starts with, ``depth`` its length.
-    In messages that quote, lines of up to ``ANNOUNCEMENT`` characters that announce a quote aren't own ones.
+    In messages that quote, lines that announce a quote aren't own ones. They end an own passage, as lines of white space
+    do; the own passage that goes on through them is looked up too, as a quote may hold them.
 
     Own passages are reduced to the first turn of each (conversation, hash) before the join, so a passage that
     many messages share makes no more rows. Null texts are empty; messages of a null conversation or turn link
@@ -96,17 +103,21 @@ def link_quotes(
 
 def _linked(messages: DataFrame, scratch: Scratch, conv_col: str, turn_col: str, role_col: str, text_col: str, max_depth: int) -> DataFrame:
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"))
-    bare = F.transform(F.split("raw", "\n"), lambda x: F.struct(F.lit(0).alias("level"), x.alias("body")))
+    bare = F.transform(F.split("raw", "\n"), lambda x: F.struct(F.lit(0).alias("level"), F.rtrim(x, F.lit("\r")).alias("body")))
     rows = rows.withColumn("lines", F.when(F.contains("raw", F.lit(">")), _lines(F.col("raw"))).otherwise(bare))
     quoting = F.exists("lines", lambda x: x["level"] > 0)
     rows = rows.withColumns({"quoting": quoting, "depth": F.array_max(F.transform("lines", lambda x: x["level"])), "starts": _starts("lines")})
 
-    def own(x: Column) -> Column:
-        announces = (F.char_length(x["body"]) <= ANNOUNCEMENT) & x["body"].rlike(ANNOUNCES)
-        return (x["level"] == 0) & ~(F.col("quoting") & announces)
+    def announces(x: Column) -> Column:
+        return (x["level"] == 0) & F.col("quoting") & x["body"].rlike(ANNOUNCES)
+
+    def parted(x: Column) -> Column:
+        """The line, blank where it ends an own passage."""
+        ends = (x["level"] == 0) & ((F.trim(x["body"], F.lit(WHITE)) == "") | announces(x))
+        return F.struct(x["level"].alias("level"), F.when(ends, "").otherwise(x["body"]).alias("body"))
 
     empty = F.array().cast("array<struct<level:int,text:string>>")
-    rows = rows.withColumns({"own": F.filter("lines", own), "passages": F.when(F.col("quoting"), _passages("lines", "starts")).otherwise(empty)})
+    rows = rows.withColumns({"own": F.filter("lines", lambda x: (x["level"] == 0) & ~announces(x)), "passages": F.when(F.col("quoting"), _passages("lines", "starts")).otherwise(empty)})
     own_text = F.trim(F.array_join(F.transform("own", lambda x: x["body"]), "\n"), F.lit(" \t\r\n"))
     rows = rows.withColumn("text", F.when(F.col("quoting"), own_text).otherwise(F.col("raw")))
     quoted = F.filter("passages", lambda p: p["level"] > 0)
@@ -119,7 +130,9 @@ def _linked(messages: DataFrame, scratch: Scratch, conv_col: str, turn_col: str,
     asked = scratch.table(asked.select("conv_id", "turn", F.col("u.level").alias("level"), F.sha2("u.text", 256).alias("h"), F.char_length("u.text").alias("chars"), F.col("u.whole").alias("whole")), "quoted")
     # Only conversations in which something is quoted need their own passages hashed.
     told = keyed.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
-    paragraphs = F.transform(F.filter(_passages("lines", "starts"), lambda p: p["level"] == 0), lambda p: p["text"])
+    told = told.withColumn("parted", F.transform("lines", parted)).withColumn("own_starts", _starts("parted"))
+    passages = F.concat(_passages("lines", "starts"), _passages("parted", "own_starts"))
+    paragraphs = F.transform(F.filter(passages, lambda p: p["level"] == 0), lambda p: p["text"])
     whole = F.array(normalised(F.col("text")))
     units = F.explode(F.array_distinct(F.concat(paragraphs, F.transform("own", lambda x: normalised(x["body"])), whole))).alias("t")
     sources = told.select("conv_id", "turn", units).where("t <> ''").groupBy("conv_id", F.sha2("t", 256).alias("h")).agg(F.min("turn").alias("source"))

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 import time
 
 from pyspark.sql import functions as F
@@ -171,3 +172,53 @@ def test_positions_are_gapless(spark):
         assert [r.turn for r in sorted(own.values(), key=lambda r: r.position)] == [*range(0, 400, 2), *range(1, 400, 2)]
     assert [r.position for r in got if r.conv_id is None or r.turn is None] == [None, None]
     assert [r.position for r in got if r.conv_id == 9 and r.turn == 4] == [0, 0]
+
+
+def test_announcements_of_any_length(spark):
+    long = "On Monday " + "X, " * 600 + "wrote:"
+    rows = [(1, 0, "u", "Hello there."), (1, 1, "a", long + "\n> Hello there.\nI agree."), (1, 2, "u", "> I agree.\n" + long.replace("wrote", "said") + "\nok")]
+    rows += [(2, k, "u", f"On {x}\n> said\nok") for k, x in enumerate(["schrieb " * 50_000, "schrieb : " * 50_000 + "x", " " * 500_000 + "x", "wrote" + " " * 500_000 + "x:", "\u0301" * 500_000])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    by = {(r.conv_id, r.turn): r for r in link_quotes(df).collect()}
+    assert time.perf_counter() - began < 20
+    assert (by[1, 1].text, by[1, 1].reply_to) == ("I agree.", 0)
+    assert by[1, 2].reply_to == 1 and by[1, 2].text.endswith("said:\nok")
+    assert all(by[2, k].text.endswith("ok") and by[2, k].n_linked == 0 for k in range(5))
+
+
+def test_own_passages_end_at_announcements_and_white_space(spark):
+    rows = [
+        (1, 0, "u", "Hello there."),
+        (1, 1, "a", "First of all.\n\nI agree with\nthis plan.\nOn Monday X wrote:\n> Hello there."),
+        (1, 2, "u", "> I agree with this\n> plan.\nok"),
+        (1, 3, "u", "> I agree with this\n> plan. On Monday X\n> wrote:\n> > Hello there.\nok"),
+        (2, 0, "u", "One line\r\nand another.\r\n\r\nThen a third\r\none."),
+        (2, 1, "u", "> One line and\n> another.\nyes"),
+        (3, 0, "u", "One line\nand another.\n \t\nThen a third\none."),
+        (3, 1, "u", "> Then a third one.\nyes"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked) for r in link_quotes(df).collect()}
+    assert got == {(1, 0): (None, 0, 0), (1, 1): (0, 1, 1), (1, 2): (1, 1, 1), (1, 3): (1, 2, 2), (2, 0): (None, 0, 0), (2, 1): (0, 1, 1), (3, 0): (None, 0, 0), (3, 1): (0, 1, 1)}
+
+
+def test_each_rewrapped_passage_is_found(spark):
+    rng = random.Random(5)
+    messages, want = [], {}
+    for conv in range(15):
+        sent = []
+        for turn in range(12):
+            end = rng.choice(["\n", "\r\n"])
+            own = [" ".join(f"w{conv}x{turn}x{k}x{i}" for i in range(rng.randint(5, 30))) for k in range(rng.randint(1, 3))]
+            blocks = [rng.choice(["", " \t"]).join([end, end]).join(end.join(textwrap.wrap(p, rng.randint(30, 60))) for p in own)]
+            want[conv, turn] = (None, 0, 0)
+            if sent and rng.random() < 0.8:
+                source = rng.randrange(turn)
+                quote = end.join("> " + x for x in textwrap.wrap(rng.choice(sent[source]), rng.randint(30, 60)))
+                blocks += [end, rng.choice(["", "Am 3. schrieb X:" + end, "On Monday Y wrote:" + end]), quote]
+                want[conv, turn] = (source, 1, 1)
+            messages.append((conv, turn, "u", "".join(blocks)))
+            sent.append(own)
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked) for r in link_quotes(df).collect()} == want
