@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import broadcast_if_few, shared_dir
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -56,3 +56,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def fewer_links(directed: DataFrame) -> DataFrame:
+    """``(a, b)``: fewer edges with the components of ``directed`` (src, dst), which has the reverse of each of its edges.
+
+    Each node's least neighbour, and the edges between these: of a dense graph about an edge a node is left.
+    """
+    least = broadcast_if_few(directed.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")))
+    ends = directed.where("src < dst").join(least.select("src", F.col("m").alias("a")), "src").join(least.select(F.col("src").alias("dst"), F.col("m").alias("b")), "dst")
+    return least.select(F.col("src").alias("a"), F.col("m").alias("b")).unionAll(ends.where("a <> b").select("a", "b").distinct())

@@ -31,9 +31,12 @@ def trust_positions(ranked: DataFrame, contigs: DataFrame | None = None, steepes
 
 
 def top_trust_edges(directed: DataFrame, n_contigs: int) -> DataFrame:
-    """The heaviest directed edges, a quarter of ``n_contigs`` squared."""
-    ordered = in_order(directed.select("src", "dst", "weight"), F.desc("weight"), F.col("src"), F.col("dst"))
-    return ordered.where(F.col("place") < n_contigs * n_contigs // 4).select("src", "dst", "weight")
+    """The heaviest directed edges, a quarter of ``n_contigs`` squared; where there are no more, they needn't be put in order."""
+    most, directed = n_contigs * n_contigs // 4, directed.select("src", "dst", "weight")
+    if directed.count() <= most:
+        return directed
+    ordered = in_order(directed, F.desc("weight"), F.col("src"), F.col("dst"))
+    return ordered.where(F.col("place") < most).select("src", "dst", "weight")
 
 
 def seed_contigs(trusted: DataFrame, n_contigs: int, heaviest_first: bool = False) -> DataFrame:
@@ -46,7 +49,8 @@ def seed_contigs(trusted: DataFrame, n_contigs: int, heaviest_first: bool = Fals
     w = -F.col("weight") if heaviest_first else F.col("weight")
     met = trusted.select(F.explode(F.array("src", "dst")).alias("contig_id"), w.alias("w"), F.col("src").alias("s"), F.col("dst").alias("d"))
     least = broadcast_if_few(met.groupBy("contig_id").agg(F.min("w").alias("least")).withColumnRenamed("contig_id", "of"))
-    first = met.join(least, F.col("contig_id").eqNullSafe(F.col("of")) & F.col("w").eqNullSafe(F.col("least")))
+    # No weight is less than the least; as a bound it isn't a key of the join, which would be slow.
+    first = met.join(least, F.col("contig_id").eqNullSafe(F.col("of")) & ((F.col("w") <= F.col("least")) | F.col("least").isNull()))
     ends = materialize(first.groupBy("contig_id").agg(F.min(F.struct("w", "s", "d")).alias("key")), "ends")
     last = ends.orderBy("key").limit(n_contigs // 2).agg(F.max("key")).first()[0]
     if last is None:

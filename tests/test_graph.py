@@ -297,6 +297,79 @@ def test_merging():
     assert P.merged([{0, 1}, {2, 3}, {4}], 2, near) == [{0, 1, 2, 3}, {4}]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_core_groups_at_once(spark, seed):
+    # Sets of three contigs or more hold all kernels that share two: groups are those of all kernels, numbered or not.
+    rng = random.Random(seed)
+    sets = [list(s) for s in {tuple(sorted(rng.sample(range(18), rng.choice([1, 2, 3, 3, 4, 5])))) for _ in range(16)}]
+    votes = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "start long, end long, supporters array<long>")
+    whole = [s for s in sets if not any(set(s) < set(x) for x in sets)]
+    found = [(a, b, tuple(sorted(set(whole[a]) & set(whole[b])))) for a in range(len(whole)) for b in range(a + 1, len(whole))]
+    want = connected_model(absorbed_model([x for x in found if len(x[2]) > 1]))
+    assert P._core_at_once([tuple(s) for s in sets if len(s) > 2], P.FEW) == want
+    assert P._core_at_once([tuple(s) for s in sets if len(s) > 2], 1) is None
+    if seed < 3 and want:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(P.G, "edge_votes", lambda *_: votes)
+            assert [sets_of(P.core_groups(None, None, 3, few)) for few in (0, P.FEW)] == [want, want]
+
+
+def copies(rng, n, times, share):
+    """Edges of ``times`` graphs that nothing joins, alike but for their ids, each connected."""
+    one = [(a, b, float(rng.randint(1, 4))) for a in range(n) for b in range(a) if b == a - 1 or rng.random() < share]
+    return [(a + i * n, b + i * n, w) for i in range(times) for a, b, w in one]
+
+
+@pytest.mark.parametrize(
+    "groups, passes",
+    [
+        ([{0, 1, 2, 12, 13, 24, 36}, {48}, {60, 61}], 0),  # no component has two groups: no edge is looked at
+        ([{0, 12, 24, 25, 36, 48, 49, 50, 51, 52, 53, 54, 55}, {61}, {63, 66}], 1),  # two of them in the last: only its edges are
+        ([{0}, {1, 61}, {2, 62, 63}], 2),  # the smallest group grows where it is alone, too, and would be told wrong
+        ([{0}, {12, 60}, {24, 61, 62}], 2),
+    ],
+)
+def test_components_of_one_group_need_no_order(spark, monkeypatch, groups, passes):
+    rng = random.Random(21)
+    edges = copies(rng, 12, 6, 0.5)
+    both = directed(spark.createDataFrame(edges, "start long, end long, weight double"))
+    ranked = G.adjacency_rank(both).persist()
+    near = P.Neighbours(P._by_source(ranked.orderBy("src", "rnk").collect()))
+    parts = P.connected_components(P.fewer_links(both))
+    assert {(r.node, r.component) for r in parts.collect()} == {(c, c // 12 * 12) for c in range(72)}
+    looked, open_ = [], P._assign_open
+    monkeypatch.setattr(P, "_assign_open", lambda groups, ranked, *a: looked.append(1) or open_(groups, ranked, *a))
+    assert sets_of(P.assign_rest(long_form(spark, groups), ranked, parts=parts)) == slow_assigned(groups, list(range(72)), near)
+    assert len(looked) <= passes
+
+
+def test_fewer_links_have_the_same_components(spark):
+    rng = random.Random(3)
+    edges = [(a, b, 1.0) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(45))] + [(70, 70, 1.0)] + [(100 + i, 101 + i, 1.0) for i in range(9)]
+    both = directed(spark.createDataFrame(edges, "start long, end long, weight double")).persist()
+    want = sorted(map(tuple, P.connected_components(both, "src", "dst").collect()))
+    assert sorted(map(tuple, P.connected_components(P.fewer_links(both)).collect())) == want
+
+
+def test_edges_that_all_are_trusted_are_not_put_in_order(spark, rows, monkeypatch):
+    both = spark.createDataFrame([(a, b, float(a * b)) for a in range(4) for b in range(4)], "src int, dst int, weight double")
+    want = rows(both)
+    monkeypatch.setattr(G, "in_order", lambda *_: pytest.fail("put in order"))
+    assert rows(G.top_trust_edges(both, 8)) == want
+
+
+def test_partition_of_copies_in_steps(spark):
+    # Four graphs that nothing joins go to two groups: components, not edges, tell where contigs go.
+    rng = random.Random(9)
+    edges = [(a, b, float(rng.randint(1, 3) + 6 * (a // 9 == b // 9))) for a in range(18) for b in range(a) if a // 9 == b // 9 and rng.random() < 0.8 or rng.random() < 0.1]
+    edges = [(a + 18 * i, b + 18 * i, w) for i in range(4) for a, b, w in edges]
+    contigs = spark.createDataFrame([(i, 100 + i) for i in range(72)], "id int, length int")
+    table = spark.createDataFrame(edges, "start int, end int, weight double")
+    want = P.partition(contigs, table, 2, heaviest_first=True).collect()
+    got = P.partition(contigs, table, 2, heaviest_first=True, few=0).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_partition_in_steps_is_partition_at_once(spark):
     rng = random.Random(9)
     edges = [(a, b, float(rng.randint(1, 3) + 6 * (a // 9 == b // 9))) for a in range(18) for b in range(a) if a // 9 == b // 9 and rng.random() < 0.8 or rng.random() < 0.1]
