@@ -44,11 +44,13 @@ def seed_contigs(trusted: DataFrame, n_contigs: int, heaviest_first: bool = Fals
 
     The last edge may bring one more. Each end keeps the first edge that it appears on; only those, a row per
     contig, are put in order. Least weights come first, as a number is kept by hash; a least edge is found by sorting, which is
-    left to the edges that have their contig's least weight.
+    left to the edges that have their contig's least weight. No such edge is beyond the greatest of these.
     """
-    w = -F.col("weight") if heaviest_first else F.col("weight")
-    met = trusted.select(F.explode(F.array("src", "dst")).alias("contig_id"), w.alias("w"), F.col("src").alias("s"), F.col("dst").alias("d"))
-    least = broadcast_if_few(met.groupBy("contig_id").agg(F.min("w").alias("least")).withColumnRenamed("contig_id", "of"))
+    trusted = trusted.select("src", "dst", (-F.col("weight") if heaviest_first else F.col("weight")).alias("w"))
+    ends_of = lambda df: df.select(F.explode(F.array("src", "dst")).alias("contig_id"), "w", F.col("src").alias("s"), F.col("dst").alias("d"))
+    least = broadcast_if_few(ends_of(trusted).groupBy("contig_id").agg(F.min("w").alias("least")).withColumnRenamed("contig_id", "of"))
+    some, all_, bound = least.agg(F.count("least"), F.count("*"), F.max("least")).first()
+    met = ends_of(trusted.where(F.col("w") <= bound) if some == all_ > 0 else trusted)
     # No weight is less than the least; as a bound it isn't a key of the join, which would be slow.
     first = met.join(least, F.col("contig_id").eqNullSafe(F.col("of")) & ((F.col("w") <= F.col("least")) | F.col("least").isNull()))
     ends = materialize(first.groupBy("contig_id").agg(F.min(F.struct("w", "s", "d")).alias("key")), "ends")
